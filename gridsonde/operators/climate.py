@@ -60,19 +60,15 @@ def fill_doy_gaps(df: DataFrame, doy: str, keys: Sequence[str], value: str) -> D
 
     At most 365 rows per key. A key with fewer than two known days keeps its gaps.
     """
-    w = Window.partitionBy(*keys).orderBy(doy)
-    upto, onward = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    before, beyond = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
     v, d = F.col(value), F.col(doy).cast("double")
     knot = F.when(v.isNotNull(), F.struct(d.alias("x"), v.alias("y")))
-    out = df.withColumn("__knot", knot).withColumn("__two_back", F.last("__knot", True).over(before)).withColumn(
-        "__two_ahead", F.first("__knot", True).over(beyond)
-    )
-    pair = F.when(v.isNotNull(), F.struct(F.col("__knot").alias("a"), F.col("__two_back").alias("b")))
-    pair_ahead = F.when(v.isNotNull(), F.struct(F.col("__knot").alias("a"), F.col("__two_ahead").alias("b")))
-    out = out.withColumn("__prev", F.last(pair, True).over(upto)).withColumn(
-        "__next", F.first(pair_ahead, True).over(onward)
-    )
+    out = df.withColumn("__knot", knot)
+    # Looking ahead is looking back in descending order: running frames cost one step per row.
+    for name, order in (("__prev", F.col(doy).asc()), ("__next", F.col(doy).desc())):
+        w = Window.partitionBy(*keys).orderBy(order)
+        second = F.last("__knot", True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        out = out.withColumn("__pair", F.when(v.isNotNull(), F.struct(F.col("__knot").alias("a"), second.alias("b"))))
+        out = out.withColumn(name, F.last("__pair", True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     prev, nxt = F.col("__prev"), F.col("__next")
 
     def line(p: Column, q: Column) -> Column:
@@ -84,7 +80,7 @@ def fill_doy_gaps(df: DataFrame, doy: str, keys: Sequence[str], value: str) -> D
         .when(prev.isNotNull() & prev["b"].isNotNull(), line(prev["b"], prev["a"]))
         .when(nxt.isNotNull() & nxt["b"].isNotNull(), line(nxt["a"], nxt["b"]))
     )
-    return out.withColumn(value, filled).drop("__knot", "__two_back", "__two_ahead", "__prev", "__next")
+    return out.withColumn(value, filled).drop("__knot", "__pair", "__prev", "__next")
 
 
 def doy_join(df: DataFrame, climatology: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -30,11 +30,14 @@ def mean_bias(pred: Column, obs: Column) -> Column:
 
 
 def pearson(pred: Column, obs: Column) -> Column:
-    """Correlation of complete pairs; NULL for fewer than three or without spread."""
+    """Correlation of complete pairs; NULL for fewer than three or without spread.
+
+    Built from moments because ``corr`` itself divides by zero on constant groups in ANSI mode.
+    """
     p, o = _pair(pred, obs, pred), _pair(pred, obs, obs)
     n = F.count(p)
-    spread = F.sqrt(F.var_pop(p) * F.var_pop(o)) * n
-    return F.when((n >= 3) & (spread >= 1e-12), F.corr(p, o))
+    spread = F.sqrt(F.var_pop(p) * F.var_pop(o))
+    return F.when((n >= 3) & (spread * n >= 1e-12), F.covar_pop(p, o) / spread)
 
 
 def climatology_skill(mse_model: Column, mse_clim: Column) -> Column:

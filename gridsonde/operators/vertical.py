@@ -297,9 +297,9 @@ def column_indices(df: DataFrame, keys: Sequence[str], depth: str, ct: str, rho:
                    z_max: float = K.PROFILE_DEPTH_MAX) -> DataFrame:
     """TCHP, MLD, Z20, ILD, BLT and D26 of every column on the 1 m axis, in one shuffle.
 
-    Each interval evaluates its own metre samples; the value of the metre after its last one comes
-    from the next interval through a window over the knots. Because an interval is monotone, its
-    end samples tell whether a search has ended there, so deeper intervals are not sampled at all.
+    Each interval evaluates its own metre samples and pairs its first one with the last sample of the
+    interval above, carried down by a running window over the knots. Because an interval is monotone,
+    its end samples tell whether a search has ended there, so deeper ones are not sampled at all.
     """
     level_known = F.col(ct).isNotNull() & F.col(rho).isNotNull()
     src = df.select(*keys, depth, F.when(level_known, F.col(ct)).alias("ct"), F.when(level_known, F.col(rho)).alias("rho"),
@@ -322,52 +322,49 @@ def column_indices(df: DataFrame, keys: Sequence[str], depth: str, ct: str, rho:
         F.when(ref.between(F.col("lo"), F.col("hi")), at(ct_seg, ref)).alias("ct_at"),
         F.when(ref.between(F.col("lo"), F.col("hi")), at(rho_seg, ref)).alias("rho_at"),
     )
-    w = Window.partitionBy(*keys)
-    wz = w.orderBy("z0")
-    later = wz.rowsBetween(1, Window.unboundedFollowing)
+    wz = Window.partitionBy(*keys).orderBy("z0")
+    whole = wz.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    earlier = wz.rowsBetween(Window.unboundedPreceding, -1)
     s = s.select(
-        *s.columns, F.first("ct_lo", True).over(later).alias("ct_next"),
-        F.first("rho_lo", True).over(later).alias("rho_next"),
-        F.min("z_lo").over(w).alias("z_top"), F.min_by("ct_lo", "z_lo").over(w).alias("ct_top"),
-        F.max("ct_at").over(w).alias("ct_ref"), F.max("rho_at").over(w).alias("rho_ref"),
+        *s.columns, F.last("ct_hi", True).over(earlier).alias("ct_prev"),
+        F.last("rho_hi", True).over(earlier).alias("rho_prev"),
+        F.min("z_lo").over(whole).alias("z_top"), F.min_by("ct_lo", "z_lo").over(whole).alias("ct_top"),
+        F.max("ct_at").over(whole).alias("ct_ref"), F.max("rho_at").over(whole).alias("rho_ref"),
     )
 
     def crosses(target: float) -> Column:
         t = F.lit(target)
-        return F.coalesce(((F.col("ct_lo") >= t) & (F.col("ct_hi") < t))
-                          | ((F.col("ct_hi") >= t) & (F.col("ct_next") < t)), F.lit(False))
+        return F.coalesce(((F.col("ct_prev") >= t) & (F.col("ct_lo") < t))
+                          | ((F.col("ct_lo") >= t) & (F.col("ct_hi") < t)), F.lit(False))
 
-    def reaches(hit_last: Column, hit_next: Column) -> Column:
-        below = F.col("hi") > ref
-        return F.coalesce((below & hit_last) | ((F.col("hi") >= ref) & hit_next), F.lit(False))
+    def reaches(hit_lo: Column, hit_hi: Column) -> Column:
+        return F.coalesce(((F.col("lo") > ref) & hit_lo) | ((F.col("hi") > ref) & hit_hi), F.lit(False))
 
     t_ild = F.col("ct_ref") - K.ISOTHERMAL_LAYER_DT
-    done = {
+    t_mld = F.col("rho_ref") + K.MIXED_LAYER_DRHO
+    found = {
         "d26": crosses(K.HEAT_ISOTHERM),
         "z20": crosses(K.THERMOCLINE_ISOTHERM),
-        "mld": reaches(F.col("rho_hi") - F.col("rho_ref") >= K.MIXED_LAYER_DRHO,
-                       F.col("rho_next") - F.col("rho_ref") >= K.MIXED_LAYER_DRHO),
-        "ild": reaches(F.col("ct_hi") <= t_ild, F.col("ct_next") <= t_ild),
+        "mld": reaches(F.col("rho_lo") >= t_mld, F.col("rho_hi") >= t_mld),
+        "ild": reaches(F.col("ct_lo") <= t_ild, F.col("ct_hi") <= t_ild),
     }
-    earlier = wz.rowsBetween(Window.unboundedPreceding, -1)
     s = s.select(*s.columns, *[
-        F.coalesce(F.max(d.cast("int")).over(earlier), F.lit(0)).alias(f"done_{n}") for n, d in done.items()
+        F.coalesce(F.max(d.cast("int")).over(earlier), F.lit(0)).alias(f"done_{n}") for n, d in found.items()
     ])
     cold26, cold20 = F.col("ct_top") < K.HEAT_ISOTHERM, F.col("ct_top") < K.THERMOCLINE_ISOTHERM
-    open26 = (F.col("done_d26") == 0) & ~cold26
-    wanted = open26 | ((F.col("done_z20") == 0) & ~cold20) | (
-        ((F.col("done_mld") == 0) | (F.col("done_ild") == 0)) & (F.col("hi") >= ref))
+    wanted = ((F.col("done_d26") == 0) & ~cold26) | ((F.col("done_z20") == 0) & ~cold20) | (
+        ((F.col("done_mld") == 0) | (F.col("done_ild") == 0)) & (F.col("hi") > ref))
     metres = F.when(has & (F.col("is_first") | wanted), F.sequence("lo", "hi"))
     rows = s.filter(F.col("is_first") | (has & wanted)).select(
-        *keys, *carry, "ct_seg", "rho_seg", "z0", "hi", "ct_next", "rho_next", "z_top", "ct_top", "ct_ref", "rho_ref",
+        *keys, *carry, "ct_seg", "rho_seg", "z0", "lo", "ct_prev", "rho_prev", "z_top", "ct_top", "ct_ref", "rho_ref",
         "done_d26", F.explode_outer(metres).alias("z"))
     z = F.col("z")
-    inside = z < F.col("hi")
+    start = z == F.col("lo")
     rows = rows.select(
-        *keys, *carry, z.cast("double").alias("z"), "z_top", "ct_top", "ct_ref", "rho_ref", "done_d26",
-        cubic(ct_seg, z - z0).alias("v0"), cubic(rho_seg, z - z0).alias("r0"),
-        F.when(inside, cubic(ct_seg, z + 1 - z0)).otherwise(F.col("ct_next")).alias("v1"),
-        F.when(inside, cubic(rho_seg, z + 1 - z0)).otherwise(F.col("rho_next")).alias("r1"),
+        *keys, *carry, (z - 1).cast("double").alias("z"), "z_top", "ct_top", "ct_ref", "rho_ref", "done_d26",
+        F.when(start, F.col("ct_prev")).otherwise(cubic(ct_seg, z - 1 - z0)).alias("v0"),
+        F.when(start, F.col("rho_prev")).otherwise(cubic(rho_seg, z - 1 - z0)).alias("r0"),
+        cubic(ct_seg, z - z0).alias("v1"), cubic(rho_seg, z - z0).alias("r1"),
     )
     v0, v1, r0, r1, z = (F.col(c) for c in ("v0", "v1", "r0", "r1", "z"))
     t26 = K.HEAT_ISOTHERM

@@ -20,6 +20,7 @@ def local_session(cpus: int | str = "*", app: str = "gridsonde") -> SparkSession
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.sources.parallelPartitionDiscovery.parallelism", str(n))
         .getOrCreate()
     )
