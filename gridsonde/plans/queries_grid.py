@@ -15,7 +15,7 @@ from gridsonde.operators import grid as G
 from gridsonde.operators import quality as Q
 from gridsonde.operators import spatial as S
 from gridsonde.plans.registry import Tables, query, r, rounded, text
-from gridsonde.session import shared_folder
+from gridsonde.session import scratch_path
 from gridsonde.sources import profiles as SP
 from gridsonde.sources import tables as ST
 
@@ -66,7 +66,7 @@ def standardize_coords(t: Tables):
     SUM(CASE WHEN warm THEN 1 ELSE 0 END) AS warm FROM (SELECT *, theta > 25 AS warm FROM f_obs) GROUP BY day""", ("f_obs",))
 def write_table(t: Tables):
     """Storage types (float32, 0/1 bytes) through a written, month-partitioned table."""
-    path = f"{shared_folder(t.spark)}/obs_table"
+    path = scratch_path(t.spark, "obs_table")
     obs = t.f_obs.withColumn("warm", F.col("theta") > 25)
     back = t.spark.read.parquet(ST.write_table(obs, path, day="day"))
     return back.groupBy(text("day").alias("day")).agg(
@@ -77,7 +77,7 @@ def write_table(t: Tables):
 @query("append_days", """SELECT series, CAST(day AS VARCHAR) AS day, ROUND(CAST(CAST(value AS FLOAT) AS DOUBLE), 6) AS value FROM f_daily""", ("f_daily",))
 def append_days(t: Tables):
     """Two overlapping batches of days, one of them written twice: every day is there once."""
-    path = f"{shared_folder(t.spark)}/daily_table"
+    path = scratch_path(t.spark, "daily_table")
     first, second = t.f_daily.filter(F.dayofmonth("day") <= 20), t.f_daily.filter(F.dayofmonth("day") >= 15)
     for batch in (first, second, second):
         ST.append_days(batch, path)

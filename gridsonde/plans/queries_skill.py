@@ -9,7 +9,7 @@ from gridsonde.functions import numeric as N
 from gridsonde.operators import skill as S
 from gridsonde.operators import vertical as V
 from gridsonde.plans.registry import Tables, query, r, rounded
-from gridsonde.session import shared_folder
+from gridsonde.session import scratch_path
 from gridsonde.sources.tables import write_rows_json
 
 STD = "[0e0, 5e0, 1e1, 2e1, 3e1, 5e1, 75e0, 1e2, 125e0, 15e1, 2e2, 3e2, 5e2, 7e2, 1e3]"
@@ -114,7 +114,7 @@ def surface_match(t: Tables):
 @query("skill_report", f"SELECT {_ROUND} FROM skill", ("f_pred",), skill_sql("f_pred"))
 def skill_report(t: Tables):
     """Score rows written as JSON lines and read back."""
-    path = write_rows_json(S.skill_by(t.f_pred, []), f"{shared_folder(t.spark)}/skill_report")
+    path = write_rows_json(S.skill_by(t.f_pred, []), scratch_path(t.spark, "skill_report"))
     schema = "depth double, n bigint, n_pairs bigint, rmse double, bias double, pearson_r double"
     return _scored(t.spark.read.schema(schema).json(path))
 

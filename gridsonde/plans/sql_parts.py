@@ -35,10 +35,12 @@ def metre_profile(name: str) -> str:
     JOIN (SELECT UNNEST(GENERATE_SERIES(0, 1000)) AS z) ON (z >= z0 OR (is_first AND complete)) AND (z < z1 OR (is_last AND z <= z1)))"""
 
 
-def level_values(out: str, name: str, levels: Sequence[float]) -> str:
+def level_values(out: str, name: str, levels: Sequence[float], keys: Sequence[str] = ("cid",)) -> str:
     """CTE: value at fixed levels; the top value above the range, NULL below it or for unusable columns."""
     zs = ", ".join(f"{float(z)!r}e0" for z in levels)
-    return f"""{out}_q AS (SELECT cid, depth, GREATEST(depth, top) AS z FROM (SELECT cid, MIN(z0) AS top FROM {name}_b GROUP BY cid),
+    k, qk = ", ".join(keys), ", ".join(f"q.{c}" for c in keys)
+    on = " AND ".join(f"s.{c} = q.{c}" for c in keys)
+    return f"""{out}_q AS (SELECT {k}, depth, GREATEST(depth, top) AS z FROM (SELECT {k}, MIN(z0) AS top FROM {name}_b GROUP BY {k}),
     (SELECT UNNEST([{zs}]) AS depth)),
-{out} AS (SELECT q.cid, q.depth, {SEG_VALUE} AS v FROM {out}_q q LEFT JOIN {name}_seg s
-    ON s.cid = q.cid AND q.z >= s.z0 AND (q.z < s.z1 OR (s.is_last AND q.z <= s.z1)))"""
+{out} AS (SELECT {qk}, q.depth, {SEG_VALUE} AS v FROM {out}_q q LEFT JOIN {name}_seg s
+    ON {on} AND q.z >= s.z0 AND (q.z < s.z1 OR (s.is_last AND q.z <= s.z1)))"""

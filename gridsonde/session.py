@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -40,3 +41,8 @@ def shared_folder(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="gridsonde-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, so that repeated or concurrent runs do not meet."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -10,11 +10,15 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 
-def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
+def read_stream(spark: SparkSession, folder: str, schema: T.StructType, files: str | None = None,
+                files_per_trigger: int | None = None) -> DataFrame:
+    """Parquet files appearing in a folder, optionally only those matching the glob ``files``."""
     reader = spark.readStream.schema(schema)
+    if files:
+        reader = reader.option("pathGlobFilter", files)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path)
+    return reader.parquet(folder)
 
 
 def stream_daily_mean(stream: DataFrame, ts: str, keys: Sequence[str], values: Sequence[str], lateness: str = "1 day") -> DataFrame:
