@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridsonde import constants as K
+from gridsonde.operators.vertical import spread_columns
 
 
 def daily_mean(df: DataFrame, ts: str, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -46,41 +47,60 @@ def daily_climatology(df: DataFrame, doy: str, keys: Sequence[str], values: Sequ
         aggs += [F.avg(v).alias(f"{v}_clim"), F.stddev_pop(v).alias(f"{v}_std"), F.count(v).alias(f"{v}_count")]
     stats = df.groupBy(doy, *keys).agg(*aggs)
     if full_year:
-        days = F.explode(F.sequence(F.lit(1), F.lit(K.DAYS_PER_YEAR))).alias(doy)
-        spine = stats.select(*keys).distinct().select(*keys, days)
-        stats = spine.join(stats.withColumn(doy, F.col(doy).cast("int")), [*keys, doy], "left")
+        stats = _all_days(stats.withColumn(doy, F.col(doy).cast("int")), doy, keys)
     for v in values:
         count = F.coalesce(F.col(f"{v}_count"), F.lit(0))
         stats = stats.withColumn(f"{v}_count", count).withColumn(f"{v}_low", count < min_samples)
     return stats
 
 
+def _all_days(stats: DataFrame, doy: str, keys: Sequence[str]) -> DataFrame:
+    """Rows for the days between, before and after the known ones, generated from their neighbours.
+
+    One shuffle of the aggregated rows by key replaces a join with a day spine, and leaves the
+    result partitioned for windows over the same key.
+    """
+    w = Window.partitionBy(*keys).orderBy(doy)
+    d = F.col(doy)
+    first = F.when(F.lag(doy).over(w).isNull(), F.lit(1)).otherwise(d)
+    last = F.coalesce(F.lead(doy).over(w) - 1, F.lit(K.DAYS_PER_YEAR))
+    spread = spread_columns(stats, keys).withColumn("__first", first).withColumn("__last", last)
+    days = spread.withColumn("__day", F.explode(F.sequence("__first", "__last")))
+    own = F.col("__day") == d
+    rest = [c for c in stats.columns if c != doy and c not in keys]
+    return days.select(*keys, F.col("__day").alias(doy), *[F.when(own, F.col(c)).alias(c) for c in rest])
+
+
 def fill_doy_gaps(df: DataFrame, doy: str, keys: Sequence[str], value: str) -> DataFrame:
     """Missing calendar days filled linearly between known days and beyond them from the two nearest.
 
     At most 365 rows per key. A key with fewer than two known days keeps its gaps.
     """
     v, d = F.col(value), F.col(doy).cast("double")
-    knot = F.when(v.isNotNull(), F.struct(d.alias("x"), v.alias("y")))
-    out = df.withColumn("__knot", knot)
-    # Looking ahead is looking back in descending order: running frames cost one step per row.
-    for name, order in (("__prev", F.col(doy).asc()), ("__next", F.col(doy).desc())):
-        w = Window.partitionBy(*keys).orderBy(order)
-        second = F.last("__knot", True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-        out = out.withColumn("__pair", F.when(v.isNotNull(), F.struct(F.col("__knot").alias("a"), second.alias("b"))))
-        out = out.withColumn(name, F.last("__pair", True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    prev, nxt = F.col("__prev"), F.col("__next")
-
-    def line(p: Column, q: Column) -> Column:
-        return p["y"] + (q["y"] - p["y"]) / (q["x"] - p["x"]) * (d - p["x"])
+    over = f"OVER (PARTITION BY {', '.join(f'`{k}`' for k in keys)} ORDER BY `{doy}`)" if keys else f"OVER (ORDER BY `{doy}`)"
+
+    def known(side: str, nth: int) -> tuple[Column, Column]:
+        """Day and value of the nth known day before (``lag``) or after (``lead``) this one."""
+        return tuple(F.expr(f"{side}({c}, {nth}) IGNORE NULLS {over}") for c in ("__x", f"`{value}`"))
+
+    sides = {"p": ("lag", 1), "q": ("lag", 2), "n": ("lead", 1), "m": ("lead", 2)}
+    points = []
+    for name, (side, nth) in sides.items():
+        x, y = known(side, nth)
+        points += [x.alias(f"__{name}x"), y.alias(f"__{name}y")]
+    out = df.withColumn("__x", F.when(v.isNotNull(), d)).select("*", *points)
+    (px, py), (qx, qy), (nx, ny), (mx, my) = ((F.col(f"__{s}x"), F.col(f"__{s}y")) for s in sides)
+
+    def line(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+        return y0 + (y1 - y0) / (x1 - x0) * (d - x0)
 
     filled = (
         F.when(v.isNotNull(), v)
-        .when(prev.isNotNull() & nxt.isNotNull(), line(prev["a"], nxt["a"]))
-        .when(prev.isNotNull() & prev["b"].isNotNull(), line(prev["b"], prev["a"]))
-        .when(nxt.isNotNull() & nxt["b"].isNotNull(), line(nxt["a"], nxt["b"]))
+        .when(px.isNotNull() & nx.isNotNull(), line(px, py, nx, ny))
+        .when(qx.isNotNull(), line(qx, qy, px, py))
+        .when(mx.isNotNull(), line(nx, ny, mx, my))
     )
-    return out.withColumn(value, filled).drop("__knot", "__pair", "__prev", "__next")
+    return out.select(*[filled.alias(value) if c == value else F.col(c) for c in df.columns])
 
 
 def doy_join(df: DataFrame, climatology: DataFrame, on: Sequence[str]) -> DataFrame:

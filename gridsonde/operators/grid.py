@@ -193,23 +193,18 @@ def export_grid_rows(df: DataFrame, spec: GridSpec, value: str, box: dict[str, f
     A row holds at most ``n_lon`` values. ``west/south/east/north`` are the outer cell edges.
     """
     half = spec.resolution / 2.0
-    if (box["lat_max"] < spec.lat_start or box["lat_min"] > spec.lat_last
-            or box["lon_max"] < spec.lon_start or box["lon_min"] > spec.lon_last):
+    lats = [y for y in (spec.lat_start + spec.resolution * i for i in range(spec.n_lat)) if box["lat_min"] <= y <= box["lat_max"]]
+    lons = [x for x in (spec.lon_start + spec.resolution * i for i in range(spec.n_lon)) if box["lon_min"] <= x <= box["lon_max"]]
+    if not lats or not lons:
         raise ValueError("the box does not intersect the grid")
     cropped = bbox_filter(
         df.select("iy", "ix", spec.lat().alias("lat"), spec.lon().alias("lon"), F.col(value).alias("v")), box
     )
-    edges = cropped.agg(
-        F.struct(
-            (F.min("lon") - half).alias("west"), (F.min("lat") - half).alias("south"),
-            (F.max("lon") + half).alias("east"), (F.max("lat") + half).alias("north"),
-        ).alias("b")
-    ).scalar()
     rows = cropped.groupBy("iy", "lat").agg(
         F.sort_array(F.collect_list(F.struct("ix", F.bround("v", digits).alias("v")))).alias("cells")
     )
     return rows.select(
         "iy", "lat", F.transform("cells", lambda c: c["v"]).alias("values"), F.size("cells").alias("n_cols"),
-        edges["west"].alias("west"), edges["south"].alias("south"),
-        edges["east"].alias("east"), edges["north"].alias("north"),
+        F.lit(lons[0] - half).alias("west"), F.lit(lats[0] - half).alias("south"),
+        F.lit(lons[-1] + half).alias("east"), F.lit(lats[-1] + half).alias("north"),
     )

@@ -13,7 +13,7 @@ from gridsonde.functions.numeric import nearest_index
 from gridsonde.functions.physics import good_flag
 from gridsonde.grid_spec import GridSpec
 from gridsonde.operators.skill import skill_by
-from gridsonde.operators.vertical import hermite_segments, pack_segments, probe
+from gridsonde.operators.vertical import hermite_segments, probe
 
 MICROS_PER_HOUR = 3600.0e6
 _DAY_MICROS = 86400 * 1000000
@@ -113,19 +113,27 @@ def shallow_count(levels: DataFrame, depth: str = "depth", temp: str = "temp", l
                       F.count_if(F.col(depth) >= limit).alias("n_kept"))
 
 
-def packed_columns(model: DataFrame, keys: Sequence[str], depth: str, values: dict[str, str], need: int = 2) -> DataFrame:
-    """Model columns as one row each with an interval array ``<name>_profile`` per variable.
+def packed_columns(df: DataFrame, keys: Sequence[str], depth: str, values: Sequence[str], need: int = 2,
+                   levels: bool = False) -> DataFrame:
+    """Columns as one row each with an interval array ``<value>_profile`` per variable.
 
-    Variables may be missing at different levels, so each is interpolated on its own levels; a
-    variable known at fewer than ``need`` levels of a column has no array there.
+    Variables may be missing at different levels, so each is interpolated on its own: they become
+    rows of one interpolation, and since that stays partitioned by column, one shuffle serves all.
+    A variable known at fewer than ``need`` levels has an empty array. ``levels`` adds the given
+    levels themselves as an array; it is built on the same partitioning.
     """
-    named = model.select(*keys, F.col(depth).alias("z"), *[F.col(c).alias(n) for n, c in values.items()])
-    named = named.repartition(*keys)
-    out = None
-    for name in values:
-        segs = hermite_segments(named.select(*keys, "z", name), keys, "z", [name]).filter(F.col("n") >= need)
-        one = pack_segments(segs, keys, [name]).withColumnRenamed("profile", f"{name}_profile")
-        out = one if out is None else out.join(one, list(keys), "full")
+    keyed = df.select(*keys, F.col(depth).alias("z"), *values).repartition(*keys)
+    item = F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).alias("v")) for v in values]))
+    long = keyed.select(*keys, "z", item.alias("__i")).select(*keys, "z", "__i.*")
+    segs = hermite_segments(long, [*keys, "variable"], "z", ["v"])
+    usable = F.col("z1").isNotNull() & (F.col("n") >= need)
+    interval = F.struct("z0", "z1", "is_first", "is_last", "complete", "v_seg")
+    out = segs.groupBy(*keys).agg(*[
+        F.sort_array(F.collect_list(F.when(usable & (F.col("variable") == v), interval))).alias(f"{v}_profile")
+        for v in values])
+    if levels:
+        given = keyed.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("z").alias("depth"), *values))).alias("levels"))
+        out = given.join(out, list(keys), "left")
     return out
 
 
@@ -139,7 +147,7 @@ def argo_match(levels: DataFrame, model: DataFrame, spec: GridSpec, ts: str = "t
     """
     placed = nearest_cell(levels, spec, max_radius=max_radius, in_domain=True)
     timed = nearest_time(placed, model.select(t_model), ts, t_model).withColumn("dt_bin", dt_bin(F.col("dt_hours")))
-    columns = packed_columns(model, [t_model, "iy", "ix"], "depth", {"theta": "theta", "sp": "sp"}, need=3)
+    columns = packed_columns(model, [t_model, "iy", "ix"], "depth", ["theta", "sp"], need=3)
     columns = columns.withColumnRenamed(t_model, "t_model")
     joined = timed.join(columns, ["t_model", "iy", "ix"], "left")
     z = F.col("depth")
@@ -156,8 +164,8 @@ def argo_match(levels: DataFrame, model: DataFrame, spec: GridSpec, ts: str = "t
     pair = F.col("status") == "pair"
     return rows.select(
         *levels.columns, "iy", "ix", "t_model", "dt_hours", "dt_bin", "status",
-        F.when(pair, probe(F.col("theta_profile"), "theta", z)).alias("temp_model"),
-        F.when(pair, probe(F.col("sp_profile"), "sp", z)).alias("sp_model"),
+        F.when(pair, probe(F.col("theta_profile"), "v", z)).alias("temp_model"),
+        F.when(pair, probe(F.col("sp_profile"), "v", z)).alias("sp_model"),
     )
 
 
@@ -188,25 +196,34 @@ def mooring_match(mooring: DataFrame, model: DataFrame, spec: GridSpec, sensor_d
     records = mooring.select("site", "ts", "lat", "lon").distinct()
     placed = nearest_time(nearest_cell(records, spec), model.select("t_model"), "ts", "t_model", tolerance_hours)
     placed = placed.filter(F.col("t_model").isNotNull()).select("site", "ts", "iy", "ix", "t_model")
-    obs = None
-    for name in ("temp", "psal"):
-        rows = mooring.select("site", "ts", "depth", name).filter(F.col(name).isNotNull() & F.col("depth").isNotNull())
-        segs = hermite_segments(rows, ["site", "ts"], "depth", [name]).filter(F.col("n") >= 3)
-        one = pack_segments(segs, ["site", "ts"], [name]).withColumnRenamed("profile", f"{name}_obs")
-        obs = one if obs is None else obs.join(one, ["site", "ts"], "full")
-    packed = packed_columns(model, ["t_model", "iy", "ix"], "depth", {"theta": "theta", "sp": "sp"})
-    base = placed.join(obs, ["site", "ts"], "left")
-    sensors = F.explode(F.array(*[F.lit(float(z)) for z in sensor_depths])).alias("depth")
-    z = F.col("depth")
-    at_sensors = base.join(packed, ["t_model", "iy", "ix"]).select("*", sensors).select(
-        "site", "ts", "depth", probe(F.col("theta_profile"), "theta", z).alias("temp_model"),
-        probe(F.col("temp_obs"), "temp", z).alias("temp_obs"), probe(F.col("sp_profile"), "sp", z).alias("sp_model"),
-        probe(F.col("psal_obs"), "psal", z).alias("sp_obs"), F.lit("model_to_mooring").alias("direction"))
-    at_levels = base.join(model.select("t_model", "iy", "ix", "depth", "theta", "sp"), ["t_model", "iy", "ix"]).select(
-        "site", "ts", "depth", F.col("theta").alias("temp_model"), probe(F.col("temp_obs"), "temp", z).alias("temp_obs"),
-        F.col("sp").alias("sp_model"), probe(F.col("psal_obs"), "psal", z).alias("sp_obs"),
-        F.lit("mooring_to_standard").alias("direction"))
-    return at_sensors.unionByName(at_levels)
+    known = mooring.filter(F.col("depth").isNotNull())
+    # Only known levels take part, so a record counts as complete and is extended above its first sensor.
+    long = known.select("site", "ts", "depth", F.explode(F.array(*[
+        F.struct(F.lit(v).alias("variable"), F.col(v).alias("v")) for v in ("temp", "psal")])).alias("__i"))
+    long = long.select("site", "ts", "depth", "__i.*").filter(F.col("v").isNotNull()).repartition("site", "ts")
+    segs = hermite_segments(long, ["site", "ts", "variable"], "depth", ["v"])
+    usable = F.col("z1").isNotNull() & (F.col("n") >= 3)
+    interval = F.struct("z0", "z1", "is_first", "is_last", "complete", "v_seg")
+    obs = segs.groupBy("site", "ts").agg(*[
+        F.sort_array(F.collect_list(F.when(usable & (F.col("variable") == v), interval))).alias(f"{v}_obs")
+        for v in ("temp", "psal")])
+    columns = packed_columns(model, ["t_model", "iy", "ix"], "depth", ["theta", "sp"], levels=True)
+    joined = placed.join(obs, ["site", "ts"], "left").join(columns, ["t_model", "iy", "ix"])
+    none = F.lit(None).cast("double")
+    forward, backward = F.lit("model_to_mooring"), F.lit("mooring_to_standard")
+    sensors = F.array(*[F.struct(F.lit(float(z)).alias("depth"), none.alias("theta"), none.alias("sp"), forward.alias("direction"))
+                        for z in sensor_depths])
+    standard = F.transform("levels", lambda x: F.struct(
+        x["depth"].alias("depth"), x["theta"].alias("theta"), x["sp"].alias("sp"), backward.alias("direction")))
+    rows = joined.withColumn("__q", F.explode(F.concat(sensors, standard))).select("*", "__q.*")
+    z, to_sensor = F.col("depth"), F.col("direction") == forward
+
+    def model_value(level: str) -> Column:
+        return F.when(to_sensor, probe(F.col(f"{level}_profile"), "v", z)).otherwise(F.col(level))
+
+    return rows.select(
+        "site", "ts", "depth", model_value("theta").alias("temp_model"), probe(F.col("temp_obs"), "v", z).alias("temp_obs"),
+        model_value("sp").alias("sp_model"), probe(F.col("psal_obs"), "v", z).alias("sp_obs"), "direction")
 
 
 def skill_by_dt(pairs: DataFrame) -> DataFrame:

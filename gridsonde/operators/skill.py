@@ -186,24 +186,38 @@ def split_eval_report(df: DataFrame, lat_axis: DataFrame, frame: str = "day", de
     unweighted mean over depths by the mean over frames of the area-weighted error of predicting
     zero, as published; ``css_consistent`` uses area weighting and pooling for both.
     """
-    zero = df.withColumn("__zero", F.lit(0.0))
-    theta = masked_depth_rmse(df, "pred_theta", "true_theta", depth, valid, out="rmse_theta")
-    sp = masked_depth_rmse(df, "pred_sp", "true_sp", depth, valid, out="rmse_sp")
-    by_depth = theta.join(sp, [depth])
-    frames = area_weighted_mse(zero, lat_axis, "__zero", "true_theta", lat, valid, [frame], out="m")
-    clim = frames.agg(F.avg("m").alias("m")).scalar()
-    pooled_model = area_weighted_mse(df, lat_axis, "pred_theta", "true_theta", lat, valid).scalar()
-    pooled_clim = area_weighted_mse(zero, lat_axis, "__zero", "true_theta", lat, valid).scalar()
+    mean = lat_axis.agg(F.greatest(F.avg(latitude_weight(F.col(lat))), F.lit(1e-6)).alias("m")).scalar()
     ok = F.col(valid) if valid else F.lit(True)
-    p, t, s = F.col("pred_theta"), F.col("true_theta"), F.col("sigma_theta")
-    per_frame = df.groupBy(frame).agg(coverage_share(p, t, s, 1.0, ok).alias("c1"), coverage_share(p, t, s, 2.0, ok).alias("c2"))
-    cover = per_frame.agg(F.struct(F.avg("c1").alias("c1"), F.avg("c2").alias("c2")).alias("c")).scalar()
-    rows = F.sort_array(F.collect_list(F.struct(F.col(depth).alias("depth"), "rmse_theta", "rmse_sp"))).alias("by_depth")
-    mean_mse = F.avg(F.col("rmse_theta") * F.col("rmse_theta")).alias("mse_model")
-    report = by_depth.agg(mean_mse, rows)
+    p, t, sigma = F.col("pred_theta"), F.col("true_theta"), F.col("sigma_theta")
+    d_t, d_s = p - t, F.col("pred_sp") - F.col("true_sp")
+    rows = df.select(
+        frame, depth, ok.cast("double").alias("n"), F.when(ok, latitude_weight(F.col(lat)) / mean).alias("w"),
+        F.when(ok, d_t * d_t).alias("se_t"), F.when(ok, d_s * d_s).alias("se_s"), F.when(ok, t * t).alias("sq"),
+        F.when(ok & (F.abs(d_t) <= sigma), 1.0).alias("in1"), F.when(ok & (F.abs(d_t) <= sigma * 2.0), 1.0).alias("in2"))
+    # The only pass over the cube: sums per frame and depth, from which both views are small re-aggregations.
+    cell = rows.groupBy(frame, depth).agg(
+        *[F.sum(c).alias(c) for c in ("n", "w", "se_t", "se_s", "in1", "in2")],
+        F.sum(F.col("w") * F.col("se_t")).alias("w_se"), F.sum(F.col("w") * F.col("sq")).alias("w_sq"))
+
+    def total(c: str) -> Column:
+        return F.coalesce(F.sum(c), F.lit(0.0))
+
+    def share(num: str, den: str) -> Column:
+        return total(num) / F.greatest(total(den), F.lit(1e-6))
+
+    by_depth = cell.groupBy(depth).agg(F.sqrt(share("se_t", "n")).alias("rmse_theta"), F.sqrt(share("se_s", "n")).alias("rmse_sp"))
+    by_frame = cell.groupBy(frame).agg(
+        share("w_sq", "w").alias("clim"), share("in1", "n").alias("c1"), share("in2", "n").alias("c2"),
+        total("w_se").alias("w_se"), total("w_sq").alias("w_sq"))
+    depths = by_depth.select(
+        F.struct(F.col(depth).alias("depth"), "rmse_theta", "rmse_sp").alias("level"),
+        (F.col("rmse_theta") * F.col("rmse_theta")).alias("mse"))
+    both = depths.unionByName(by_frame.drop(frame), allowMissingColumns=True)
+    report = both.agg(
+        F.sort_array(F.collect_list("level")).alias("by_depth"), F.avg("mse").alias("mse"), F.avg("clim").alias("clim"),
+        F.avg("c1").alias("coverage_1"), F.avg("c2").alias("coverage_2"), F.sum("w_se").alias("w_se"), F.sum("w_sq").alias("w_sq"))
     return report.select(
-        "by_depth", climatology_skill(F.col("mse_model"), clim).alias("css"),
-        climatology_skill(pooled_model, pooled_clim).alias("css_consistent"),
-        cover["c1"].alias("coverage_1"), cover["c2"].alias("coverage_2"),
+        "by_depth", climatology_skill(F.col("mse"), F.col("clim")).alias("css"),
+        climatology_skill(F.col("w_se"), F.col("w_sq")).alias("css_consistent"), "coverage_1", "coverage_2",
         F.lit(0.68).alias("nominal_1"), F.lit(0.95).alias("nominal_2"),
     )

@@ -125,19 +125,20 @@ def cubic(seg: Column, s: Column) -> Column:
     return seg["y"] + s * (seg["b"] + s * (seg["c"] + s * seg["d"]))
 
 
-def pchip(df: DataFrame, keys: Sequence[str], depth: str, value: str, step: float = 1.0,
+def pchip(df: DataFrame, keys: Sequence[str], depth: str, value: str | Sequence[str], step: float = 1.0,
           z_min: float = 0.0, z_max: float = K.PROFILE_DEPTH_MAX, out: str = "z") -> DataFrame:
     """Shape-preserving cubic interpolation onto the regular axis ``z_min, z_min+step .. z_max``.
 
-    Targets outside the known range give no row, except above the first level of a complete
-    column, where the first cubic is extended.
+    Several values known at the same levels are sampled together. Targets outside the known range
+    give no row, except above the first level of a complete column, where the first cubic is extended.
     """
-    segs = hermite_segments(spread_columns(df.select(*keys, depth, value), keys), keys, depth, [value])
+    values = [value] if isinstance(value, str) else list(value)
+    segs = hermite_segments(spread_columns(df.select(*keys, depth, *values), keys), keys, depth, values)
     low, high = _sample_range(step, z_min, z_max)
-    sampled = segs.select(*keys, "z0", f"{value}_seg", F.explode(
+    sampled = segs.select(*keys, "z0", *[f"{v}_seg" for v in values], F.explode(
         F.when(low <= high, F.sequence(low, high))).alias("__i"))
     z = F.col("__i") * F.lit(float(step))
-    return sampled.select(*keys, z.alias(out), cubic(F.col(f"{value}_seg"), z - F.col("z0")).alias(value))
+    return sampled.select(*keys, z.alias(out), *[cubic(F.col(f"{v}_seg"), z - F.col("z0")).alias(v) for v in values])
 
 
 def _sample_range(step: float, z_min: float, z_max: float) -> tuple[Column, Column]:
@@ -181,7 +182,7 @@ def pchip_levels(df: DataFrame, keys: Sequence[str], depth: str, value: str,
     Levels above the known range take the shallowest value, levels below it NULL; ``clamp_deep``
     keeps the deepest value for complete columns instead.
     """
-    packed = pack_segments(hermite_segments(df, keys, depth, [value]), keys, [value])
+    packed = pack_segments(hermite_segments(spread_columns(df.select(*keys, depth, value), keys), keys, depth, [value]), keys, [value])
     rows = packed.select(*keys, "profile", F.explode(F.array(*[F.lit(float(z)) for z in levels])).alias(depth))
     top = F.get("profile", 0)["z0"]
     z = F.greatest(F.col(depth), top)
@@ -231,11 +232,10 @@ def isotherm_depth(df: DataFrame, keys: Sequence[str], depth: str, value: str, t
 
 def _reference_value(df: DataFrame, keys: Sequence[str], depth: str, value: str, z_ref: float) -> DataFrame:
     """Attach the value at the level nearest to ``z_ref`` and that level; NULL if too far away."""
-    w = Window.partitionBy(*keys)
     off = F.abs(F.col(depth) - z_ref)
-    near = F.min_by(F.struct(F.col(depth).alias("z"), F.col(value).alias("v")), F.struct(off, F.col(depth))).over(w)
-    return df.withColumn("__near", near).withColumn(
-        "__ref", F.when(F.abs(F.col("__near")["z"] - z_ref) <= K.REFERENCE_DEPTH_TOLERANCE, F.col("__near")))
+    candidate = F.struct(off.alias("off"), F.col(depth).alias("z"), F.col(value).alias("v"))
+    near = F.min(F.when(off <= K.REFERENCE_DEPTH_TOLERANCE, candidate))  # the shallower level on a tie
+    return df.withColumn("__ref", near.over(Window.partitionBy(*keys)))
 
 
 def mixed_layer_depth(df: DataFrame, keys: Sequence[str], depth: str, rho: str, drho: float = K.MIXED_LAYER_DRHO,

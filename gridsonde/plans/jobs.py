@@ -21,21 +21,16 @@ from gridsonde.operators import vertical as V
 from gridsonde.sources import tables as ST
 
 
-def index_axes(raw: DataFrame, lat: str = "lat", lon: str = "lon") -> tuple[DataFrame, DataFrame]:
-    """Source axes with positions: the distinct coordinates, numbered in ascending order."""
-    def numbered(c: str, index: str) -> DataFrame:
-        from pyspark.sql import Window
-        axis = raw.select(c).filter(F.col(c).isNotNull()).distinct()
-        return axis.select((F.row_number().over(Window.orderBy(c)) - 1).alias(index), c)
-
-    return numbered(lat, "sy"), numbered(lon, "sx")
-
-
 def job_regrid(raw: DataFrame, target: GridSpec, values: Sequence[str], keys: Sequence[str],
                aliases: Mapping[str, Sequence[str]] | None = None, interpolate_depth: bool = False,
-               elevation: DataFrame | None = None) -> DataFrame:
-    """Raw gridded rows to the target grid: names, optional depth interpolation, remap, sea-floor mask."""
-    df = ST.standardize_coords(ST.alias_columns(raw, aliases or {}))
+               elevation: DataFrame | None = None, wrap: bool | None = None) -> DataFrame:
+    """Raw gridded rows to the target grid: names, optional depth interpolation, remap, sea-floor mask.
+
+    The source axes are the distinct coordinates of the raw rows. ``wrap`` says whether longitudes
+    run 0..360, which otherwise takes a look at their range.
+    """
+    df = ST.standardize_coords(ST.alias_columns(raw, aliases or {}), wrap)
+    lat_axis, lon_axis = df.select("lat").distinct(), df.select("lon").distinct()
     keys = list(keys)
     if interpolate_depth:
         column = [k for k in keys if k != "depth"] + ["lat", "lon"]
@@ -45,9 +40,7 @@ def job_regrid(raw: DataFrame, target: GridSpec, values: Sequence[str], keys: Se
             one = V.pchip_levels(df.select(*column, "depth", v), column, "depth", v)
             levels = one if levels is None else levels.join(one, [*column, "depth"], "full")
         df = levels
-    lat_axis, lon_axis = index_axes(df)
-    placed = df.join(lat_axis, "lat").join(lon_axis, "lon")
-    out = R.conservative_regrid(placed, lat_axis, lon_axis, target, values, keys, sy="sy", sx="sx")
+    out = R.conservative_regrid(df, lat_axis, lon_axis, target, values, keys, sy="lat", sx="lon")
     if elevation is None:
         return out
     return G.depth_truncation(out, elevation, values, depth="depth" if "depth" in keys else None)
@@ -56,9 +49,8 @@ def job_regrid(raw: DataFrame, target: GridSpec, values: Sequence[str], keys: Se
 def job_masks(raw_elevation: DataFrame, target: GridSpec, value: str = "elevation_m",
               levels: Sequence[float] = K.STANDARD_DEPTHS) -> tuple[DataFrame, DataFrame]:
     """Elevation on the target grid with land, water depth and both buffers; plus validity per level."""
-    lat_axis, lon_axis = index_axes(raw_elevation)
-    placed = raw_elevation.join(lat_axis, "lat").join(lon_axis, "lon")
-    elev = R.conservative_regrid(placed, lat_axis, lon_axis, target, [value], sy="sy", sx="sx", keep_uncovered=True)
+    lat_axis, lon_axis = raw_elevation.select("lat").distinct(), raw_elevation.select("lon").distinct()
+    elev = R.conservative_regrid(raw_elevation, lat_axis, lon_axis, target, [value], sy="lat", sx="lon", keep_uncovered=True)
     masks = G.build_masks(elev, value)
     masks = S.dilate_mask(masks, "land", K.COASTAL_BUFFER_CELLS, out="coastal")
     masks = S.dilate_mask(masks, "land", K.GRADIENT_BUFFER_CELLS, out="gradient_invalid")

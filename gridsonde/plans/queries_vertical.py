@@ -18,7 +18,7 @@ def _with_density(t: Tables):
     return t.f_column.withColumn("ct", theta).withColumn("rho", P.simple_density(theta, sp))
 
 
-def _metres(t: Tables, value: str):
+def _metres(t: Tables, value: str | list[str]):
     return V.pchip(_with_density(t), _CID, "depth", value)
 
 
@@ -83,8 +83,7 @@ def blt(t: Tables):
 
 @query("tchp", "SELECT cid, ROUND(CASE WHEN has = 1 THEN COALESCE(e, 0) END, 6) AS tchp FROM heat", ("f_column",), _INDEX_CTES)
 def tchp(t: Tables):
-    both = _metres(t, "ct").join(_metres(t, "rho"), ["cid", "z"])
-    return rounded(V.heat_potential(both, _CID, "z", "ct", "rho"), "tchp")
+    return rounded(V.heat_potential(_metres(t, ["ct", "rho"]), _CID, "z", "ct", "rho"), "tchp")
 
 
 @query("pchip", f"""SELECT cid, CAST(z AS DOUBLE) AS z, ROUND({SEG_VALUE}, 6) AS theta

@@ -101,13 +101,14 @@ def _with_month(df: DataFrame, day: str) -> DataFrame:
 def write_table(df: DataFrame, path: str, day: str | None = None, sort: Sequence[str] = ("iy", "ix", "depth")) -> str:
     """Overwrite a Parquet table with storage types, partitioned by month when it has a day column.
 
-    Rows are clustered by month and day, so that a partition gets few files, and sorted inside for
-    tight row-group statistics.
+    The rebalance hint clusters rows by month, merges small months into one task and splits months
+    beyond the advisory partition size over several, so neither tiny nor huge files appear; rows are
+    sorted inside for tight row-group statistics.
     """
     out = to_storage_types(df)
     if day:
         order = [c for c in (day, *sort) if c in out.columns]
-        out = _with_month(out, day).repartition("month", day).sortWithinPartitions("month", *order)
+        out = _with_month(out, day).hint("rebalance", "month").sortWithinPartitions("month", *order)
         out.write.mode("overwrite").option("compression", "zstd").partitionBy("month").parquet(path)
     else:
         out.write.mode("overwrite").option("compression", "zstd").parquet(path)
@@ -120,7 +121,7 @@ def append_days(df: DataFrame, path: str, day: str = "day", idempotent: bool = T
     ``idempotent`` replaces the partitions of the days it brings, so a repeated run (after a lost
     executor or a retried job) leaves one copy; otherwise rows are appended.
     """
-    out = to_storage_types(df).repartition(day)
+    out = to_storage_types(df).hint("rebalance", day)
     writer = out.write.option("compression", "zstd").partitionBy(day)
     if idempotent:
         writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
