@@ -187,10 +187,10 @@ def select_layer(df: DataFrame, variables: dict[str, str], variable: str, depth:
 
 
 def export_grid_rows(df: DataFrame, spec: GridSpec, value: str, box: dict[str, float],
-                     digits: int = 3) -> DataFrame:
+                     digits: int = 3, keys: Sequence[str] = ()) -> DataFrame:
     """Crop a field and return one row per latitude with its values in longitude order.
 
-    A row holds at most ``n_lon`` values. ``west/south/east/north`` are the outer cell edges.
+    A row holds at most ``n_lon`` values; a field of several days needs the day among ``keys``. ``west/south/east/north`` are the outer cell edges.
     """
     half = spec.resolution / 2.0
     lats = [y for y in (spec.lat_start + spec.resolution * i for i in range(spec.n_lat)) if box["lat_min"] <= y <= box["lat_max"]]
@@ -198,13 +198,13 @@ def export_grid_rows(df: DataFrame, spec: GridSpec, value: str, box: dict[str, f
     if not lats or not lons:
         raise ValueError("the box does not intersect the grid")
     cropped = bbox_filter(
-        df.select("iy", "ix", spec.lat().alias("lat"), spec.lon().alias("lon"), F.col(value).alias("v")), box
+        df.select(*keys, "iy", "ix", spec.lat().alias("lat"), spec.lon().alias("lon"), F.col(value).alias("v")), box
     )
-    rows = cropped.groupBy("iy", "lat").agg(
+    rows = cropped.groupBy(*keys, "iy", "lat").agg(
         F.sort_array(F.collect_list(F.struct("ix", F.bround("v", digits).alias("v")))).alias("cells")
     )
     return rows.select(
-        "iy", "lat", F.transform("cells", lambda c: c["v"]).alias("values"), F.size("cells").alias("n_cols"),
+        *keys, "iy", "lat", F.transform("cells", lambda c: c["v"]).alias("values"), F.size("cells").alias("n_cols"),
         F.lit(lons[0] - half).alias("west"), F.lit(lats[0] - half).alias("south"),
         F.lit(lons[-1] + half).alias("east"), F.lit(lats[-1] + half).alias("north"),
     )

@@ -13,7 +13,7 @@ from gridsonde.functions.numeric import nearest_index
 from gridsonde.functions.physics import good_flag
 from gridsonde.grid_spec import GridSpec
 from gridsonde.operators.skill import skill_by
-from gridsonde.operators.vertical import hermite_segments, probe
+from gridsonde.operators.vertical import dedupe_levels, hermite_segments, probe
 
 MICROS_PER_HOUR = 3600.0e6
 _DAY_MICROS = 86400 * 1000000
@@ -114,7 +114,7 @@ def shallow_count(levels: DataFrame, depth: str = "depth", temp: str = "temp", l
 
 
 def packed_columns(df: DataFrame, keys: Sequence[str], depth: str, values: Sequence[str], need: int = 2,
-                   levels: bool = False) -> DataFrame:
+                   levels: bool = False, unique: bool = False) -> DataFrame:
     """Columns as one row each with an interval array ``<value>_profile`` per variable.
 
     Variables may be missing at different levels, so each is interpolated on its own: they become
@@ -122,7 +122,8 @@ def packed_columns(df: DataFrame, keys: Sequence[str], depth: str, values: Seque
     A variable known at fewer than ``need`` levels has an empty array. ``levels`` adds the given
     levels themselves as an array; it is built on the same partitioning.
     """
-    keyed = df.select(*keys, F.col(depth).alias("z"), *values).repartition(*keys)
+    rows = df.select(*keys, F.col(depth).alias("z"), *values)
+    keyed = (rows if unique else dedupe_levels(rows, keys, "z", values)).repartition(*keys)
     item = F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).alias("v")) for v in values]))
     long = keyed.select(*keys, "z", item.alias("__i")).select(*keys, "z", "__i.*")
     segs = hermite_segments(long, [*keys, "variable"], "z", ["v"])
@@ -138,16 +139,17 @@ def packed_columns(df: DataFrame, keys: Sequence[str], depth: str, values: Seque
 
 
 def argo_match(levels: DataFrame, model: DataFrame, spec: GridSpec, ts: str = "ts", t_model: str = "t_model",
-               max_radius: float = K.MATCH_RADIUS_DEG) -> DataFrame:
+               max_radius: float = K.MATCH_RADIUS_DEG, unique: bool = False) -> DataFrame:
     """Status of every in-situ level and, for ``pair`` rows, model values at its depth.
 
     ``levels``: profile_id, ts, lat, lon, depth, temp, psal. ``model``: t_model, iy, ix, depth,
     theta, sp. Status is far, time, no_model, shallow, missing or pair. Space is closed form, time
     a bucketed equi-join, the model column an equi-join on (time, cell) with one packed row.
+    ``unique`` promises one model row per time, cell and depth.
     """
     placed = nearest_cell(levels, spec, max_radius=max_radius, in_domain=True)
     timed = nearest_time(placed, model.select(t_model), ts, t_model).withColumn("dt_bin", dt_bin(F.col("dt_hours")))
-    columns = packed_columns(model, [t_model, "iy", "ix"], "depth", ["theta", "sp"], need=3)
+    columns = packed_columns(model, [t_model, "iy", "ix"], "depth", ["theta", "sp"], need=3, unique=unique)
     columns = columns.withColumnRenamed(t_model, "t_model")
     joined = timed.join(columns, ["t_model", "iy", "ix"], "left")
     z = F.col("depth")
@@ -186,7 +188,7 @@ def argo_counters(matched: DataFrame, profile: str = "profile_id") -> DataFrame:
 
 
 def mooring_match(mooring: DataFrame, model: DataFrame, spec: GridSpec, sensor_depths: Sequence[float] = K.MOORING_SENSOR_DEPTHS,
-                  tolerance_hours: float = K.MOORING_TOLERANCE_HOURS) -> DataFrame:
+                  tolerance_hours: float = K.MOORING_TOLERANCE_HOURS, unique: bool = False) -> DataFrame:
     """Mooring records against model columns, in both interpolation directions.
 
     ``mooring``: site, ts, lat, lon, depth, temp, psal. ``model``: t_model, iy, ix, depth, theta,
@@ -200,14 +202,15 @@ def mooring_match(mooring: DataFrame, model: DataFrame, spec: GridSpec, sensor_d
     # Only known levels take part, so a record counts as complete and is extended above its first sensor.
     long = known.select("site", "ts", "depth", F.explode(F.array(*[
         F.struct(F.lit(v).alias("variable"), F.col(v).alias("v")) for v in ("temp", "psal")])).alias("__i"))
-    long = long.select("site", "ts", "depth", "__i.*").filter(F.col("v").isNotNull()).repartition("site", "ts")
+    long = long.select("site", "ts", "depth", "__i.*").filter(F.col("v").isNotNull())
+    long = dedupe_levels(long, ["site", "ts", "variable"], "depth", ["v"]).repartition("site", "ts")
     segs = hermite_segments(long, ["site", "ts", "variable"], "depth", ["v"])
     usable = F.col("z1").isNotNull() & (F.col("n") >= 3)
     interval = F.struct("z0", "z1", "is_first", "is_last", "complete", "v_seg")
     obs = segs.groupBy("site", "ts").agg(*[
         F.sort_array(F.collect_list(F.when(usable & (F.col("variable") == v), interval))).alias(f"{v}_obs")
         for v in ("temp", "psal")])
-    columns = packed_columns(model, ["t_model", "iy", "ix"], "depth", ["theta", "sp"], levels=True)
+    columns = packed_columns(model, ["t_model", "iy", "ix"], "depth", ["theta", "sp"], levels=True, unique=unique)
     joined = placed.join(obs, ["site", "ts"], "left").join(columns, ["t_model", "iy", "ix"])
     none = F.lit(None).cast("double")
     forward, backward = F.lit("model_to_mooring"), F.lit("mooring_to_standard")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridsonde import constants as K
-from gridsonde.functions.numeric import unit
+from gridsonde.functions.numeric import finite, unit
 from gridsonde.functions.physics import sigma_theta
 
 
@@ -22,14 +22,13 @@ def dedupe_levels(df: DataFrame, keys: Sequence[str], depth: str, values: Sequen
                   order: str | None = None) -> DataFrame:
     """One row per column and depth; partial aggregation shrinks repeated copies before the shuffle.
 
-    ``order`` names the original position, the lowest of which is kept. Without it the smallest
-    value tuple is kept, so that the result does not depend on row order.
+    ``order`` names the original position: the first known value counts. Without it the smallest
+    known value does, so that the result does not depend on row order.
     """
-    row = F.struct(*[F.col(v).alias(v) for v in values])
-    pick = F.min_by(row, F.col(order)) if order else F.min(row)
-    return df.groupBy(*keys, depth).agg(pick.alias("__row")).select(
-        *keys, depth, *[F.col("__row")[v].alias(v) for v in values]
-    )
+    def pick(v: str) -> Column:
+        return F.min_by(F.col(v), F.when(F.col(v).isNotNull(), F.col(order))) if order else F.min(v)
+
+    return df.groupBy(*keys, depth).agg(*[pick(v).alias(v) for v in values])
 
 
 def _interior_slope(h0: Column, m0: Column, h1: Column, m1: Column) -> Column:
@@ -55,15 +54,24 @@ def spread_columns(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def column_levels(df: DataFrame, keys: Sequence[str], depth: str, values: Sequence[str], unique: bool) -> DataFrame:
+    """Level rows brought together by column, repeated depths merged beforehand unless ``unique``.
+
+    A column's size is then bounded by its distinct depths, however often its rows are repeated.
+    """
+    rows = df.select(*keys, depth, *values)
+    return spread_columns(rows if unique else dedupe_levels(rows, keys, depth, values), keys)
+
+
 def hermite_segments(df: DataFrame, keys: Sequence[str], depth: str, values: Sequence[str],
                      min_levels: int = 3, carry: dict[str, Column] | None = None) -> DataFrame:
     """Knot intervals of each column with the cubic of every value as ``<value>_seg``.
 
-    ``values`` must be known at the same levels; levels where any is NULL are dropped. A column is
-    *complete* when no level was dropped; it needs two levels, a partial one needs ``min_levels``.
-    Each column keeps at least its first row; ``z1`` is NULL where there is no usable interval.
-    Depths must be distinct within a column (:func:`dedupe_levels`). ``carry`` adds whole-column
-    aggregates of the input, evaluated in the same window pass.
+    ``values`` must be known at the same levels; levels where any is NULL or not finite are dropped.
+    A column is *complete* when no level was dropped; it needs two levels, a partial one needs
+    ``min_levels``. Each column keeps at least its first row; ``z1`` is NULL where there is no usable
+    interval. Depths must be distinct within a column (:func:`column_levels`). ``carry`` adds
+    whole-column aggregates of the input, evaluated in the same window pass.
     """
     wz = Window.partitionBy(*keys).orderBy("z0")
     w = wz.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # one sort serves both
@@ -74,7 +82,7 @@ def hermite_segments(df: DataFrame, keys: Sequence[str], depth: str, values: Seq
     carry = carry or {}
     knots = (
         df.select(*keys, F.col(depth).cast("double").alias("z0"),
-                  *[F.col(c) for c in df.columns if c not in keys and c != depth])
+                  *[finite(F.col(c).cast("double")).alias(c) for c in df.columns if c not in keys and c != depth])
         .select("*", F.count(F.lit(1)).over(w).alias("n_all"), F.count_if(known).over(w).alias("n"),
                 *[c.over(w).alias(name) for name, c in carry.items()])
         .filter(known)
@@ -126,14 +134,15 @@ def cubic(seg: Column, s: Column) -> Column:
 
 
 def pchip(df: DataFrame, keys: Sequence[str], depth: str, value: str | Sequence[str], step: float = 1.0,
-          z_min: float = 0.0, z_max: float = K.PROFILE_DEPTH_MAX, out: str = "z") -> DataFrame:
+          z_min: float = 0.0, z_max: float = K.PROFILE_DEPTH_MAX, out: str = "z", unique: bool = False) -> DataFrame:
     """Shape-preserving cubic interpolation onto the regular axis ``z_min, z_min+step .. z_max``.
 
     Several values known at the same levels are sampled together. Targets outside the known range
     give no row, except above the first level of a complete column, where the first cubic is extended.
+    ``unique`` promises one row per column and depth and saves the merging of repeated levels.
     """
     values = [value] if isinstance(value, str) else list(value)
-    segs = hermite_segments(spread_columns(df.select(*keys, depth, *values), keys), keys, depth, values)
+    segs = hermite_segments(column_levels(df, keys, depth, values, unique), keys, depth, values)
     low, high = _sample_range(step, z_min, z_max)
     sampled = segs.select(*keys, "z0", *[f"{v}_seg" for v in values], F.explode(
         F.when(low <= high, F.sequence(low, high))).alias("__i"))
@@ -176,13 +185,15 @@ def probe(profile: Column, value: str, z: Column, extend_top: Column | None = No
 
 
 def pchip_levels(df: DataFrame, keys: Sequence[str], depth: str, value: str,
-                 levels: Sequence[float] = K.STANDARD_DEPTHS, clamp_deep: bool = False) -> DataFrame:
+                 levels: Sequence[float] = K.STANDARD_DEPTHS, clamp_deep: bool = False,
+                 unique: bool = False) -> DataFrame:
     """Interpolation onto fixed levels, one row per column and level.
 
     Levels above the known range take the shallowest value, levels below it NULL; ``clamp_deep``
     keeps the deepest value for complete columns instead.
     """
-    packed = pack_segments(hermite_segments(spread_columns(df.select(*keys, depth, value), keys), keys, depth, [value]), keys, [value])
+    segs = hermite_segments(column_levels(df, keys, depth, [value], unique), keys, depth, [value])
+    packed = pack_segments(segs, keys, [value])
     rows = packed.select(*keys, "profile", F.explode(F.array(*[F.lit(float(z)) for z in levels])).alias(depth))
     top = F.get("profile", 0)["z0"]
     z = F.greatest(F.col(depth), top)
@@ -294,18 +305,19 @@ def _heat_layer(v: Column, vn: Column, rho: Column, rho_n: Column, dz: Column) -
 
 
 def column_indices(df: DataFrame, keys: Sequence[str], depth: str, ct: str, rho: str, sigma_sp: str | None = None,
-                   z_max: float = K.PROFILE_DEPTH_MAX) -> DataFrame:
+                   z_max: float = K.PROFILE_DEPTH_MAX, unique: bool = False) -> DataFrame:
     """TCHP, MLD, Z20, ILD, BLT and D26 of every column on the 1 m axis, in one shuffle.
 
     Each interval evaluates its own metre samples and pairs its first one with the last sample of the
     interval above, carried down by a running window over the knots. Because an interval is monotone,
     its end samples tell whether a search has ended there, so deeper ones are not sampled at all.
     """
-    level_known = F.col(ct).isNotNull() & F.col(rho).isNotNull()
+    level_known = finite(F.col(ct)).isNotNull() & finite(F.col(rho)).isNotNull()
     src = df.select(*keys, depth, F.when(level_known, F.col(ct)).alias("ct"), F.when(level_known, F.col(rho)).alias("rho"),
                     *([F.col(sigma_sp).alias("__sigma")] if sigma_sp else []))
     carry = {"mean_sigma": F.avg("__sigma")} if sigma_sp else {}
-    segs = hermite_segments(spread_columns(src, keys), keys, depth, ["ct", "rho"], carry=carry)
+    values = [c for c in src.columns if c not in (*keys, depth)]
+    segs = hermite_segments(column_levels(src, keys, depth, values, unique), keys, depth, ["ct", "rho"], carry=carry)
     low, high = _sample_range(1.0, 0.0, z_max)
     s = segs.withColumn("lo", low).withColumn("hi", high)
     has = F.col("lo") <= F.col("hi")

@@ -34,7 +34,6 @@ def job_regrid(raw: DataFrame, target: GridSpec, values: Sequence[str], keys: Se
     keys = list(keys)
     if interpolate_depth:
         column = [k for k in keys if k != "depth"] + ["lat", "lon"]
-        df = V.spread_columns(df, column)
         levels = None
         for v in values:
             one = V.pchip_levels(df.select(*column, "depth", v), column, "depth", v)
@@ -102,10 +101,11 @@ def job_indices(cube: DataFrame, keys: Sequence[str], theta: str = "theta", sp:
         "heat_class", P.classify_heat(F.col("tchp")))
 
 
-def job_validation(levels: DataFrame, model: DataFrame, spec: GridSpec, flagged: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+def job_validation(levels: DataFrame, model: DataFrame, spec: GridSpec, flagged: bool = True,
+                   unique: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """In-situ levels through quality control and matching to scores; also the pairs and counters."""
     clean = M.qc_filter(levels, ["profile_id"]) if flagged else levels
-    matched = M.argo_match(clean, model, spec)
+    matched = M.argo_match(clean, model, spec, unique=unique)
     return M.skill_by_dt(M.argo_pairs(matched)), matched, M.argo_counters(matched)
 
 

@@ -104,7 +104,7 @@ _ARGO_VIEWS = ("f_insitu", "f_model")
 
 @query("argo_match", "SELECT obs_id, depth, dt_bin, ROUND(h, 5) AS dt_h, ROUND(temp, 6) AS temp, ROUND(temp_model, 6) AS temp_model, ROUND(psal, 6) AS psal, ROUND(sp_model, 6) AS sp_model FROM pairs", _ARGO_VIEWS, _ARGO)
 def argo_match(t: Tables):
-    pairs = M.argo_pairs(M.argo_match(_levels(t), t.f_model, CELLS))
+    pairs = M.argo_pairs(M.argo_match(_levels(t), t.f_model, CELLS, unique=True))
     out = pairs.select("obs_id", "depth", "dt_bin", r("dt_hours", 5).alias("dt_h"), "temp", "temp_model", "psal", "sp_model")
     return rounded(out, "temp", "temp_model", "psal", "sp_model")
 
@@ -112,13 +112,13 @@ def argo_match(t: Tables):
 @query("argo_counters", """SELECT COUNT(DISTINCT CASE WHEN status = 'far' THEN profile_id END) AS skipped_far, COUNT(DISTINCT CASE WHEN status = 'time' THEN profile_id END) AS skipped_time,
     COUNT(CASE WHEN status = 'shallow' THEN 1 END) AS skipped_shallow, COUNT(CASE WHEN status = 'pair' THEN 1 END) AS n_pairs FROM stat""", _ARGO_VIEWS, _ARGO)
 def argo_counters(t: Tables):
-    return M.argo_counters(M.argo_match(_levels(t), t.f_model, CELLS))
+    return M.argo_counters(M.argo_match(_levels(t), t.f_model, CELLS, unique=True))
 
 
 @query("skill_by_dt", "SELECT dt_bin, variable, depth, n, n_pairs, ROUND(rmse, 6) AS rmse, ROUND(bias, 6) AS bias, ROUND(r, 6) AS pearson_r FROM skill", _ARGO_VIEWS,
        f"{_ARGO}, vars AS (SELECT dt_bin, 'theta' AS variable, depth, temp_model AS pred, temp AS obs FROM pairs UNION ALL SELECT dt_bin, 'sp', depth, sp_model, psal FROM pairs), " + skill_sql("vars", "dt_bin, variable"))
 def skill_by_dt(t: Tables):
-    pairs = M.argo_pairs(M.argo_match(_levels(t), t.f_model, CELLS))
+    pairs = M.argo_pairs(M.argo_match(_levels(t), t.f_model, CELLS, unique=True))
     return rounded(M.skill_by_dt(pairs), "rmse", "bias", "pearson_r")
 
 
@@ -157,14 +157,14 @@ _MM_COLS = "CAST(ts AS VARCHAR) AS ts, site, depth, direction, ROUND(temp_model,
 
 @query("mooring_match", f"SELECT {_MM_COLS} FROM mm", ("f_model",), _MOOR)
 def mooring_match(t: Tables):
-    out = M.mooring_match(_mooring(t), t.f_model, CELLS)
+    out = M.mooring_match(_mooring(t), t.f_model, CELLS, unique=True)
     return rounded(out.withColumn("ts", text("ts")), "temp_model", "temp_obs", "sp_model", "sp_obs")
 
 
 @query("mooring_skill", "SELECT direction, variable, depth, n, n_pairs, ROUND(rmse, 6) AS rmse, ROUND(bias, 6) AS bias, ROUND(r, 6) AS pearson_r FROM skill", ("f_model",),
        f"{_MOOR}, vars AS (SELECT direction, 'theta' AS variable, depth, temp_model AS pred, temp_obs AS obs FROM mm UNION ALL SELECT direction, 'sp', depth, sp_model, sp_obs FROM mm), " + skill_sql("vars", "direction, variable"))
 def mooring_skill(t: Tables):
-    return rounded(M.mooring_skill(M.mooring_match(_mooring(t), t.f_model, CELLS)), "rmse", "bias", "pearson_r")
+    return rounded(M.mooring_skill(M.mooring_match(_mooring(t), t.f_model, CELLS, unique=True)), "rmse", "bias", "pearson_r")
 
 
 @query("point_lookup", """SELECT pid, CAST(iy AS INT) AS iy, CAST(ix AS INT) AS ix, n, ROUND(theta, 6) AS theta FROM (SELECT c_custkey AS pid, ((c_custkey * 7) % 10) AS iy, ((c_custkey * 3) % 10) AS ix FROM customer) s

@@ -19,7 +19,7 @@ def _with_density(t: Tables):
 
 
 def _metres(t: Tables, value: str | list[str]):
-    return V.pchip(_with_density(t), _CID, "depth", value)
+    return V.pchip(_with_density(t), _CID, "depth", value, unique=True)
 
 
 RHO_SQL = "1025e0 - 0.15e0 * (theta - 1e1) + 0.76e0 * (sp * (35.16504e0 / 35e0) - 35e0)"
@@ -53,7 +53,7 @@ _INDEX_CTES = f"{_COLUMNS}, {_CT}, {_RHO}, {_PAIRS}"
     ROUND(CASE WHEN ild > mld THEN ild - mld END, 6) AS blt, ROUND(CASE WHEN has = 1 THEN COALESCE(e, 0) END, 6) AS tchp
     FROM idx JOIN heat USING (cid)""", ("f_column",), _INDEX_CTES)
 def indices_profile(t: Tables):
-    out = V.column_indices(_with_density(t), _CID, "depth", "ct", "rho")
+    out = V.column_indices(_with_density(t), _CID, "depth", "ct", "rho", unique=True)
     return rounded(out, "d26", "z20", "mld", "ild", "blt", "tchp")
 
 
@@ -78,7 +78,7 @@ def ild(t: Tables):
 def blt(t: Tables):
     """Barrier layer gated by the column's mean salinity spread (a spread derived from salinity here)."""
     df = _with_density(t).withColumn("sigma", F.col("sp") / 230.0)
-    return V.column_indices(df, _CID, "depth", "ct", "rho", sigma_sp="sigma").select("cid", r("blt").alias("blt"))
+    return V.column_indices(df, _CID, "depth", "ct", "rho", sigma_sp="sigma", unique=True).select("cid", r("blt").alias("blt"))
 
 
 @query("tchp", "SELECT cid, ROUND(CASE WHEN has = 1 THEN COALESCE(e, 0) END, 6) AS tchp FROM heat", ("f_column",), _INDEX_CTES)
@@ -91,13 +91,13 @@ def tchp(t: Tables):
     ON (z >= z0 OR (is_first AND complete)) AND (z < z1 OR (is_last AND z <= z1))""",
        ("f_gappy",), PCHIP("g", "f_gappy", ["cid"], "depth", "theta"))
 def pchip(t: Tables):
-    return rounded(V.pchip(t.f_gappy, _CID, "depth", "theta", step=25.0), "theta")
+    return rounded(V.pchip(t.f_gappy, _CID, "depth", "theta", step=25.0, unique=True), "theta")
 
 
 @query("pchip_std_levels", "SELECT cid, depth, ROUND(v, 6) AS theta FROM std",
        ("f_gappy",), PCHIP("g", "f_gappy", ["cid"], "depth", "theta") + ", " + level_values("std", "g", K.STANDARD_DEPTHS))
 def pchip_std_levels(t: Tables):
-    return rounded(V.pchip_levels(t.f_gappy, _CID, "depth", "theta"), "theta")
+    return rounded(V.pchip_levels(t.f_gappy, _CID, "depth", "theta", unique=True), "theta")
 
 
 @query("dedupe_levels", """SELECT cid, depth, q AS qty, ord FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY cid, depth ORDER BY ord) AS k FROM raw)
