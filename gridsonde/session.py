@@ -27,6 +27,9 @@ def local_session(cpus: int | str = "*", app: str = "gridsonde") -> SparkSession
     )
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for written intermediate tables, which every executor must be able to reach.
 
@@ -38,9 +41,10 @@ def shared_folder(spark: SparkSession) -> str:
         return named
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="gridsonde-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _local_folders:
+        _local_folders[app] = tempfile.mkdtemp(prefix="gridsonde-")
+    return _local_folders[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
