@@ -211,14 +211,14 @@ def mooring_match(mooring: DataFrame, model: DataFrame, spec: GridSpec, sensor_d
         F.sort_array(F.collect_list(F.when(usable & (F.col("variable") == v), interval))).alias(f"{v}_obs")
         for v in ("temp", "psal")])
     columns = packed_columns(model, ["t_model", "iy", "ix"], "depth", ["theta", "sp"], levels=True, unique=unique)
-    joined = placed.join(obs, ["site", "ts"], "left").join(columns, ["t_model", "iy", "ix"])
+    joined = placed.join(obs, ["site", "ts"], "left").join(columns, ["t_model", "iy", "ix"], "left")
     none = F.lit(None).cast("double")
     forward, backward = F.lit("model_to_mooring"), F.lit("mooring_to_standard")
     sensors = F.array(*[F.struct(F.lit(float(z)).alias("depth"), none.alias("theta"), none.alias("sp"), forward.alias("direction"))
                         for z in sensor_depths])
     standard = F.transform("levels", lambda x: F.struct(
         x["depth"].alias("depth"), x["theta"].alias("theta"), x["sp"].alias("sp"), backward.alias("direction")))
-    rows = joined.withColumn("__q", F.explode(F.concat(sensors, standard))).select("*", "__q.*")
+    rows = joined.withColumn("__q", F.explode(F.coalesce(F.concat(sensors, standard), sensors))).select("*", "__q.*")
     z, to_sensor = F.col("depth"), F.col("direction") == forward
 
     def model_value(level: str) -> Column:

@@ -102,8 +102,9 @@ def inversion_events(df: DataFrame, keys: Sequence[str], depth: str, values: Seq
 
 
 def inversion_brier(df: DataFrame, keys: Sequence[str], depth: str, pred: str, obs: str, eps: float = 0.05) -> DataFrame:
-    events = inversion_events(df, keys, depth, [pred, obs], eps)
-    return events.agg(brier(F.col(pred).cast("double"), F.col(obs).cast("double")).alias("brier"),
+    named = df.select(*keys, depth, F.col(pred).alias("__p"), F.col(obs).alias("__o"))
+    events = inversion_events(named, keys, depth, ["__p", "__o"], eps)
+    return events.agg(brier(F.col("__p").cast("double"), F.col("__o").cast("double")).alias("brier"),
                       F.count(F.lit(1)).alias("n_columns"))
 
 

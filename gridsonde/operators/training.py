@@ -105,7 +105,7 @@ def training_table(channels: DataFrame, targets: DataFrame, elevation: DataFrame
     ``targets``: day, iy, ix, depth, delta_theta, delta_sp, theta_clim, sp_clim. One output row per
     sample day and cell: the window array plus an array of target levels with their valid flag.
     """
-    windows = antecedent_window(channels, ("iy", "ix"), "day", K.CHANNELS).select("day", "iy", "ix", "window")
+    windows = antecedent_window(channels, ("iy", "ix"), "day", K.CHANNELS, length).select("day", "iy", "ix", "window")
     t = mask_join(targets, elevation.select("iy", "ix", "elevation_m"))
     t = valid_targets(t)
     land = is_land(F.col("elevation_m"))
