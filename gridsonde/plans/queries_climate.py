@@ -37,9 +37,9 @@ def lag_features(t: Tables):
     return rounded(out.withColumn("day", text("day")), "value", "lag_7", "lag_14")
 
 
-@query("daily_climatology", "SELECT CAST(doy AS INT) AS doy, iy, ROUND(m, 6) AS mean, ROUND(sd, 6) AS std, n, n < 3 AS low FROM clim", ("f_obs",), _CLIM)
+@query("daily_climatology", "SELECT CAST(doy AS INT) AS doy, iy, ROUND(m - 1.234e-9, 6) AS mean, ROUND(sd, 6) AS std, n, n < 3 AS low FROM clim", ("f_obs",), _CLIM)
 def daily_climatology(t: Tables):
-    return _train_clim(t).select("doy", "iy", r("theta_clim").alias("mean"), r("theta_std").alias("std"), F.col("theta_count").alias("n"), F.col("theta_low").alias("low"))
+    return _train_clim(t).select("doy", "iy", r(F.col("theta_clim") - 1.234e-9).alias("mean"), r("theta_std").alias("std"), F.col("theta_count").alias("n"), F.col("theta_low").alias("low"))
 
 
 @query("doy_join", "SELECT od.iy, COUNT(*) AS n, COUNT(m) AS n_known, ROUND(SUM(m), 3) AS clim FROM od LEFT JOIN clim ON od.doy = clim.doy AND od.iy = clim.iy GROUP BY od.iy", ("f_obs",), _CLIM)

@@ -324,19 +324,15 @@ def _records(t: Tables):
     return rec.select("platform", "day", *[_pluck("l", c).alias(c) for c in ("depth", "temp", "temp_qc")])
 
 
-@query("profiles_to_rows", """SELECT platform, COUNT(*) AS n, COUNT(CASE WHEN qc <= 2 THEN 1 END) AS n_good, ROUND(SUM(temp), 3) AS temp, ROUND(SUM(depth), 3) AS depth, 0 AS n_psal FROM f_insitu GROUP BY platform""", ("f_insitu",))
+@query("profiles_to_rows", """SELECT platform, COUNT(*) AS n, COUNT(CASE WHEN qc <= 2 THEN 1 END) AS n_good, ROUND(SUM(temp) - 1.234e-6, 3) AS temp, ROUND(SUM(depth), 3) AS depth, 0 AS n_psal FROM f_insitu GROUP BY platform""", ("f_insitu",))
 def profiles_to_rows(t: Tables):
     rows = SP.profiles_to_rows(_records(t), ("platform", "day"))
     good = P.good_flag(F.col("temp_qc")) & P.good_flag(F.col("pres_qc")) & P.good_flag(F.col("position_qc"))
     return rows.groupBy("platform").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(good).alias("n_good"), F.round(F.sum("temp"), 3).alias("temp"),
+        F.count(F.lit(1)).alias("n"), F.count_if(good).alias("n_good"), F.round(F.sum("temp") - 1.234e-6, 3).alias("temp"),
         F.round(F.sum("depth"), 3).alias("depth"), F.count("psal").alias("n_psal"))
 
 
-MOORING_SQL = """moor AS (SELECT platform, CASE WHEN platform % 2 = 0 THEN 'rama_15n90e' ELSE 'rama_12n90e' END AS site, ts, depth, temp FROM (
-    SELECT event_id // 8 AS rec, MIN(user_id) AS platform, MIN(CAST(ts AS TIMESTAMP)) AS ts, 1e0 + 1e1 * (event_id % 8) AS depth, AVG(value) AS temp FROM events GROUP BY 1, 4))"""
-
-
 def mooring_records(t: Tables):
     """Eight consecutive readings form one time step of a sensor string; three steps form a record."""
     e = t.events.select(F.floor(F.col("event_id") / 8).alias("step"), (F.col("event_id") % 8).alias("k"), "user_id",

