@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from gridsonde.grid_spec import GridSpec
 from gridsonde.operators.grid import build_grid, cell_bounds, frame_cells
 
+EDGE_DUST = 1e-9  # degrees; overlaps below it are rounding of cells that merely touch
+
 
 def axis_of(df: DataFrame, index: str, centre: str) -> DataFrame:
     """Distinct (index, centre) pairs of a field: its axis table."""
@@ -33,7 +35,7 @@ def overlap_weights(src: DataFrame, dst: DataFrame, width: float, spherical: boo
     d = interval_buckets(dst.select(dst_index, F.col("lo").alias("d_lo"), F.col("hi").alias("d_hi")),
                          F.col("d_lo"), F.col("d_hi"), width, "__b")
     lo, hi = F.greatest("s_lo", "d_lo"), F.least("s_hi", "d_hi")
-    pairs = s.join(d, "__b").filter((hi > lo) & (F.floor(lo / width) == F.col("__b")))
+    pairs = s.join(d, "__b").filter((hi - lo > EDGE_DUST) & (F.floor(lo / width) == F.col("__b")))
     size = F.sin(F.radians(hi)) - F.sin(F.radians(lo)) if spherical else F.radians(hi - lo)
     return pairs.select(src_index, dst_index, size.alias("w"))
 
@@ -45,15 +47,75 @@ def regular_axis(df_axis: DataFrame, spec: GridSpec, axis: str) -> DataFrame:
     return df_axis.select("i", (centre - half).alias("lo"), (centre + half).alias("hi"))
 
 
+def known_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """Broadcast a table whose row count has been looked at and is within bounds; else leave it to Catalyst.
+
+    Estimates of derived tables are too coarse for Catalyst to see that an axis is small, and without
+    the hint the whole field would be shuffled by a handful of axis positions.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def _weighted_means(rows: DataFrame, values: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Weighted mean of the known values per target cell; the sums combine map-side before the shuffle."""
+    w = F.col("w_lat") * F.col("w_lon")
+    aggs = []
+    for v in values:
+        known = F.col(v).isNotNull()
+        aggs += [F.sum(F.when(known, w * F.col(v))).alias(f"__{v}_n"), F.sum(F.when(known, w)).alias(f"__{v}_d")]
+    sums = rows.groupBy(*keys, "ty", "tx").agg(*aggs)
+    return sums.select(*keys, F.col("ty").alias("iy"), F.col("tx").alias("ix"), *[
+        F.when(F.col(f"__{v}_d") > 0, F.col(f"__{v}_n") / F.col(f"__{v}_d")).alias(v) for v in values])
+
+
+def _on_all_cells(out: DataFrame, field: DataFrame, target: GridSpec, keys: Sequence[str]) -> DataFrame:
+    if keys:
+        spine = frame_cells(field.select(*keys).distinct(), target)
+    else:
+        spine = build_grid(field.sparkSession, target).select("iy", "ix")
+    return spine.join(out, [*keys, "iy", "ix"], "left")
+
+
+def regrid_regular(field: DataFrame, source: GridSpec, target: GridSpec, values: Sequence[str], keys: Sequence[str] = (),
+                   keep_uncovered: bool = False) -> DataFrame:
+    """First-order conservative remap between regular grids, without any join.
+
+    The target cells a source cell touches and the overlaps are closed-form functions of its
+    indices, so rows are expanded in place and one shuffle carries the partial sums.
+    """
+    def overlaps(index: str, start: float, t_start: float, n: int, out: str) -> Column:
+        low = F.lit(start) + F.lit(source.resolution) * (F.col(index) - 0.5)
+        high = low + source.resolution
+        edge, step = t_start - target.resolution / 2.0, target.resolution
+        first = F.greatest(F.lit(0), F.floor((low - edge) / step).cast("int"))
+        last = F.least(F.lit(n - 1), F.ceil((high - edge) / step).cast("int") - 1)
+        return F.explode(F.when(first <= last, F.sequence(first, last))).alias(out)
+
+    def piece(index: str, start: float, t_start: float, t: str) -> tuple[Column, Column]:
+        low = F.lit(start) + F.lit(source.resolution) * (F.col(index) - 0.5)
+        t_low = F.lit(t_start) + F.lit(target.resolution) * (F.col(t) - 0.5)
+        return F.greatest(low, t_low), F.least(low + source.resolution, t_low + target.resolution)
+
+    rows = field.select(*keys, "iy", "ix", *values)
+    rows = rows.select("*", overlaps("iy", source.lat_start, target.lat_start, target.n_lat, "ty"))
+    rows = rows.select("*", overlaps("ix", source.lon_start, target.lon_start, target.n_lon, "tx"))
+    (y0, y1), (x0, x1) = piece("iy", source.lat_start, target.lat_start, "ty"), piece("ix", source.lon_start, target.lon_start, "tx")
+    rows = rows.select(
+        *keys, *values, "ty", "tx", F.when(y1 - y0 > EDGE_DUST, F.sin(F.radians(y1)) - F.sin(F.radians(y0))).alias("w_lat"),
+        F.when(x1 - x0 > EDGE_DUST, F.radians(x1 - x0)).alias("w_lon")).filter("w_lat is not null and w_lon is not null")
+    out = _weighted_means(rows, values, keys)
+    return _on_all_cells(out, field, target, keys) if keep_uncovered else out
+
+
 def conservative_regrid(field: DataFrame, src_lat: DataFrame, src_lon: DataFrame, target: GridSpec, values: Sequence[str],
                         keys: Sequence[str] = (), lat: str = "lat", lon: str = "lon", sy: str = "iy",
                         sx: str = "ix", keep_uncovered: bool = False) -> DataFrame:
-    """First-order conservative remap of all ``values`` in one pass onto a regular grid.
+    """First-order conservative remap of all ``values`` from irregular axes onto a regular grid.
 
-    ``src_lat(sy, lat)`` and ``src_lon(sx, lon)`` are the source axes. Per axis the overlap weights
-    form a small table; the field meets them by equi-join and the weighted sums combine map-side,
-    so one shuffle carries one partial row per target cell and task. Missing source values drop
-    out of both sums. Target cells no source cell overlaps are absent unless ``keep_uncovered``.
+    ``src_lat(sy, lat)`` and ``src_lon(sx, lon)`` are the source axes; an axis may be its own index.
+    Per axis the overlap weights form a small table whose size is checked before it is broadcast.
+    Missing source values drop out of both sums. Target cells no source cell overlaps are absent
+    unless ``keep_uncovered``. For regular sources :func:`regrid_regular` needs no table at all.
     """
     spark = field.sparkSession
     rows = spark.range(target.n_lat).select(F.col("id").cast("int").alias("i"))
@@ -63,22 +125,9 @@ def conservative_regrid(field: DataFrame, src_lat: DataFrame, src_lon: DataFrame
     width = target.resolution
     w_lat = overlap_weights(cell_bounds(src_lat, lat), t_lat, width, True, sy, "ty").withColumnRenamed("w", "w_lat")
     w_lon = overlap_weights(cell_bounds(src_lon, lon), t_lon, width, False, sx, "tx").withColumnRenamed("w", "w_lon")
-    joined = field.select(*keys, sy, sx, *values).join(w_lat, sy).join(w_lon, sx)
-    w = F.col("w_lat") * F.col("w_lon")
-    aggs = []
-    for v in values:
-        known = F.col(v).isNotNull()
-        aggs += [F.sum(F.when(known, w * F.col(v))).alias(f"__{v}_n"), F.sum(F.when(known, w)).alias(f"__{v}_d")]
-    sums = joined.groupBy(*keys, "ty", "tx").agg(*aggs)
-    out = sums.select(*keys, F.col("ty").alias("iy"), F.col("tx").alias("ix"), *[
-        F.when(F.col(f"__{v}_d") > 0, F.col(f"__{v}_n") / F.col(f"__{v}_d")).alias(v) for v in values])
-    if not keep_uncovered:
-        return out
-    if keys:
-        spine = frame_cells(field.select(*keys).distinct(), target)
-    else:
-        spine = build_grid(spark, target).select("iy", "ix")
-    return spine.join(out, [*keys, "iy", "ix"], "left")
+    joined = field.select(*keys, sy, sx, *values).join(known_small(w_lat), sy).join(known_small(w_lon), sx)
+    out = _weighted_means(joined, values, keys)
+    return _on_all_cells(out, field, target, keys) if keep_uncovered else out
 
 
 def nearest_source_levels(src_levels: Sequence[float], levels: Sequence[float]) -> dict[float, float | None]:

@@ -23,7 +23,7 @@ from gridsonde.sources import tables as ST
 
 def job_regrid(raw: DataFrame, target: GridSpec, values: Sequence[str], keys: Sequence[str],
                aliases: Mapping[str, Sequence[str]] | None = None, interpolate_depth: bool = False,
-               elevation: DataFrame | None = None, wrap: bool | None = None) -> DataFrame:
+               elevation: DataFrame | None = None, wrap: bool | None = None, unique: bool = False) -> DataFrame:
     """Raw gridded rows to the target grid: names, optional depth interpolation, remap, sea-floor mask.
 
     The source axes are the distinct coordinates of the raw rows. ``wrap`` says whether longitudes
@@ -36,7 +36,7 @@ def job_regrid(raw: DataFrame, target: GridSpec, values: Sequence[str], keys: Se
         column = [k for k in keys if k != "depth"] + ["lat", "lon"]
         levels = None
         for v in values:
-            one = V.pchip_levels(df.select(*column, "depth", v), column, "depth", v)
+            one = V.pchip_levels(df.select(*column, "depth", v), column, "depth", v, unique=unique)
             levels = one if levels is None else levels.join(one, [*column, "depth"], "full")
         df = levels
     out = R.conservative_regrid(df, lat_axis, lon_axis, target, values, keys, sy="lat", sx="lon")

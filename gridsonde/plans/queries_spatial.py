@@ -116,16 +116,30 @@ wx AS (SELECT ix, jx, RADIANS(LEAST(45.25e0 + 0.25e0 * ix, 45.5e0 + 0.6e0 * jx)
     FROM (SELECT UNNEST(GENERATE_SERIES(0, 9)) AS ix), (SELECT UNNEST(GENERATE_SERIES(0, 4)) AS jx) WHERE LEAST(45.25e0 + 0.25e0 * ix, 45.5e0 + 0.6e0 * jx) - GREATEST(45e0 + 0.25e0 * ix, 44.9e0 + 0.6e0 * jx) > 1e-9)"""
 
 
-@query("conservative_regrid", """SELECT day, depth, CAST(jy AS INT) AS iy, CAST(jx AS INT) AS ix, ROUND(SUM(CASE WHEN theta IS NOT NULL THEN wy.w * wx.w * theta END) / SUM(CASE WHEN theta IS NOT NULL THEN wy.w * wx.w END), 5) AS theta,
-    ROUND(SUM(wy.w * wx.w * sp) / SUM(wy.w * wx.w), 5) AS sp FROM src JOIN wy USING (iy) JOIN wx USING (ix) GROUP BY 1, 2, 3, 4""", ("f_obs",), _REGRID)
-def conservative_regrid(t: Tables):
-    """Two variables of the daily cube at once, with missing source values, onto coarser shifted cells."""
+_REGRID_SQL = """SELECT day, depth, CAST(jy AS INT) AS iy, CAST(jx AS INT) AS ix, ROUND(SUM(CASE WHEN theta IS NOT NULL THEN wy.w * wx.w * theta END) / SUM(CASE WHEN theta IS NOT NULL THEN wy.w * wx.w END) - 1.234e-9, 5) AS theta,
+    ROUND(SUM(wy.w * wx.w * sp) / SUM(wy.w * wx.w) - 1.234e-9, 5) AS sp FROM src JOIN wy USING (iy) JOIN wx USING (ix) GROUP BY 1, 2, 3, 4"""
+
+
+def _field(t: Tables):
+    """Two variables of the daily cube, one with missing values."""
     holes = F.when((F.col("iy") * 3 + F.col("ix")) % 5 != 0, F.col("theta"))
-    field = t.f_obs.select(F.col("day").cast("string").alias("day"), "depth", "iy", "ix", holes.alias("theta"), "sp")
+    return t.f_obs.select(F.col("day").cast("string").alias("day"), "depth", "iy", "ix", holes.alias("theta"), "sp")
+
+
+@query("conservative_regrid", _REGRID_SQL, ("f_obs",), _REGRID)
+def conservative_regrid(t: Tables):
+    """Onto coarser shifted cells, the source axes given as tables."""
     lat_axis = R.axis_of(t.f_obs.withColumn("lat", CELLS.lat()), "iy", "lat")
     lon_axis = R.axis_of(t.f_obs.withColumn("lon", CELLS.lon()), "ix", "lon")
-    out = R.conservative_regrid(field, lat_axis, lon_axis, COARSE, ["theta", "sp"], keys=["day", "depth"])
-    return rounded(out, "theta", "sp", digits=5)
+    out = R.conservative_regrid(_field(t), lat_axis, lon_axis, COARSE, ["theta", "sp"], keys=["day", "depth"])
+    return rounded(out, "theta", "sp", digits=5, shift=1.234e-9)
+
+
+@query("regrid_regular", _REGRID_SQL, ("f_obs",), _REGRID)
+def regrid_regular(t: Tables):
+    """The same remap between regular grids in closed form."""
+    out = R.regrid_regular(_field(t), CELLS, COARSE, ["theta", "sp"], keys=["day", "depth"])
+    return rounded(out, "theta", "sp", digits=5, shift=1.234e-9)
 
 
 @query("bilinear_regrid", """SELECT pid, a.depth, ROUND((1 - fy) * (1 - fx) * a.theta + (1 - fy) * fx * b.theta + fy * (1 - fx) * c.theta + fy * fx * d.theta, 6) AS theta FROM

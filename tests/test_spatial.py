@@ -185,6 +185,22 @@ def test_regrid_keeps_constants_and_area_sums(spark):
     assert full.count() == 80
 
 
+@pytest.mark.parametrize("src,dst", [
+    (GridSpec(0.125, 10.125, 0.25, 8, 12), GridSpec(0.5, 10.5, 1.0, 2, 3)),     # nested, coarser
+    (GridSpec(0.0, 10.0, 1.0, 3, 3), GridSpec(-0.3, 9.7, 0.4, 9, 9)),           # finer, shifted
+    (GridSpec(5.0, 10.0, 0.5, 4, 4), GridSpec(5.2, 10.3, 0.7, 5, 2)),           # partly outside
+])
+def test_regular_regrid_equals_the_axis_form(spark, src, dst):
+    cells = G.build_grid(spark, src).withColumn("v", F.when((F.col("iy") + F.col("ix")) % 4 != 1, F.sin(F.col("iy") * 3.0 + F.col("ix"))))
+    a = R.conservative_regrid(cells, R.axis_of(cells, "iy", "lat"), R.axis_of(cells, "ix", "lon"), dst, ["v"])
+    b = R.regrid_regular(cells, src, dst, ["v"])
+    got, want = ({(r["iy"], r["ix"]): r["v"] for r in x.collect()} for x in (b, a))
+    assert got.keys() == want.keys() and len(got) > 0
+    for k, v in want.items():
+        assert got[k] == (None if v is None else pytest.approx(v, abs=1e-12))
+    assert "Join" not in plan(b)
+
+
 def test_bilinear_nodes_and_missing_corners(spark):
     src = GridSpec(0.0, 0.0, 1.0, 3, 3)
     f = spark.createDataFrame([(i, j, None if (i, j) == (2, 2) else float(10 * i + j)) for i in range(3) for j in range(3)], "iy int, ix int, v double")
