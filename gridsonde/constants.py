@@ -82,7 +82,7 @@ SURFACE_ALIASES = {
     "v10": ("delta_v10", "v10"),
 }
 RAW_ALIASES = {
-    "glorys": {"thetao": ("thetao", "temperature"), "so": ("so", "salinity")},
+    "reanalysis": {"thetao": ("thetao", "temperature"), "so": ("so", "salinity")},
     "sst": {"sst": ("sst", "sst_source")},
     "sealevel": {
         "sla": ("sla", "SLA"),
@@ -112,3 +112,13 @@ DENSITY_PURE = (999.842594, 6.793952e-2, -9.09529e-3, 1.001685e-4, -1.120083e-6,
 DENSITY_S = (0.824493, -4.0899e-3, 7.6438e-5, -8.2467e-7, 5.3875e-9)
 DENSITY_S15 = (-5.72466e-3, 1.0227e-4, -1.6546e-6)
 DENSITY_S2 = 4.8314e-4
+
+# Heat classes: label and rule text by threshold (kJ/cm2).
+HEAT_EXTREME, HEAT_MODERATE = 80.0, 50.0
+HEAT_TEXT = {
+    "UNKNOWN": "TCHP was not reported; intensification fuel cannot be classified.",
+    "EXTREME": "TCHP exceeds 80 kJ/cm² — extreme cyclone intensification fuel.",
+    "MODERATE": "TCHP is between 50 and 80 kJ/cm² — moderate intensification potential.",
+    "DEPLETED": "TCHP is below 50 kJ/cm² — depleted heat / cold-wake regime.",
+}
+HEAT_BADGE = {"UNKNOWN": "NO SOUNDING", "EXTREME": "CRITICAL FUEL", "MODERATE": "MODERATE FUEL", "DEPLETED": "COLD WAKE"}

@@ -82,20 +82,24 @@ def intensification_score(sst: Column, tchp: Column, sla: Column, land: Column |
 
 
 def classify_heat(tchp: Column) -> Column:
-    return (F.when(tchp.isNull(), "UNKNOWN").when(tchp > 80, "EXTREME").when(tchp >= 50, "MODERATE")
-            .otherwise("DEPLETED"))
+    return (F.when(tchp.isNull(), "UNKNOWN").when(tchp > K.HEAT_EXTREME, "EXTREME")
+            .when(tchp >= K.HEAT_MODERATE, "MODERATE").otherwise("DEPLETED"))
+
+
+def _heat_lookup(tchp: Column, table: dict[str, str]) -> Column:
+    label = classify_heat(tchp)
+    out = None
+    for name, value in table.items():
+        out = F.when(label == name, F.lit(value)) if out is None else out.when(label == name, F.lit(value))
+    return out
 
 
 def heat_rule_text(tchp: Column) -> Column:
-    return (F.when(tchp.isNull(), "TCHP was not reported; intensification fuel cannot be classified.")
-            .when(tchp > 80, "TCHP exceeds 80 kJ/cm² — extreme cyclone intensification fuel.")
-            .when(tchp >= 50, "TCHP is between 50 and 80 kJ/cm² — moderate intensification potential.")
-            .otherwise("TCHP is below 50 kJ/cm² — depleted heat / cold-wake regime."))
+    return _heat_lookup(tchp, K.HEAT_TEXT)
 
 
 def heat_badge(tchp: Column) -> Column:
-    return (F.when(tchp.isNull(), "NO SOUNDING").when(tchp > 80, "CRITICAL FUEL")
-            .when(tchp >= 50, "MODERATE FUEL").otherwise("COLD WAKE"))
+    return _heat_lookup(tchp, K.HEAT_BADGE)
 
 
 def classify_mld(mld: Column) -> Column:

@@ -30,7 +30,7 @@ def job_regrid(t: Tables):
     """Model cube with foreign column names: depth interpolation, remap and sea-floor mask."""
     raw = t.f_model.select(F.col("t_model").alias("valid_time"), F.col("depth").alias("lev"), CELLS.lat().alias("nav_lat"),
                            CELLS.lon().alias("Longitude"), F.col("theta").alias("temperature"))
-    out = J.job_regrid(raw, COARSE, ["thetao"], ["time", "depth"], K.RAW_ALIASES["glorys"], interpolate_depth=True, elevation=t.f_elev)
+    out = J.job_regrid(raw, COARSE, ["thetao"], ["time", "depth"], K.RAW_ALIASES["reanalysis"], interpolate_depth=True, elevation=t.f_elev)
     return out.select(text("time").alias("t"), "depth", "iy", "ix", r("thetao", 5).alias("thetao"))
 
 
