@@ -42,19 +42,9 @@ def nearest_level(depth: Column, levels: Sequence[float] = K.STANDARD_DEPTHS) ->
 
 
 def nearest_index(value: Column, start: float, step: float, n: int) -> Column:
-    """Index of the closest centre of a regular axis, the lower one on a tie; no join needed.
-
-    Rounding gives a candidate; comparing it with both neighbours keeps the tie rule exact.
-    """
-    def centre(i: Column) -> Column:
-        return F.lit(start) + F.lit(step) * i
-
-    guess = F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((value - F.lit(start)) / F.lit(step) + 0.5).cast("int")))
-    low = F.greatest(F.lit(0), guess - 1)
-    high = F.least(F.lit(n - 1), guess + 1)
-    best = F.when(F.abs(centre(low) - value) <= F.abs(centre(guess) - value), low).otherwise(guess)
-    best = F.when(F.abs(centre(high) - value) < F.abs(centre(best) - value), high).otherwise(best)
-    return F.when(value.isNotNull(), best).cast("int")
+    """Index of the closest centre of a regular axis, the lower one on a tie; no join needed."""
+    position = F.ceil((value - F.lit(start)) / F.lit(step) - 0.5)
+    return F.when(value.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(n - 1), position))).cast("int")
 
 
 def nearest_site(lat: Column, lon: Column, sites: Sequence[tuple[str, float, float]] = K.MOORING_SITES) -> Column:

@@ -13,7 +13,7 @@ from gridsonde.functions.numeric import nearest_index
 from gridsonde.functions.physics import good_flag
 from gridsonde.grid_spec import GridSpec
 from gridsonde.operators.skill import skill_by
-from gridsonde.operators.vertical import dedupe_levels, hermite_segments, probe
+from gridsonde.operators.vertical import dedupe_levels, hermite_segments, packed_interval, probe
 
 MICROS_PER_HOUR = 3600.0e6
 _DAY_MICROS = 86400 * 1000000
@@ -128,7 +128,7 @@ def packed_columns(df: DataFrame, keys: Sequence[str], depth: str, values: Seque
     long = keyed.select(*keys, "z", item.alias("__i")).select(*keys, "z", "__i.*")
     segs = hermite_segments(long, [*keys, "variable"], "z", ["v"])
     usable = F.col("z1").isNotNull() & (F.col("n") >= need)
-    interval = F.struct("z0", "z1", "is_first", "is_last", "complete", "v_seg")
+    interval = packed_interval(["v"])
     out = segs.groupBy(*keys).agg(*[
         F.sort_array(F.collect_list(F.when(usable & (F.col("variable") == v), interval))).alias(f"{v}_profile")
         for v in values])
@@ -206,7 +206,7 @@ def mooring_match(mooring: DataFrame, model: DataFrame, spec: GridSpec, sensor_d
     long = dedupe_levels(long, ["site", "ts", "variable"], "depth", ["v"]).repartition("site", "ts")
     segs = hermite_segments(long, ["site", "ts", "variable"], "depth", ["v"])
     usable = F.col("z1").isNotNull() & (F.col("n") >= 3)
-    interval = F.struct("z0", "z1", "is_first", "is_last", "complete", "v_seg")
+    interval = packed_interval(["v"])
     obs = segs.groupBy("site", "ts").agg(*[
         F.sort_array(F.collect_list(F.when(usable & (F.col("variable") == v), interval))).alias(f"{v}_obs")
         for v in ("temp", "psal")])

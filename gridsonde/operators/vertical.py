@@ -160,28 +160,29 @@ def _sample_range(step: float, z_min: float, z_max: float) -> tuple[Column, Colu
     return low.cast("int"), high.cast("int")
 
 
+def packed_interval(values: Sequence[str]) -> Column:
+    """One interval of a packed column; ``lo`` is where it starts to answer."""
+    lo = F.when(F.col("is_first") & F.col("complete"), F.lit(-1.0e30)).otherwise(F.col("z0"))
+    return F.struct("z0", "z1", lo.alias("lo"), "is_last", "complete", *[f"{v}_seg" for v in values])
+
+
 def pack_segments(segs: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
     """One row per column with its intervals as an array ordered by depth (at most one per level).
 
     The compact form serves many probes per column: the probing side is joined on the column key
     and each probe is answered from the array, so a hot column can be split by AQE's skew join.
     """
-    fields = ["z0", "z1", "is_first", "is_last", "complete", *[f"{v}_seg" for v in values]]
-    item = F.when(F.col("z1").isNotNull(), F.struct(*fields))
+    item = F.when(F.col("z1").isNotNull(), packed_interval(values))
     return segs.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("profile"))
 
 
-def probe(profile: Column, value: str, z: Column, extend_top: Column | None = None) -> Column:
-    """Value of a packed column at depth ``z``; NULL outside its range.
+def probe(profile: Column, value: str, z: Column) -> Column:
+    """Value of a packed column at depth ``z``: NULL outside its range, extended above a complete one.
 
-    ``extend_top`` true extends the first cubic upwards; by default complete columns do.
+    The cubic is evaluated inside the lambda, so that the search runs once per probe.
     """
-    hit = F.filter(profile, lambda s: (
-        ((z >= s["z0"]) | (s["is_first"] & (s["complete"] if extend_top is None else extend_top)))
-        & ((z < s["z1"]) | (s["is_last"] & (z <= s["z1"])))
-    ))
-    seg = F.get(hit, 0)
-    return cubic(seg[f"{value}_seg"], z - seg["z0"])
+    hit = F.filter(profile, lambda s: (z >= s["lo"]) & ((z < s["z1"]) | (s["is_last"] & (z == s["z1"]))))
+    return F.get(F.transform(hit, lambda s: cubic(s[f"{value}_seg"], z - s["z0"])), 0)
 
 
 def pchip_levels(df: DataFrame, keys: Sequence[str], depth: str, value: str,
@@ -200,7 +201,7 @@ def pchip_levels(df: DataFrame, keys: Sequence[str], depth: str, value: str,
     if clamp_deep:
         last = F.element_at("profile", -1)
         z = F.when(F.get("profile", 0)["complete"], F.least(z, last["z1"])).otherwise(z)
-    out = F.when(F.size("profile") > 0, probe(F.col("profile"), value, z, F.lit(False)))
+    out = F.when(F.size("profile") > 0, probe(F.col("profile"), value, z))
     return rows.select(*keys, depth, out.alias(value))
 
 
