@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check_oracles import TABLES, canonical
+from gridsonde.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="supplied tables not present")
@@ -22,10 +23,11 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalog.QUERIES) == set(catalog.ORACLES)
+    assert set(catalog.QUERIES) <= set(entry.queries()) and set(catalog.ORACLES) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_equals_oracle(spark, con, name):
     df = entry.queries()[name](spark, SF)
     got, columns = canonical(df.collect(), df.columns)
