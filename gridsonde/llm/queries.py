@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsonde.llm import langid, pieces
+from gridsonde.llm import langid, linededup, pieces
 from gridsonde.llm.shared import id_remainder, table
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -34,3 +34,23 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs.withColumn("held_out", F.coalesce(id_remainder("doc_id", 5) == 0, F.lit(True)))
     profiles = langid.learn(docs.where(~F.col("held_out")))
     return langid.predict(docs.select("doc_id", "held_out", "text"), profiles).drop("text")
+
+
+@query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_dropped, kept_sha256 of every document; lines of ten documents or more go."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = linededup.LineIndex.empty(spark).insert(docs)
+    return index.drop_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+ORACLES["op5_line_dedup"] = r"""
+WITH rows_ AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+     parts AS (SELECT r, unnest(lines) AS line, unnest(range(len(lines))) AS k FROM rows_),
+     keyed AS (SELECT r, k, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM parts),
+     common AS (SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10),
+     kept AS (SELECT r, count(*) AS n_lines, count(*) FILTER (key IN (SELECT key FROM common)) AS n_dropped,
+                     coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (key NOT IN (SELECT key FROM common)), '') AS text
+              FROM keyed GROUP BY r)
+SELECT doc_id, n_lines, n_dropped, sha256(text) AS kept_sha256 FROM kept JOIN rows_ USING (r)"""
