@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsonde.llm import langid, linededup, pieces
+from gridsonde.llm import langid, linededup, pieces, tiling
 from gridsonde.llm.shared import id_remainder, table
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -36,6 +36,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "held_out", "text"), profiles).drop("text")
 
 
+@query
+def op4_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, coverage, n_tiles, longest of every document that a benchmark item contaminates."""
+    return tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 of every document; lines of ten documents or more go."""
