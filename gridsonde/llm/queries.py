@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsonde.llm import langid, linededup, pieces, tiling
+from gridsonde.llm import knn, langid, linededup, pieces, tiling
 from gridsonde.llm.shared import id_remainder, table
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -60,3 +60,18 @@ WITH rows_ AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(t
                      coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (key NOT IN (SELECT key FROM common)), '') AS text
               FROM keyed GROUP BY r)
 SELECT doc_id, n_lines, n_dropped, sha256(text) AS kept_sha256 FROM kept JOIN rows_ USING (r)"""
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> knn.Neighbours:
+    """Learned from labelled documents outside the held-out third."""
+    taught = labels.where(id_remainder("doc_id", 3) != 1).select("doc_id", F.col("quality").alias("label"))
+    return knn.fit(docs.select("doc_id", "text").join(taught, "doc_id"))
+
+
+@query
+def op8_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_model(docs, table(spark, sf_dir, "labels"))
+    docs = docs.withColumn("held_out", F.coalesce(id_remainder("doc_id", 3) == 1, F.lit(True)))
+    return knn.score(docs, model).select("doc_id", "held_out", "score", "predicted")
