@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsonde.llm import knn, langid, linededup, pieces, tiling
+from gridsonde.llm import bagminhash, knn, langid, linededup, pieces, tiling
 from gridsonde.llm.shared import id_remainder, table
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -75,3 +75,9 @@ def op8_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality_model(docs, table(spark, sf_dir, "labels"))
     docs = docs.withColumn("held_out", F.coalesce(id_remainder("doc_id", 3) == 1, F.lit(True)))
     return knn.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id of every document."""
+    return bagminhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
