@@ -10,7 +10,7 @@ such costs: its segmentation is the only one in which every neighbouring pair of
 pair rules, comes out as that same pair. So the piece machine also remembers the last piece, and an arc costs 0
 if the pair stands and infinity if it does not; each position of the lattice then has one finite state.
 
-Results in odd cases: null text gives no ids and decodes to null; empty text gives no ids; a text of blanks gives
+Results in odd cases: null text gives no ids, as empty text does; a text of blanks gives
 their pieces. Texts of any length are encoded whole.
 """
 
@@ -65,7 +65,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
 class Transducer:
     """The compiled machines of one model. Its caches are bounded."""
 
-    CACHE_PAIRS, CACHE_CHARS = 500_000, 8_000_000
+    CACHE_PAIRS, CACHE_CHARS = 400_000, 6_000_000
 
     def __init__(self, model: bytes) -> None:
         self.pieces: list[str] = []
@@ -258,21 +258,29 @@ def read_model(path: str) -> bytes:
     return model
 
 
-def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Adds the piece ids of every whole text as array<int>. No shuffle; columns of the same name are replaced."""
+def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """Adds the piece ids of every whole text as array<int>, and in ``decoded`` (if named) the text they spell.
+    No shuffle; columns of the same names are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
-    out = docs.drop(ids) if ids != text else docs
-    schema = T.StructType([*out.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False))])
+    more = [T.StructField(ids, T.ArrayType(T.IntegerType(), False))]
+    if decoded:
+        more.append(T.StructField(decoded, T.StringType()))
+    out = docs.select([c for c in docs.columns if c == text or c not in (ids, decoded)])
+    schema = T.StructType([*(f for f in out.schema.fields if f.name not in (ids, decoded)), *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _transducer(shared.value)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                coded = [machine.encode(t) if t else b"" for t in batch.column(text).to_pylist()]
+                texts = batch.column(text).to_pylist()
+                coded = [machine.encode(t) if t else b"" for t in texts]
                 offsets = np.cumsum([0, *map(len, coded)]) // 4
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(coded), "=i4")))
-                yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, ids])
+                columns = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(coded), "=i4")))]
+                if decoded:
+                    columns.append(pa.array([machine.decode(np.frombuffer(c, "=i4").tolist()) for c in coded], pa.string()))
+                kept = [k for k, name in enumerate(batch.schema.names) if name not in (ids, decoded)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *columns], schema.names)
 
     return out.mapInArrow(run, schema)
 
@@ -296,6 +304,6 @@ def decode(encoded: DataFrame, model_path: str, ids: str = "ids", text: str = "d
 
 def encoded_documents(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_tokens, ids and whether the ids spell the text again."""
-    both = decode(encode(docs.select("doc_id", "text"), model_path), model_path)
+    both = encode(docs.select("doc_id", "text"), model_path, decoded="decoded")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
                        F.coalesce(F.col("decoded") == F.coalesce("text", F.lit("")), F.lit(False)).alias("round_trip"))
