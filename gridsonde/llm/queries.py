@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsonde.llm import bagminhash, knn, langid, linededup, pieces, tiling
+from gridsonde.llm import bagminhash, knn, langid, linededup, llr, pieces, tiling
 from gridsonde.llm.shared import id_remainder, table
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -81,3 +81,11 @@ def op8_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id of every document."""
     return bagminhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
+@query
+def op6_likelihood_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, base counts, base_failed, kept and score of every document; trusted are those labelled good."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = llr.filtered(docs, table(spark, sf_dir, "labels").where("quality = 1"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")

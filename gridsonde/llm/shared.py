@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,11 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row, wherever the optimiser moves or repeats the expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def id_remainder(column: str, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus`` (null for a null id)."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
