@@ -17,34 +17,35 @@ that were never inserted takes counts to zero or below, where they are forgotten
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridsonde.llm.shared import written
 
-BLANKS = " \t\n\x0b\x0c\r"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+BLANKS = b" \t\n\x0b\x0c\r"
 SLOTS = 4  # of a bucket
 KICKS = 500
 MAX_FILTER_BYTES = 64 << 20  # all filters together, when they are handed to every executor
 
 
-def line_keys(text: Column, min_chars: int) -> Column:
-    """Per line its key, or null for lines that always stay."""
-    def key(line: Column) -> Column:
-        bare = F.translate(F.trim(line, F.lit(BLANKS)), UPPER, LOWER)
-        return F.when(F.char_length(bare) >= min_chars, F.substring(F.unhex(F.sha2(bare, 256)), 1, 16))
+def line_key(line: bytes, min_chars: int) -> bytes | None:
+    """Key of a line in UTF-8; None for lines that always stay."""
+    bare = line.strip(BLANKS).lower()  # of bytes: A-Z only
+    return hashlib.sha256(bare).digest()[:16] if len(bare) >= min_chars and (min_chars <= 1 or len(bare.decode()) >= min_chars) and bare else None
 
-    return F.transform(lines_of(text), key)
 
-
-def lines_of(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
+def text_keys(text: str | None, min_chars: int) -> tuple[list[bytes], list[bytes | None]]:
+    """The lines of a text and their keys."""
+    lines = (text or "").encode().split(b"\n")
+    return lines, [line_key(x, min_chars) for x in lines]
 
 
 class Cuckoo:
@@ -121,7 +122,12 @@ def _halves(keys: list[bytes]) -> np.ndarray:
 
 
 def _shard(key: Column, shards: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
+    """The sixth byte of the key, modulo ``shards`` (256 at most)."""
+    return (F.conv(F.hex(F.substring(key, 6, 1)), 16, 10).cast("int") % shards).cast("int")
+
+
+def _shard_of(halves: np.ndarray, shards: int) -> np.ndarray:
+    return ((halves[:, 0] >> np.uint64(40)) & np.uint64(255)).astype(np.int64) % shards
 
 
 @dataclass(frozen=True)
@@ -147,7 +153,14 @@ class LineIndex:
         return self._changed(docs, text, -1)
 
     def _changed(self, docs: DataFrame, text: str, sign: int) -> LineIndex:
-        own = docs.select(F.explode(F.array_distinct(line_keys(F.col(text), self.min_chars))).alias("key")).where("key is not null")
+        least = self.min_chars
+
+        def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [k for t in batch.column(0).to_pylist() for k in {*text_keys(t, least)[1]} if k]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["key"])
+
+        own = docs.select(text).mapInArrow(keys, "key binary")
         none, one = F.lit(0).cast("long"), F.lit(sign).cast("long")
         both = (self.counts.select("key", F.col("n_docs").alias("was"), none.alias("by"))
                 .unionByName(own.select("key", none.alias("was"), one.alias("by"))))
@@ -201,45 +214,71 @@ class LineIndex:
 
     def drop_lines(self, docs: DataFrame, text: str = "text", into: str = "kept_text") -> DataFrame:
         """Adds n_lines, n_dropped and the text without lines of common keys (in ``into``)."""
-        base = docs.drop(*({"n_lines", "n_dropped", into, "_keys"} - {text}))
-        keyed = base.withColumn("_keys", line_keys(F.col(text), self.min_chars))
-        maybe = self._maybe_common(keyed)
+        new = ("n_lines", "n_dropped", into)
+        base = docs.select([F.col(text).alias("__text"), *(c for c in docs.columns if c not in new)])
+        asked = written(self._asked(base), "line-asked")
+        some = asked.where(F.size("__maybe") > 0)
         # Per distinct text the common keys it holds, from the exact table.
-        digest = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
-        asked = maybe.where(F.size("_maybe") > 0).select(digest.alias("_text"), F.explode("_maybe").alias("key")).distinct()
-        found = asked.join(self.common().select("key"), "key").groupBy("_text").agg(F.collect_set("key").alias("_common"))
-        hit = maybe.where(F.size("_maybe") > 0).withColumn("_text", digest).join(found, "_text", "left").drop("_text")
-        rest = maybe.where(F.size("_maybe") == 0).withColumn("_common", F.lit(None).cast("array<binary>"))
-        every = hit.unionByName(rest)
-        lines = F.transform(lines_of(F.col(text)), lambda line, k: F.struct(line.alias("line"), F.get(F.col("_keys"), k).alias("key")))
-        stays = F.filter(lines, lambda x: x["key"].isNull() | F.col("_common").isNull() | ~F.array_contains(F.col("_common"), x["key"]))
-        every = every.withColumn("_stays", F.transform(stays, lambda x: x["line"])).withColumn("n_lines", F.size("_keys").cast("long"))
-        return every.select(*(c for c in base.columns if c != into), "n_lines", (F.col("n_lines") - F.size("_stays")).alias("n_dropped"),
-                            F.array_join("_stays", "\n").alias(into))
-
-    def _maybe_common(self, keyed: DataFrame) -> DataFrame:
-        """Adds the distinct keys of each row that the filters let through."""
+        digest = F.sha2(F.coalesce("__text", F.lit("")), 256)
+        pairs = some.select(digest.alias("__digest"), F.explode("__maybe").alias("key")).distinct()
+        found = pairs.join(self.common().select("key"), "key").groupBy("__digest").agg(F.collect_set("key").alias("__common"))
+        hit = some.withColumn("__digest", digest).join(found, "__digest").select(*asked.columns, "__common")
+        missed = some.withColumn("__digest", digest).join(found, "__digest", "left_anti").select(asked.columns)
+        rest = asked.where(F.size("__maybe") == 0).unionByName(missed)
+        rest = rest.withColumn("n_dropped", F.lit(0).cast("long")).withColumn(into, F.coalesce("__text", F.lit("")))
+        order = [*(c for c in base.columns if c != "__text"), *new]
+        return self._without(hit, into).select(order).unionByName(rest.select(order))
+
+    def _asked(self, base: DataFrame) -> DataFrame:
+        """Adds n_lines and the distinct keys of each row that the filters let through (all keys, if the filters are too
+        large to be handed out)."""
         filters = self._shared_filters()
-        if filters is None:  # beyond the bound: every key is asked of the exact table
-            return keyed.withColumn("_maybe", F.array_compact(F.array_distinct("_keys")))
-        shared = keyed.sparkSession.sparkContext.broadcast(filters)
-        shards = self.shards
-
-        @F.pandas_udf("array<binary>")
-        def let_through(keys: pd.Series, shard: pd.Series) -> pd.Series:
-            sizes = [0 if x is None else len(x) for x in keys]
-            flat = np.array([k for x in keys if x is not None for k in x], object)
-            if not len(flat):
-                return pd.Series([[] for _ in sizes])
-            where = np.concatenate([np.asarray(x, np.int64) for x in shard if x is not None])
-            halves = _halves(flat.tolist())
-            hit = np.zeros(len(flat), bool)
-            for s in np.unique(where):
-                if s in shared.value:
-                    own = where == s
-                    hit[own] = shared.value[s].holds(halves[own])
-            ends = np.cumsum([0, *sizes])
-            return pd.Series([flat[a:b][hit[a:b]].tolist() for a, b in zip(ends, ends[1:])])
-
-        keys = F.array_compact(F.array_distinct("_keys"))
-        return keyed.withColumn("_maybe", let_through(keys, F.transform(keys, lambda k: _shard(k, shards))))
+        shared, shards, least = base.sparkSession.sparkContext.broadcast(filters), self.shards, self.min_chars
+        schema = T.StructType([*base.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("__maybe", T.ArrayType(T.BinaryType()))])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sizes, keys = [], []
+                for t in batch.column("__text").to_pylist():
+                    own = text_keys(t, least)[1]
+                    sizes.append(len(own))
+                    keys.append([*dict.fromkeys(k for k in own if k)])
+                maybe = keys if shared.value is None else _let_through(keys, shared.value, shards)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64()), pa.array(maybe, pa.list_(pa.binary()))], schema.names)
+
+        return base.mapInArrow(run, schema)
+
+    def _without(self, hit: DataFrame, into: str) -> DataFrame:
+        """Adds n_dropped and the text without the lines whose keys are in ``__common``."""
+        least = self.min_chars
+        schema = T.StructType([*hit.schema.fields, T.StructField("n_dropped", T.LongType()), T.StructField(into, T.StringType())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                dropped, texts = [], []
+                for t, common in zip(batch.column("__text").to_pylist(), batch.column("__common").to_pylist()):
+                    gone, (lines, keys) = set(common), text_keys(t, least)
+                    kept = [x for x, k in zip(lines, keys) if k not in gone]
+                    dropped.append(len(lines) - len(kept))
+                    texts.append(b"\n".join(kept).decode())
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(dropped, pa.int64()), pa.array(texts, pa.string())], schema.names)
+
+        return hit.mapInArrow(run, schema)
+
+
+def _let_through(keys: list[list[bytes]], filters: dict[int, Cuckoo], shards: int) -> list[list[bytes]]:
+    """Of each list the keys that their shards' filters hold."""
+    flat = [k for own in keys for k in own]
+    if not flat or not filters:
+        return [[] for _ in keys]
+    halves = _halves(flat)
+    where, hit = _shard_of(halves, shards), np.zeros(len(flat), bool)
+    for s in np.unique(where).tolist():
+        if s in filters:
+            own = where == s
+            hit[own] = filters[s].holds(halves[own])
+    passed, at, out = hit.tolist(), 0, []
+    for own in keys:
+        out.append([k for k, ok in zip(own, passed[at:at + len(own)]) if ok])
+        at += len(own)
+    return out
