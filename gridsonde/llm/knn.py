@@ -12,7 +12,8 @@ either label), so the broadcast has at most ``sample`` x ``rank`` + ``TERMS`` x
 
 Odd cases: null text counts as empty, and an empty text is a vector without terms beside one constant term, so it
 resembles short texts; with no labelled row, every score is 0.5; with one label only, its value. Of equally near
-neighbours the first by id counts. Rows without label or id teach nothing. Repeated rows teach once each. Extra columns
+neighbours the first in the order of the sample counts. Rows without label or id teach nothing. Of repeated ids one row
+teaches. Extra columns
 pass through, columns named like results are replaced.
 """
 
@@ -28,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridsonde.llm.shared import bounded_rows
+
 SAMPLE, RANK, NEIGHBOURS, SHARPNESS = 6000, 64, 15, 8.0
 CLASSES = 48
 PAIRS = CLASSES * CLASSES
@@ -120,12 +123,14 @@ class Neighbours:
         return np.clip((weights * self.labels[best]).sum(axis=1) / weights.sum(axis=1), 0.0, 1.0)
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id", sample: int = SAMPLE, rank: int = RANK,
-        k: int = NEIGHBOURS) -> Neighbours:
-    """Latent space and labelled vectors of a bounded sample: half of either label, as far as there are such rows."""
-    rows = labelled.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(
-        F.col(key).alias("key"), F.col(label).cast("int").alias("label"), F.col(text).alias("text"))
-    rows = rows.withColumn("draw", F.xxhash64(F.col("key").cast("string")))
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id", sample: int = SAMPLE,
+        rank: int = RANK, k: int = NEIGHBOURS) -> Neighbours:
+    """Latent space and labelled vectors of a bounded sample: half of either label, as far as there are such rows. The
+    sample is drawn from the ids of ``labels``; its at most ``sample`` rows are broadcast to find the texts."""
+    own = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
+    own = own.groupBy("key").agg(F.min("label").alias("label")).withColumn("draw", F.xxhash64(F.col("key").cast("string")))
+    halves = [own.where(F.col("label") == y).orderBy("draw", "key").limit(sample // 2) for y in (0, 1)]
+    taught = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(halves[0].unionByName(halves[1])), "key")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -134,9 +139,8 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str
                 yield pd.DataFrame({"draw": part["draw"], "label": part["label"],
                                     "counts": [np.minimum(term_counts(t), 6e4).astype(np.float16).tobytes() for t in part["text"]]})
 
-    drawn = [r for y in (0, 1) for r in rows.where(F.col("label") == y).orderBy("draw", "key", "text").limit(sample // 2)
-             .mapInPandas(count, "draw long, label int, counts binary").collect()]
-    drawn.sort(key=lambda r: (r["draw"], r["label"], r["counts"]))
+    counted = taught.mapInPandas(count, "draw long, label int, counts binary").groupBy("draw").agg(F.min(F.struct("label", "counts")).alias("x"))
+    drawn = bounded_rows(counted.select("draw", "x.label", "x.counts").orderBy("draw"), sample, "labelled sample")
     if not drawn:
         return Neighbours(np.zeros(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), k)
     counts = np.stack([np.frombuffer(r["counts"], np.float16) for r in drawn]).astype(np.float32)

@@ -65,7 +65,7 @@ SELECT doc_id, n_lines, n_dropped, sha256(text) AS kept_sha256 FROM kept JOIN ro
 def quality_model(docs: DataFrame, labels: DataFrame) -> knn.Neighbours:
     """Learned from labelled documents outside the held-out third."""
     taught = labels.where(id_remainder("doc_id", 3) != 1).select("doc_id", F.col("quality").alias("label"))
-    return knn.fit(docs.select("doc_id", "text").join(taught, "doc_id"))
+    return knn.fit(docs, taught)
 
 
 @query
