@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsonde.llm import bagminhash, knn, langid, linededup, llr, pieces, tiling
+from gridsonde.llm import bagminhash, knn, langid, linededup, llr, pieces, pii, tiling
 from gridsonde.llm.shared import id_remainder, table
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -89,3 +89,10 @@ def op6_likelihood_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = llr.filtered(docs, table(spark, sf_dir, "labels").where("quality = 1"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+@query
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.spans(docs, pii.fit(docs)).drop("text")
