@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsonde.llm import bagminhash, knn, langid, linededup, llr, pieces, pii, tiling
+from gridsonde.llm import bagminhash, knn, langid, linededup, llr, pieces, pii, tiling, warc
 from gridsonde.llm.shared import id_remainder, table
+from gridsonde.session import scratch_path
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -21,6 +22,27 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, status of every page, from archives written and read."""
+    path = scratch_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path, "page_id", "url", "html")
+    found = warc.reassembled(warc.read_records(spark, path))
+    return found.select(warc.page_of("record_id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"),
+                        F.col("type").alias("record_type"), warc.page_of("refers_to").alias("refers_to"), "status")
+
+
+ORACLES["op1_warc"] = r"""
+WITH bits AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+     coded AS (SELECT *, (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   1 + CAST((CAST('0x' || substr(hex, 1 + (g // 8) * 10, 10) AS BIGINT) >> (35 - 5 * (g % 8))) & 31 AS INTEGER), 1), '' ORDER BY g)
+                   FROM range(32) AS t(g)) AS payload_digest FROM bits)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = max(page_id) OVER same THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> max(page_id) OVER same THEN max(page_id) OVER same END AS refers_to, 'ok' AS status
+FROM coded WINDOW same AS (PARTITION BY hex, payload_bytes)"""
+
+
 @query
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, round_trip of every document."""
