@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsonde.llm import bagminhash, knn, langid, linededup, llr, pieces, pii, tiling, warc
+from gridsonde.llm import bagminhash, knn, langid, licences, linededup, llr, pieces, pii, tiling, warc
 from gridsonde.llm.shared import id_remainder, table
 from gridsonde.session import scratch_path
 
@@ -118,3 +118,10 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.spans(docs, pii.fit(docs)).drop("text")
+
+
+@query
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, families, n_licence, n_unknown, licence of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licences.scanned(docs, licences.fit(docs)).drop("text")
