@@ -56,14 +56,15 @@ def antecedent_window(df: DataFrame, keys: Sequence[str], day: str, values: Sequ
                       out: str = "window") -> DataFrame:
     """The ``length`` calendar days ending at each row, kept only where all of them exist.
 
-    A RANGE frame over day numbers, so gaps never shift a window. One row per key and day expected.
+    A RANGE frame over day numbers, so gaps never shift a window. Days are counted once: of repeated rows of a
+    day all enter the window, but cannot stand in for another day.
     """
     w = Window.partitionBy(*keys).orderBy("__n").rangeBetween(-(length - 1), 0)
     item = F.struct(F.col(day).alias("day"), *[F.col(v).alias(v) for v in values])
     numbered = df.withColumn("__n", day_number(F.col(day)))
     return (
         numbered.withColumn(out, F.collect_list(item).over(w))
-        .filter(F.size(out) == length).drop("__n")
+        .filter(F.size(F.array_distinct(F.transform(out, lambda x: x["day"]))) == length).drop("__n")
     )
 
 

@@ -22,13 +22,16 @@ def dedupe_levels(df: DataFrame, keys: Sequence[str], depth: str, values: Sequen
                   order: str | None = None) -> DataFrame:
     """One row per column and depth; partial aggregation shrinks repeated copies before the shuffle.
 
-    ``order`` names the original position: the first known value counts. Without it the smallest
-    known value does, so that the result does not depend on row order.
+    All values come from one row. ``order`` names the original position: the first row counts. Without it
+    the first one in the order of the values does, those with the fewest missing before others, so that the
+    result does not depend on row order.
     """
-    def pick(v: str) -> Column:
-        return F.min_by(F.col(v), F.when(F.col(v).isNotNull(), F.col(order))) if order else F.min(v)
-
-    return df.groupBy(*keys, depth).agg(*[pick(v).alias(v) for v in values])
+    whole = F.struct(*[F.col(v) for v in values])
+    lacking = F.lit(0)
+    for v in values:
+        lacking = lacking + F.col(v).isNull().cast("int")
+    kept = F.min_by(whole, F.struct(F.col(order), lacking, whole)) if order else F.min(F.struct(lacking.alias("__lacking"), whole.alias("v")))["v"]
+    return df.groupBy(*keys, depth).agg(kept.alias("__kept")).select(*keys, depth, *[F.col("__kept")[v].alias(v) for v in values])
 
 
 def _interior_slope(h0: Column, m0: Column, h1: Column, m1: Column) -> Column:
@@ -64,12 +67,12 @@ def column_levels(df: DataFrame, keys: Sequence[str], depth: str, values: Sequen
 
 
 def hermite_segments(df: DataFrame, keys: Sequence[str], depth: str, values: Sequence[str],
-                     min_levels: int = 3, carry: dict[str, Column] | None = None) -> DataFrame:
+                     min_levels: int = 3, carry: dict[str, Column] | None = None, expected: int | None = None) -> DataFrame:
     """Knot intervals of each column with the cubic of every value as ``<value>_seg``.
 
     ``values`` must be known at the same levels; levels where any is NULL or not finite are dropped.
-    A column is *complete* when no level was dropped; it needs two levels, a partial one needs
-    ``min_levels``. Each column keeps at least its first row; ``z1`` is NULL where there is no usable
+    A column is *complete* when no level was dropped, nor any of ``expected`` levels is absent; it needs two
+    levels, a partial one needs ``min_levels``. Each column keeps at least its first row; ``z1`` is NULL where there is no usable
     interval. Depths must be distinct within a column (:func:`column_levels`). ``carry`` adds
     whole-column aggregates of the input, evaluated in the same window pass.
     """
@@ -83,7 +86,7 @@ def hermite_segments(df: DataFrame, keys: Sequence[str], depth: str, values: Seq
     knots = (
         df.select(*keys, F.col(depth).cast("double").alias("z0"),
                   *[finite(F.col(c).cast("double")).alias(c) for c in df.columns if c not in keys and c != depth])
-        .select("*", F.count(F.lit(1)).over(w).alias("n_all"), F.count_if(known).over(w).alias("n"),
+        .select("*", F.greatest(F.count(F.lit(1)).over(w), F.lit(expected or 0)).alias("n_all"), F.count_if(known).over(w).alias("n"),
                 *[c.over(w).alias(name) for name, c in carry.items()])
         .filter(known)
     )
@@ -187,13 +190,13 @@ def probe(profile: Column, value: str, z: Column) -> Column:
 
 def pchip_levels(df: DataFrame, keys: Sequence[str], depth: str, value: str,
                  levels: Sequence[float] = K.STANDARD_DEPTHS, clamp_deep: bool = False,
-                 unique: bool = False) -> DataFrame:
-    """Interpolation onto fixed levels, one row per column and level.
+                 unique: bool = False, expected: int | None = None) -> DataFrame:
+    """Interpolation onto fixed levels, one row per column and level; ``expected`` as in :func:`hermite_segments`.
 
     Levels above the known range take the shallowest value, levels below it NULL; ``clamp_deep``
     keeps the deepest value for complete columns instead.
     """
-    segs = hermite_segments(column_levels(df, keys, depth, [value], unique), keys, depth, [value])
+    segs = hermite_segments(column_levels(df, keys, depth, [value], unique), keys, depth, [value], expected=expected)
     packed = pack_segments(segs, keys, [value])
     rows = packed.select(*keys, "profile", F.explode(F.array(*[F.lit(float(z)) for z in levels])).alias(depth))
     top = F.get("profile", 0)["z0"]
@@ -304,10 +307,16 @@ def _heat_layer(v: Column, vn: Column, rho: Column, rho_n: Column, dz: Column) -
 
 # --- fused index chain ----------------------------------------------------------------------------
 
+INDICES = ("d26", "z20", "mld", "ild", "blt", "tchp")
+
 
 def column_indices(df: DataFrame, keys: Sequence[str], depth: str, ct: str, rho: str, sigma_sp: str | None = None,
-                   z_max: float = K.PROFILE_DEPTH_MAX, unique: bool = False) -> DataFrame:
-    """TCHP, MLD, Z20, ILD, BLT and D26 of every column on the 1 m axis, in one shuffle.
+                   z_max: float = K.PROFILE_DEPTH_MAX, unique: bool = False, wanted: Sequence[str] = INDICES,
+                   expected: int | None = None) -> DataFrame:
+    """TCHP, MLD, Z20, ILD, BLT and D26 of every column on the 1 m axis, in one shuffle and one sort.
+
+    ``wanted`` names the indices to return; metres are sampled only as far as those need. ``expected`` is the
+    number of levels of a complete column, if absent levels are to count as missing.
 
     Each interval evaluates its own metre samples and pairs its first one with the last sample of the
     interval above, carried down by a running window over the knots. Because an interval is monotone,
@@ -318,7 +327,7 @@ def column_indices(df: DataFrame, keys: Sequence[str], depth: str, ct: str, rho:
                     *([F.col(sigma_sp).alias("__sigma")] if sigma_sp else []))
     carry = {"mean_sigma": F.avg("__sigma")} if sigma_sp else {}
     values = [c for c in src.columns if c not in (*keys, depth)]
-    segs = hermite_segments(column_levels(src, keys, depth, values, unique), keys, depth, ["ct", "rho"], carry=carry)
+    segs = hermite_segments(column_levels(src, keys, depth, values, unique), keys, depth, ["ct", "rho"], carry=carry, expected=expected)
     low, high = _sample_range(1.0, 0.0, z_max)
     s = segs.withColumn("lo", low).withColumn("hi", high)
     has = F.col("lo") <= F.col("hi")
@@ -365,17 +374,22 @@ def column_indices(df: DataFrame, keys: Sequence[str], depth: str, ct: str, rho:
         F.coalesce(F.max(d.cast("int")).over(earlier), F.lit(0)).alias(f"done_{n}") for n, d in found.items()
     ])
     cold26, cold20 = F.col("ct_top") < K.HEAT_ISOTHERM, F.col("ct_top") < K.THERMOCLINE_ISOTHERM
-    wanted = ((F.col("done_d26") == 0) & ~cold26) | ((F.col("done_z20") == 0) & ~cold20) | (
-        ((F.col("done_mld") == 0) | (F.col("done_ild") == 0)) & (F.col("hi") > ref))
-    metres = F.when(has & (F.col("is_first") | wanted), F.sequence("lo", "hi"))
-    rows = s.filter(F.col("is_first") | (has & wanted)).select(
+    need = F.lit(False)
+    for names, still in ((("d26", "tchp"), (F.col("done_d26") == 0) & ~cold26), (("z20",), (F.col("done_z20") == 0) & ~cold20),
+                         (("mld", "blt"), (F.col("done_mld") == 0) & (F.col("hi") > ref)), (("ild", "blt"), (F.col("done_ild") == 0) & (F.col("hi") > ref))):
+        if set(names) & set(wanted):
+            need = need | still
+    # 26 degrees may be passed between two intervals, and the lower one may warm again: then only its first pair is above.
+    s = s.withColumn("passed_26", F.coalesce((F.col("ct_prev") >= K.HEAT_ISOTHERM) & (F.col("ct_lo") < K.HEAT_ISOTHERM), F.lit(False)))
+    metres = F.when(has & (F.col("is_first") | need), F.sequence("lo", "hi"))
+    rows = s.filter(F.col("is_first") | (has & need)).select(
         *keys, *carry, "ct_seg", "rho_seg", "z0", "lo", "ct_prev", "rho_prev", "z_top", "ct_top", "ct_ref", "rho_ref",
-        "done_d26", F.explode_outer(metres).alias("z"))
+        "done_d26", "passed_26", F.explode_outer(metres).alias("z"))
     z = F.col("z")
     start = z == F.col("lo")
     rows = rows.select(
         *keys, *carry, (z - 1).cast("double").alias("z"), "z_top", "ct_top", "ct_ref", "rho_ref", "done_d26",
-        F.when(start, F.col("ct_prev")).otherwise(cubic(ct_seg, z - 1 - z0)).alias("v0"),
+        (F.col("passed_26") & ~start).alias("below_26"), F.when(start, F.col("ct_prev")).otherwise(cubic(ct_seg, z - 1 - z0)).alias("v0"),
         F.when(start, F.col("rho_prev")).otherwise(cubic(rho_seg, z - 1 - z0)).alias("r0"),
         cubic(ct_seg, z - z0).alias("v1"), cubic(rho_seg, z - z0).alias("r1"),
     )
@@ -383,7 +397,7 @@ def column_indices(df: DataFrame, keys: Sequence[str], depth: str, ct: str, rho:
     t26 = K.HEAT_ISOTHERM
     cross26 = _downward_crossing(v0, v1, z, z + 1, t26)
     above = (v0 >= t26) & ((v1 >= t26) | (cross26 - z >= 0.5))
-    heat = F.when((F.col("done_d26") == 0) & above, _heat_layer(v0, v1, r0, r1, F.lit(1.0)))
+    heat = F.when((F.col("done_d26") == 0) & ~F.col("below_26") & above, _heat_layer(v0, v1, r0, r1, F.lit(1.0)))
     a0, a1 = r0 - F.col("rho_ref"), r1 - F.col("rho_ref")
     mld = F.when((z >= K.REFERENCE_DEPTH) & (a1 >= K.MIXED_LAYER_DRHO),
                  z + _fraction(F.lit(K.MIXED_LAYER_DRHO) - a0, a1 - a0))
@@ -399,7 +413,8 @@ def column_indices(df: DataFrame, keys: Sequence[str], depth: str, ct: str, rho:
     tchp = F.when(d26.isNotNull(), F.when(cold26, F.lit(0.0)).otherwise(
         F.coalesce(F.col("heat"), F.lit(0.0)) * K.KJ_CM2_PER_J_M2))
     blt = barrier_thickness(F.col("ild"), F.col("mld"), F.col("mean_sigma") if sigma_sp else None)
-    return per.select(*keys, d26.alias("d26"), z20.alias("z20"), "mld", "ild", blt.alias("blt"), tchp.alias("tchp"))
+    out = {"d26": d26, "z20": z20, "mld": F.col("mld"), "ild": F.col("ild"), "blt": blt, "tchp": tchp}
+    return per.select(*keys, *[out[name].alias(name) for name in INDICES if name in wanted])
 
 
 # --- serving and dashboard variants on the given levels ------------------------------------------
@@ -423,7 +438,10 @@ def thermocline_core(df: DataFrame, keys: Sequence[str], depth: str, value: str)
 
 
 def serving_indices(df: DataFrame, keys: Sequence[str], depth: str, theta: str, land: str | None = None) -> DataFrame:
-    """Coarse-level Z20, MLD, TCHP and BLT: the last crossing wins and defaults stand in for none."""
+    """Coarse-level Z20, MLD, TCHP and BLT: the last crossing wins and defaults stand in for none.
+
+    TCHP is NULL where a level is missing: part of a column is no heat content.
+    """
     w = Window.partitionBy(*keys)
     pairs = _next_level(df, keys, depth, [theta]).withColumn("__t0", F.min_by(theta, depth).over(w))
     t1, t2, z1, z2 = F.col(theta), F.col(f"__{theta}_n"), F.col(depth), F.col("__zn")
@@ -438,7 +456,7 @@ def serving_indices(df: DataFrame, keys: Sequence[str], depth: str, theta: str,
     per = pairs.groupBy(*keys).agg(
         F.coalesce(last_crossing(F.lit(20.0)), F.lit(K.SERVING_Z20_DEFAULT)).alias("z20"),
         F.coalesce(last_crossing(F.col("__t0") - 0.2), F.lit(K.SERVING_MLD_DEFAULT)).alias("mld"),
-        F.coalesce(F.sum(excess * (z2 - z1) * K.SERVING_HEAT_FACTOR), F.lit(0.0)).alias("tchp"),
+        F.when(F.count_if(t1.isNull()) == 0, F.coalesce(F.sum(excess * (z2 - z1) * K.SERVING_HEAT_FACTOR), F.lit(0.0))).alias("tchp"),
         *([F.max(land).alias("__land")] if land else []),
     )
     per = per.withColumn("blt", F.greatest(F.col("mld") - 10.0, F.lit(0.0)))

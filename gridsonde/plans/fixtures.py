@@ -32,6 +32,11 @@ VIEWS: dict[str, str] = {
         CASE WHEN cid % 4 = 0 AND depth IN (0e0, 75e0, 1000e0) THEN NULL
              WHEN cid % 7 = 3 AND depth > 1e1 THEN NULL ELSE theta END AS theta
         FROM {f_column}""",
+    # columns with inversions: the means of the rows swing by several degrees around 26 and 20
+    "f_inverted": f"""SELECT CAST(l_partkey AS BIGINT) AS cid, {_DEPTH} AS depth,
+        27e0 - 9e-3 * ({_DEPTH}) + (AVG(l_quantity) - 25.5e0) / 8e0 AS theta,
+        3.45e1 + 1e-3 * ({_DEPTH}) + (AVG(l_discount) - 5e-2) * 2e0 AS sp
+        FROM {{lineitem}} GROUP BY CAST(l_partkey AS BIGINT), l_linenumber""",
     # one seven-level column per cell
     "f_profile": """SELECT iy, ix, 5.125e0 + 0.25e0 * iy AS lat, 45.125e0 + 0.25e0 * ix AS lon, depth,
         3e1 - 2e-2 * depth + (AVG(theta) - 25.1e0) / 5e1 AS theta,

@@ -57,11 +57,11 @@ def doy_join(t: Tables):
     LEFT JOIN known lo ON lo.series = g.series AND lo.doy = g.p1 LEFT JOIN known hi ON hi.series = g.series AND hi.doy = g.n1
     LEFT JOIN known lo2 ON lo2.series = g.series AND lo2.doy = (SELECT MAX(doy) FROM known k WHERE k.series = g.series AND k.doy < g.p1)
     LEFT JOIN known hi2 ON hi2.series = g.series AND hi2.doy = (SELECT MIN(doy) FROM known k WHERE k.series = g.series AND k.doy > g.n1)""", (),
-       "known AS (SELECT o_custkey AS series, DAYOFYEAR(o_orderdate) AS doy, AVG(o_totalprice) / 1e4 AS v FROM orders WHERE YEAR(o_orderdate) <> 1996 AND DAYOFYEAR(o_orderdate) < 366 GROUP BY 1, 2)")
+       """known AS (SELECT o_custkey AS series, CASE WHEN DAYOFYEAR(MAKE_DATE(YEAR(o_orderdate), 12, 31)) = 366 AND DAYOFYEAR(o_orderdate) >= 60 THEN DAYOFYEAR(o_orderdate) - 1
+    ELSE DAYOFYEAR(o_orderdate) END AS doy, AVG(o_totalprice) / 1e4 AS v FROM orders GROUP BY 1, 2)""")
 def fill_doy_gaps(t: Tables):
     """Sparse calendar-day means of every customer filled to 365 days."""
-    o = t.orders.select(F.col("o_custkey").alias("series"), F.dayofyear("o_orderdate").alias("doy"), F.year("o_orderdate").alias("y"), (F.col("o_totalprice") / 1e4).alias("v"))
-    o = o.filter((F.col("y") != 1996) & (F.col("doy") < 366))
+    o = t.orders.select(F.col("o_custkey").alias("series"), climatology_doy(F.col("o_orderdate")).alias("doy"), (F.col("o_totalprice") / 1e4).alias("v"))
     clim = C.daily_climatology(o, "doy", ["series"], ["v"])
     out = C.fill_doy_gaps(clim.select("series", "doy", F.col("v_clim").alias("v")), "doy", ["series"], "v")
     return rounded(out, "v", shift=1.234e-9)
@@ -111,10 +111,10 @@ def land_from_coverage(t: Tables):
 
 
 @query("merge_features", """SELECT CAST(COALESCE(a.day, b.day) AS VARCHAR) AS day, COALESCE(a.n, b.n) AS n, ROUND(a.theta, 6) AS theta, ROUND(b.sp, 6) AS sp FROM
-    (SELECT day, COUNT(*) AS n, AVG(theta) AS theta FROM f_obs WHERE depth < 50 GROUP BY day) a FULL JOIN (SELECT day, COUNT(*) AS n, AVG(sp) AS sp FROM f_obs WHERE depth = 1000 GROUP BY day) b ON a.day = b.day""", ("f_obs",))
+    (SELECT day, COUNT(*) AS n, AVG(theta) AS theta FROM f_obs WHERE depth < 75 GROUP BY day) a FULL JOIN (SELECT day, COUNT(*) AS n, AVG(sp) AS sp FROM f_obs WHERE NOT depth < 75 GROUP BY day) b ON a.day = b.day""", ("f_obs",))
 def merge_features(t: Tables):
-    a = t.f_obs.filter("depth < 50").groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.avg("theta").alias("theta"))
-    b = t.f_obs.filter("depth = 1000").groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.avg("sp").alias("sp"))
+    a = t.f_obs.filter("depth < 75").groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.avg("theta").alias("theta"))
+    b = t.f_obs.filter("NOT depth < 75").groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.avg("sp").alias("sp"))
     return rounded(C.merge_features(a, b).withColumn("day", text("day")), "theta", "sp")
 
 

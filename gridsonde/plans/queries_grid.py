@@ -23,8 +23,10 @@ CELLS = GridSpec(5.125, 45.125, 0.25, 10, 10)
 _LATLON = "5.125e0 + 0.25e0 * iy AS lat, 45.125e0 + 0.25e0 * ix AS lon"
 
 
-def _year_parts(t: Tables) -> list[DataFrame]:
-    return [t.lineitem.filter(F.year("l_shipdate") == y) for y in range(1995, 2002)]
+def _year_parts(t: Tables, n: int = 4) -> list[DataFrame]:
+    """Every row in one of ``n`` parts by its year; rows without a date in the first."""
+    part = F.coalesce(F.year("l_shipdate") % n, F.lit(0))
+    return [t.lineitem.filter(part == k) for k in range(n)]
 
 
 @query("read_many", """SELECT src, nation, COUNT(*) AS n, ROUND(SUM(bal), 2) AS bal FROM (
@@ -36,10 +38,9 @@ def read_many(t: Tables):
     return both.groupBy("src", nation.alias("nation")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(bal), 2).alias("bal"))
 
 
-@query("union_files", """SELECT CAST(YEAR(l_shipdate) AS INT) AS yr, COUNT(*) AS n, SUM(CAST(l_quantity AS BIGINT)) AS qty FROM lineitem
-    WHERE YEAR(l_shipdate) BETWEEN 1995 AND 2001 GROUP BY 1""")
+@query("union_files", """SELECT CAST(YEAR(l_shipdate) AS INT) AS yr, COUNT(*) AS n, SUM(CAST(l_quantity AS BIGINT)) AS qty FROM lineitem GROUP BY 1""")
 def union_files(t: Tables):
-    """Yearly parts of one table united again."""
+    """Parts of one table, by year, united again."""
     return ST.union_tables(*_year_parts(t)).groupBy(F.year("l_shipdate").alias("yr")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("bigint")).cast("bigint").alias("qty"))
 
@@ -274,18 +275,18 @@ def area_weight(t: Tables):
     return t.customer.select(F.col("c_custkey").alias("id"), r(w / mean).alias("w"))
 
 
-@query("reconstruct", """SELECT cid, k, ROUND(pred + sigma, 6) AS theta, ROUND(LEAST(5e0, GREATEST(1e-4, sigma * 2e2 - 1e0)), 6) AS sigma_theta,
-    ROUND(LEAST(2e0, GREATEST(1e-4, sigma * 1e2 - 1e0)), 6) AS sigma_sp FROM f_ensemble WHERE member = 1""", ("f_ensemble",))
+@query("reconstruct", """SELECT member, cid, k, ROUND(pred + sigma, 6) AS theta, ROUND(LEAST(5e0, GREATEST(1e-4, sigma * 2e2 - 1e0)), 6) AS sigma_theta,
+    ROUND(LEAST(2e0, GREATEST(1e-4, sigma * 1e2 - 1e0)), 6) AS sigma_sp FROM f_ensemble""", ("f_ensemble",))
 def reconstruct(t: Tables):
     s = F.col("sigma")
-    return t.f_ensemble.filter("member = 1").select(
-        "cid", "k", r(P.reconstruct(F.col("pred"), s)).alias("theta"),
+    return t.f_ensemble.select(
+        "member", "cid", "k", r(P.reconstruct(F.col("pred"), s)).alias("theta"),
         r(P.clip_sigma_theta(s * 200.0 - 1.0)).alias("sigma_theta"), r(P.clip_sigma_sp(s * 100.0 - 1.0)).alias("sigma_sp"))
 
 
-@query("log_sigma", "SELECT cid, k, ROUND(EXP(LEAST(2e0, GREATEST(-7e0, pred / 3e0 - 9e0))), 6) AS sigma FROM f_ensemble WHERE member = 2", ("f_ensemble",))
+@query("log_sigma", "SELECT member, cid, k, ROUND(EXP(LEAST(2e0, GREATEST(-7e0, pred / 3e0 - 9e0))), 6) AS sigma FROM f_ensemble", ("f_ensemble",))
 def log_sigma(t: Tables):
-    return t.f_ensemble.filter("member = 2").select("cid", "k", r(P.sigma_from_log(F.col("pred") / 3.0 - 9.0)).alias("sigma"))
+    return t.f_ensemble.select("member", "cid", "k", r(P.sigma_from_log(F.col("pred") / 3.0 - 9.0)).alias("sigma"))
 
 
 @query("juld_to_ts", """SELECT id, CAST(TIMESTAMP '1950-01-01' + TO_MICROSECONDS(CAST(days * 864e8 AS BIGINT)) AS VARCHAR) AS ts
@@ -360,6 +361,9 @@ def mooring_to_rows(t: Tables):
         F.count("temp").alias("n"), F.round(F.sum("temp"), 3).alias("temp"), F.count("psal").alias("n_psal"), r(F.max("lat")).alias("lat_max"))
 
 
+PROFILE_LEVELS = 1000
+
+
 @query("load_case_study", """SELECT series, CAST(CAST(ts AS DATE) AS VARCHAR) AS date, COUNT(*) AS n, ROUND(SUM(value), 3) AS theta,
     ROUND(SUM(CAST(json_extract_string(props, '$.k') AS DOUBLE)), 3) AS sp, 0.2e0 AS sigma_theta FROM (SELECT event_type AS series, ts, value, props FROM events) GROUP BY 1, 2""")
 def load_case_study(t: Tables):
@@ -367,14 +371,15 @@ def load_case_study(t: Tables):
     e = t.events.select(F.col("event_type").alias("series"), F.to_date("ts").cast("string").alias("date"), "event_id", "value",
                         F.get_json_object("props", "$.k").cast("double").alias("k"))
     level = F.struct("event_id", "value", "k")
-    profile = e.groupBy("series", "date").agg(F.sort_array(F.collect_list(level)).alias("l")).select(
+    # A profile holds at most PROFILE_LEVELS readings; a longer day makes several profiles.
+    e = e.withColumn("part", F.floor(F.col("event_id") / PROFILE_LEVELS))
+    profile = e.groupBy("series", "date", "part").agg(F.sort_array(F.collect_list(level)).alias("l")).select(
         "series", "date", F.struct(
             F.col("series").alias("label"), F.transform("l", lambda s: s["event_id"].cast("double")).alias("depths"),
             F.transform("l", lambda s: s["value"]).alias("potential_temperature"),
             F.transform("l", lambda s: s["k"]).alias("practical_salinity")).alias("p"))
-    # One document per series and month keeps each JSON text bounded by a month of readings.
-    docs = profile.groupBy("series", F.substring("date", 1, 7).alias("month")).agg(
-        F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("date", "p"))).alias("profiles"))).alias("doc"))
+    # One document per profile: its size does not grow with the table.
+    docs = profile.select("series", F.to_json(F.struct(F.create_map("date", "p").alias("profiles"))).alias("doc"))
     rows = SP.case_profile_rows(SP.parse_case_study(docs, "doc"), keep=("series",))
     return rows.groupBy("series", "date").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("theta"), 3).alias("theta"), F.round(F.sum("sp"), 3).alias("sp"),

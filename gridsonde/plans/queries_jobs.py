@@ -16,7 +16,7 @@ from gridsonde.plans.queries_vertical import _STEP, _SURFACE_SQL, SERVING_SQL
 from gridsonde.plans.registry import Tables, query, r, rounded, text
 from gridsonde.plans.sql_parts import PCHIP, level_values
 from gridsonde.session import scratch_path
-from gridsonde.streaming.daily import append_to, read_stream, stream_daily_mean as daily_stream
+from gridsonde.streaming.daily import append_to, read_stream, stream_daily_mean as daily_stream, with_open_days
 
 _WEIGHTS = _REGRID[_REGRID.index("wy AS"):]
 _LAND15 = "[0e0, 5e0, 1e1, 2e1, 3e1, 5e1, 75e0, 1e2, 125e0, 15e1, 2e2, 3e2, 5e2, 7e2, 1e3]"
@@ -133,15 +133,15 @@ def job_training_table(t: Tables):
                       F.size("targets").cast("bigint").alias("n_targets"), F.size(F.filter("targets", lambda x: x["valid"])).cast("bigint").alias("n_valid"), r(delta, 5).alias("delta"))
 
 
-@query("stream_daily_mean", """SELECT series, CAST(day AS VARCHAR) AS day, ROUND(value, 6) AS value FROM f_daily WHERE day + INTERVAL 1 DAY <= (SELECT MAX(ts) FROM events) - INTERVAL 1 DAY""", ("f_daily",))
+@query("stream_daily_mean", """SELECT series, CAST(day AS VARCHAR) AS day, ROUND(value, 6) AS value FROM f_daily""", ("f_daily",))
 def stream_daily_mean(t: Tables):
-    """The events file as a stream: days closed by the watermark, read back from the append sink."""
+    """The events file as a stream: days closed by the watermark, then those left open, read back from the sink."""
     schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampType()), T.StructField("user_id", T.LongType()),
                            T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
     stream = read_stream(t.spark, t.sf_dir, schema, files="events.parquet").select(F.col("event_type").alias("series"), "ts", "value")
     out = scratch_path(t.spark, "stream_daily")
     append_to(daily_stream(stream, "ts", ["series"], ["value"]), f"{out}/data", f"{out}/checkpoint").awaitTermination()
-    back = t.spark.read.schema("series string, day date, value double").parquet(f"{out}/data")
+    back = with_open_days(t.f_series, f"{out}/data", "ts", ["series"], ["value"])
     return back.select("series", text("day").alias("day"), r("value").alias("value"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from gridsonde.functions import numeric as N
@@ -182,11 +183,10 @@ def point_lookup(t: Tables):
 
 
 @query("antecedent_window", """SELECT series, CAST(day AS VARCHAR) AS day, n, CAST(d0 AS VARCHAR) AS first_day, ROUND(v0, 6) AS first_value, ROUND(v1, 6) AS last_value FROM (SELECT series, day, COUNT(*) OVER w AS n, MIN(day) OVER w AS d0,
-    FIRST_VALUE(value) OVER w AS v0, value AS v1 FROM gaps WINDOW w AS (PARTITION BY series ORDER BY day RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW)) WHERE n = 7""", ("f_daily",),
-       "gaps AS (SELECT * FROM f_daily WHERE NOT (series = 'click' AND DAY(day) = 12))")
+    FIRST_VALUE(value) OVER w AS v0, value AS v1 FROM f_daily WINDOW w AS (PARTITION BY series ORDER BY day RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW)) WHERE n = 7""", ("f_daily",))
 def antecedent_window(t: Tables):
-    """Seven-day blocks of daily means; one series has a missing day, which removes seven of its windows."""
-    daily = daily_mean(t.f_series, "ts", ["series"], ["value"]).filter(~((F.col("series") == "click") & (F.dayofmonth("day") == 12)))
+    """Seven-day blocks of daily means."""
+    daily = daily_mean(t.f_series, "ts", ["series"], ["value"])
     w = T.antecedent_window(daily, ["series"], "day", ["value"])
     first = F.get("window", F.lit(0))
     return w.select("series", text("day").alias("day"), F.size("window").cast("bigint").alias("n"), text(first["day"]).alias("first_day"),
@@ -238,7 +238,7 @@ def score_windows(t: Tables):
         "series", "day", F.transform("window", lambda w: w["value"]).alias("values"))
 
     def window_mean(batch):
-        return batch.assign(score=[float(v.mean()) for v in batch["values"]])[["series", "day", "score"]]
+        return batch.assign(score=np.stack(batch["values"]).mean(axis=1) if len(batch) else 0.0)[["series", "day", "score"]]
 
     scored = T.score_windows(windows, window_mean, "series string, day date, score double")
     return scored.select("series", text("day").alias("day"), r("score").alias("score"))

@@ -18,8 +18,9 @@ def _with_density(t: Tables):
     return t.f_column.withColumn("ct", theta).withColumn("rho", P.simple_density(theta, sp))
 
 
-def _metres(t: Tables, value: str | list[str]):
-    return V.pchip(_with_density(t), _CID, "depth", value, unique=True)
+def _fused(t: Tables, *wanted: str):
+    """Single indices take the fused chain, which samples no deeper than they need."""
+    return V.column_indices(_with_density(t), _CID, "depth", "ct", "rho", unique=True, wanted=wanted)
 
 
 RHO_SQL = "1025e0 - 0.15e0 * (theta - 1e1) + 0.76e0 * (sp * (35.16504e0 / 35e0) - 35e0)"
@@ -61,18 +62,17 @@ def indices_profile(t: Tables):
 
 @query("isotherm_depth", "SELECT cid, ROUND(d26, 6) AS d26, ROUND(z20, 6) AS z20 FROM idx", ("f_column",), _INDEX_CTES)
 def isotherm_depth(t: Tables):
-    out = V.isotherm_depth(_metres(t, "ct"), _CID, "z", "ct", {"d26": K.HEAT_ISOTHERM, "z20": K.THERMOCLINE_ISOTHERM})
-    return rounded(out, "d26", "z20")
+    return rounded(_fused(t, "d26", "z20"), "d26", "z20")
 
 
 @query("mld", "SELECT cid, ROUND(mld, 4) AS mld FROM idx", ("f_column",), _INDEX_CTES)
 def mld(t: Tables):
-    return rounded(V.mixed_layer_depth(_metres(t, "rho"), _CID, "z", "rho"), "mld", digits=4)
+    return rounded(_fused(t, "mld"), "mld", digits=4)
 
 
 @query("ild", "SELECT cid, ROUND(ild - 1.234e-9, 6) AS ild FROM idx", ("f_column",), _INDEX_CTES)
 def ild(t: Tables):
-    return rounded(V.isothermal_layer_depth(_metres(t, "ct"), _CID, "z", "ct"), "ild", shift=1.234e-9)
+    return rounded(_fused(t, "ild"), "ild", shift=1.234e-9)
 
 
 @query("blt", """SELECT idx.cid, ROUND(CASE WHEN ild > mld AND s <= 0.15e0 THEN ild - mld END, 4) AS blt
@@ -85,7 +85,7 @@ def blt(t: Tables):
 
 @query("tchp", "SELECT cid, ROUND(CASE WHEN has = 1 THEN COALESCE(e, 0) END, 6) AS tchp FROM heat", ("f_column",), _INDEX_CTES)
 def tchp(t: Tables):
-    return rounded(V.heat_potential(_metres(t, ["ct", "rho"]), _CID, "z", "ct", "rho"), "tchp")
+    return rounded(_fused(t, "tchp"), "tchp")
 
 
 @query("pchip", f"""SELECT cid, CAST(z AS DOUBLE) AS z, ROUND({SEG_VALUE} - 1.234e-9, 6) AS theta
@@ -155,18 +155,39 @@ def sigma_theta(t: Tables):
 
 
 SERVING_SQL = """serving AS (SELECT s.cid, COALESCE(z20, 120e0) AS z20, COALESCE(mld, 40e0) AS mld, tchp FROM
-    (SELECT cid, SUM((GREATEST(t1 - 26, 0e0) + GREATEST(t2 - 26, 0e0)) / 2 * (z2 - z1) * 0.428245e0) AS tchp FROM steps GROUP BY cid) s
+    (SELECT cid, CASE WHEN COUNT(*) = COUNT(t1) THEN COALESCE(SUM((GREATEST(t1 - 26, 0e0) + GREATEST(t2 - 26, 0e0)) / 2 * (z2 - z1) * 0.428245e0), 0) END AS tchp FROM steps GROUP BY cid) s
     LEFT JOIN (SELECT cid, ARG_MAX(z1 + (2e1 - t1) / (t2 - t1 + 1e-6) * (z2 - z1), z1) AS z20 FROM steps WHERE t1 >= 20 AND t2 < 20 GROUP BY cid) a ON a.cid = s.cid
     LEFT JOIN (SELECT cid, ARG_MAX(z1 + (t0 - 0.2e0 - t1) / (t2 - t1 + 1e-6) * (z2 - z1), z1) AS mld FROM steps WHERE t1 >= t0 - 0.2e0 AND t2 < t0 - 0.2e0 GROUP BY cid) b ON b.cid = s.cid)"""
 
 
-@query("serving_z20_mld_tchp", """SELECT cid, ROUND(z20, 6) AS z20, ROUND(mld, 6) AS mld, ROUND(COALESCE(tchp, 0) - 1e-9, 6) AS tchp,
+@query("serving_z20_mld_tchp", """SELECT cid, ROUND(z20, 6) AS z20, ROUND(mld, 6) AS mld, ROUND(tchp - 1e-9, 6) AS tchp,
     ROUND(GREATEST(mld - 10, 0), 6) AS blt FROM serving""", ("f_column",), f"{_STEP}, {SERVING_SQL}")
 def serving(t: Tables):
     out = V.serving_indices(t.f_column, _CID, "depth", "theta")
     return rounded(rounded(out, "z20", "mld", "blt"), "tchp", shift=1e-9)
 
 
+@query("serving_gappy", """SELECT cid, ROUND(z20, 6) AS z20, ROUND(mld, 6) AS mld, ROUND(tchp - 1e-9, 6) AS tchp,
+    CASE WHEN tchp IS NULL THEN 'UNKNOWN' WHEN tchp > 80 THEN 'EXTREME' WHEN tchp >= 50 THEN 'MODERATE' ELSE 'DEPLETED' END AS label FROM serving""",
+       ("f_gappy",), f"{_STEP.replace('f_column', 'f_gappy')}, {SERVING_SQL}")
+def serving_gappy(t: Tables):
+    """Columns with missing levels: no heat content, class unknown, defaults for the depths."""
+    out = V.serving_indices(t.f_gappy, _CID, "depth", "theta").withColumn("label", P.classify_heat(F.col("tchp")))
+    return rounded(rounded(out.select("cid", "z20", "mld", "tchp", "label"), "z20", "mld"), "tchp", shift=1e-9)
+
+
+@query("indices_inverted", """SELECT idx.cid, ROUND(d26, 6) AS d26, ROUND(z20, 6) AS z20, ROUND(mld, 4) AS mld, ROUND(ild - 1.234e-9, 6) AS ild,
+    ROUND(CASE WHEN ild > mld THEN ild - mld END, 4) AS blt, ROUND(CASE WHEN has = 1 THEN COALESCE(e, 0) END, 6) AS tchp
+    FROM idx JOIN heat USING (cid)""", ("f_inverted",), _INDEX_CTES.replace("f_column", "f_inverted"))
+def indices_inverted(t: Tables):
+    """Columns that warm again below: around 26 and 20 degrees and below the reference level."""
+    theta, sp = F.col("theta"), F.col("sp")
+    df = t.f_inverted.withColumn("ct", theta).withColumn("rho", P.simple_density(theta, sp))
+    out = V.column_indices(df, _CID, "depth", "ct", "rho", unique=True)
+    out = rounded(rounded(out, "d26", "z20", "tchp"), "mld", "blt", digits=4)
+    return rounded(out, "ild", shift=1.234e-9)
+
+
 def _serving_surface(t: Tables):
     """Serving indices with surface temperature, a sea-level anomaly and a land flag per column."""
     surface = t.f_column.groupBy("cid").agg(
@@ -265,11 +286,11 @@ def sounding_summary(t: Tables):
         "ild", "core_grad", "sigma_top", "blt"), *kj, shift=1e-9)
 
 
-@query("uncertainty_band", """SELECT cid, k, ROUND(pred - sigma, 6) AS lo_1, ROUND(pred + sigma, 6) AS hi_1, ROUND(pred - 2 * sigma, 6) AS lo_2,
-    ROUND(pred + 2 * sigma, 6) AS hi_2 FROM f_ensemble WHERE member = 0""", ("f_ensemble",))
+@query("uncertainty_band", """SELECT member, cid, k, ROUND(pred - sigma, 6) AS lo_1, ROUND(pred + sigma, 6) AS hi_1, ROUND(pred - 2 * sigma, 6) AS lo_2,
+    ROUND(pred + 2 * sigma, 6) AS hi_2 FROM f_ensemble""", ("f_ensemble",))
 def uncertainty_band(t: Tables):
-    out = V.uncertainty_band(t.f_ensemble.filter("member = 0"), "pred", "sigma")
-    return rounded(out.select("cid", "k", "lo_1", "hi_1", "lo_2", "hi_2"), "lo_1", "hi_1", "lo_2", "hi_2")
+    out = V.uncertainty_band(t.f_ensemble, "pred", "sigma")
+    return rounded(out.select("member", "cid", "k", "lo_1", "hi_1", "lo_2", "hi_2"), "lo_1", "hi_1", "lo_2", "hi_2")
 
 
 @query("sort_axes", """SELECT cid, STRING_AGG(CAST(CAST(depth AS INT) AS VARCHAR), ',' ORDER BY depth) AS axis, COUNT(*) AS n FROM f_column GROUP BY cid""", ("f_column",))

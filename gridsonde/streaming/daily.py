@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from gridsonde.operators.climate import daily_mean
+
 
 def read_stream(spark: SparkSession, folder: str, schema: T.StructType, files: str | None = None,
                 files_per_trigger: int | None = None) -> DataFrame:
@@ -31,6 +33,18 @@ def stream_daily_mean(stream: DataFrame, ts: str, keys: Sequence[str], values: S
     return grouped.select(*keys, F.to_date("__w.start").alias("day"), *values)
 
 
+def with_open_days(batch: DataFrame, path: str, ts: str, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """The days that a finished stream emitted to ``path`` and those it left open, from the same source as a batch.
+
+    A stream that will get no more input never passes the watermark of its last days. Days after the last
+    emitted one are complete in the source, so they are computed there; call it once the query has ended.
+    """
+    rows = daily_mean(batch, ts, list(keys), list(values)).select(*keys, "day", *values)
+    emitted = batch.sparkSession.read.schema(rows.schema).parquet(path)
+    last = F.coalesce(emitted.agg(F.max("day")).scalar(), F.lit("0001-01-01").cast("date"))
+    return emitted.unionByName(rows.filter(F.col("day") > last))
+
+
 def append_to(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Append-mode Parquet sink with exactly-once file commits."""
     writer = stream.writeStream.outputMode("append").format("parquet").option("path", path).option(
