@@ -139,19 +139,29 @@ def packed_columns(df: DataFrame, keys: Sequence[str], depth: str, values: Seque
 
 
 def argo_match(levels: DataFrame, model: DataFrame, spec: GridSpec, ts: str = "ts", t_model: str = "t_model",
-               max_radius: float = K.MATCH_RADIUS_DEG, unique: bool = False) -> DataFrame:
+               max_radius: float = K.MATCH_RADIUS_DEG, unique: bool = False, times: DataFrame | None = None) -> DataFrame:
     """Status of every in-situ level and, for ``pair`` rows, model values at its depth.
 
     ``levels``: profile_id, ts, lat, lon, depth, temp, psal. ``model``: t_model, iy, ix, depth,
     theta, sp. Status is far, time, no_model, shallow, missing or pair. Space is closed form, time
     a bucketed equi-join, the model column an equi-join on (time, cell) with one packed row.
-    ``unique`` promises one model row per time, cell and depth.
+    ``unique`` promises one model row per time, cell and depth; ``times`` is the model's time axis, if at hand.
     """
     placed = nearest_cell(levels, spec, max_radius=max_radius, in_domain=True)
-    timed = nearest_time(placed, model.select(t_model), ts, t_model).withColumn("dt_bin", dt_bin(F.col("dt_hours")))
-    columns = packed_columns(model, [t_model, "iy", "ix"], "depth", ["theta", "sp"], need=3, unique=unique)
-    columns = columns.withColumnRenamed(t_model, "t_model")
-    joined = timed.join(columns, ["t_model", "iy", "ix"], "left")
+    times = model.select(t_model) if times is None else times
+    none = F.lit(None)
+    # Levels out of the domain or the tolerance need no model column: they stay out of the joins.
+    far = placed.filter(F.col("iy").isNull()).withColumns({"t_model": none.cast("timestamp"), "dt_hours": none.cast("double")})
+    timed = nearest_time(placed.filter(F.col("iy").isNotNull()), times, ts, t_model)
+    late = timed.filter(F.col("t_model").isNull()).select(far.columns).unionByName(far)
+    timed = timed.filter(F.col("t_model").isNotNull())
+    # Only the columns that observations touch are shuffled, sorted and packed.
+    source = model.withColumnRenamed(t_model, "t_model")
+    touched = timed.select("t_model", "iy", "ix").distinct()
+    columns = packed_columns(source.join(touched, ["t_model", "iy", "ix"], "left_semi"), ["t_model", "iy", "ix"], "depth", ["theta", "sp"],
+                             need=3, unique=unique)
+    joined = timed.join(columns, ["t_model", "iy", "ix"], "left").unionByName(late, allowMissingColumns=True)
+    joined = joined.withColumn("dt_bin", dt_bin(F.col("dt_hours")))
     z = F.col("depth")
     usable = F.coalesce(F.size("theta_profile"), F.lit(0)) > 0
     status = (
@@ -188,7 +198,7 @@ def argo_counters(matched: DataFrame, profile: str = "profile_id") -> DataFrame:
 
 
 def mooring_match(mooring: DataFrame, model: DataFrame, spec: GridSpec, sensor_depths: Sequence[float] = K.MOORING_SENSOR_DEPTHS,
-                  tolerance_hours: float = K.MOORING_TOLERANCE_HOURS, unique: bool = False) -> DataFrame:
+                  tolerance_hours: float = K.MOORING_TOLERANCE_HOURS, unique: bool = False, times: DataFrame | None = None) -> DataFrame:
     """Mooring records against model columns, in both interpolation directions.
 
     ``mooring``: site, ts, lat, lon, depth, temp, psal. ``model``: t_model, iy, ix, depth, theta,
@@ -196,7 +206,7 @@ def mooring_match(mooring: DataFrame, model: DataFrame, spec: GridSpec, sensor_d
     model levels; a record with fewer than three known levels gives NULL observations.
     """
     records = mooring.select("site", "ts", "lat", "lon").distinct()
-    placed = nearest_time(nearest_cell(records, spec), model.select("t_model"), "ts", "t_model", tolerance_hours)
+    placed = nearest_time(nearest_cell(records, spec), model.select("t_model") if times is None else times, "ts", "t_model", tolerance_hours)
     placed = placed.filter(F.col("t_model").isNotNull()).select("site", "ts", "iy", "ix", "t_model")
     known = mooring.filter(F.col("depth").isNotNull())
     # Only known levels take part, so a record counts as complete and is extended above its first sensor.
@@ -210,7 +220,8 @@ def mooring_match(mooring: DataFrame, model: DataFrame, spec: GridSpec, sensor_d
     obs = segs.groupBy("site", "ts").agg(*[
         F.sort_array(F.collect_list(F.when(usable & (F.col("variable") == v), interval))).alias(f"{v}_obs")
         for v in ("temp", "psal")])
-    columns = packed_columns(model, ["t_model", "iy", "ix"], "depth", ["theta", "sp"], levels=True, unique=unique)
+    touched = model.join(placed.select("t_model", "iy", "ix").distinct(), ["t_model", "iy", "ix"], "left_semi")
+    columns = packed_columns(touched, ["t_model", "iy", "ix"], "depth", ["theta", "sp"], levels=True, unique=unique)
     joined = placed.join(obs, ["site", "ts"], "left").join(columns, ["t_model", "iy", "ix"], "left")
     none = F.lit(None).cast("double")
     forward, backward = F.lit("model_to_mooring"), F.lit("mooring_to_standard")
@@ -218,15 +229,20 @@ def mooring_match(mooring: DataFrame, model: DataFrame, spec: GridSpec, sensor_d
                         for z in sensor_depths])
     standard = F.transform("levels", lambda x: F.struct(
         x["depth"].alias("depth"), x["theta"].alias("theta"), x["sp"].alias("sp"), backward.alias("direction")))
-    rows = joined.withColumn("__q", F.explode(F.coalesce(F.concat(sensors, standard), sensors))).select("*", "__q.*")
-    z, to_sensor = F.col("depth"), F.col("direction") == forward
 
-    def model_value(level: str) -> Column:
-        return F.when(to_sensor, probe(F.col(f"{level}_profile"), "v", z)).otherwise(F.col(level))
+    def result(q: Column) -> Column:
+        """All values of one depth; evaluated beside the profiles, so that only small rows are exploded."""
+        z, to_sensor = q["depth"], q["direction"] == forward
 
-    return rows.select(
-        "site", "ts", "depth", model_value("theta").alias("temp_model"), probe(F.col("temp_obs"), "v", z).alias("temp_obs"),
-        model_value("sp").alias("sp_model"), probe(F.col("psal_obs"), "v", z).alias("sp_obs"), "direction")
+        def model_value(level: str) -> Column:
+            return F.when(to_sensor, probe(F.col(f"{level}_profile"), "v", z)).otherwise(q[level])
+
+        return F.struct(z.alias("depth"), model_value("theta").alias("temp_model"), probe(F.col("temp_obs"), "v", z).alias("temp_obs"),
+                        model_value("sp").alias("sp_model"), probe(F.col("psal_obs"), "v", z).alias("sp_obs"), q["direction"].alias("direction"))
+
+    depths = F.coalesce(F.concat(sensors, standard), sensors)
+    # The array is never empty; the outer form keeps the optimiser from computing it a second time to find out.
+    return joined.select("site", "ts", F.explode_outer(F.transform(depths, result)).alias("__q")).select("site", "ts", "__q.*")
 
 
 def skill_by_dt(pairs: DataFrame) -> DataFrame:
@@ -262,5 +278,7 @@ def point_lookup(stations: DataFrame, cube: DataFrame, mask: DataFrame, spec: Gr
     ids = stations.columns
     placed = nearest_cell(stations, spec)
     sea = mask.filter(~F.coalesce(F.col(land), F.lit(False))).select("iy", "ix")
-    columns = cube.groupBy(*on).agg(F.sort_array(F.collect_list(F.struct(depth, *values))).alias("levels"))
-    return placed.join(sea, ["iy", "ix"], "left_semi").join(columns, list(on), "left").select(*ids, "iy", "ix", "levels")
+    placed = placed.join(sea, ["iy", "ix"], "left_semi")
+    touched = cube.join(placed.select(*on).distinct(), list(on), "left_semi")
+    columns = touched.groupBy(*on).agg(F.sort_array(F.collect_list(F.struct(depth, *values))).alias("levels"))
+    return placed.join(columns, list(on), "left").select(*ids, "iy", "ix", "levels")
