@@ -7,11 +7,13 @@ dyadic ranges (0,1], (1,2], (2,4], ... with one process each, whose points are p
 count only up to the weight, so that a shingle repeated a million times costs about twenty processes. Points are
 generated up to a time by which all registers are usually filled, then further if not, so that the signature is exact.
 
-Registers are hashed in bands. Within a bucket (documents that share a band) documents are not compared all with all:
-each is compared with a pivot, the member that shares most buckets, and accepted if the overlap of the multisets, counted
-exactly, reaches ``threshold``. Classes are the connected components of accepted pairs. While a bucket still holds
-documents of different classes, the next 3, 12, 48, ... pivots are tried against those of other classes, until none
-is left untried: no link between classes is lost, and groups of copies cost their size, not its square.
+Registers are hashed in bands, each register in two of them. Within a bucket (documents that share a band) documents are
+not compared all with all. First each is compared with a pivot, the member that shares most buckets, and accepted if the
+overlap of the multisets, counted exactly, reaches ``threshold``. Classes are the connected components of accepted pairs.
+A bucket that then still holds documents of different classes is finished pair by pair if it has at most ``SMALL`` members.
+A larger one (documents that share a passage but are no duplicates) is dealt into finer buckets by further registers, in
+``SPLITS`` ways, and these are treated in the same way, down to ``DEPTH`` levels, where all pairs of different classes are
+compared. So groups of copies cost their size and not its square, and no bucket is capped.
 
 Odd cases: copies with the same words are one node, whatever their number. Texts with fewer than five words are one
 shingle of all their words. Texts without words (null, empty, signs only) match nothing and are their own class. Rows
@@ -27,13 +29,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridsonde.llm.shared import words, written
 from gridsonde.llm.tiling import window_hashes
 
-WIDTH, BANDS, ROWS, THRESHOLD = 5, 24, 4, 0.8
+WIDTH, BANDS, ROWS, THRESHOLD = 5, 40, 6, 0.8
+SMALL, SPLITS, TAKEN, DEPTH = 24, 8, 3, 6
 U = np.uint64
 
 
@@ -125,26 +128,57 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return both / (int(a[1].sum()) + int(b[1].sum()) - both)
 
 
+def _layout(bands: int, rows: int) -> tuple[int, np.ndarray]:
+    """Number of registers, and the registers of each band: two shuffles of all registers, cut into bands."""
+    half = (bands + 1) // 2
+    rng = np.random.default_rng(7)
+    return half * rows, np.concatenate([rng.permutation(half * rows).reshape(half, rows) for _ in range(2)])[:bands]
+
+
 def _described(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, tkey (of the text), key (of its words; null without words) and the band hashes."""
+    """doc_id, tkey (of the text), key (of its words; null without words), the band hashes and 16 bits of each register."""
+    registers, layout = _layout(bands, rows)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        odd = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], U)
-        factor = np.concatenate([odd] * (rows // len(odd) + 1))[:rows]
+        factor = mixed(np.arange(1, rows + 1, dtype=U)) | U(1)
         for batch in batches:
-            keys, hashes = [], []
+            keys, hashes, kept = [], [], []
             for t in batch["text"]:
                 tokens = words(t)
                 if not tokens:
                     keys.append(None)
                     hashes.append(None)
+                    kept.append(None)
                     continue
                 keys.append(hashlib.blake2b(" ".join(tokens).encode("utf-8", "surrogatepass"), digest_size=16).digest())
-                own = signature(*shingles(tokens, width), bands * rows).reshape(bands, rows)
-                hashes.append(mixed((mixed(own) * factor).sum(axis=1, dtype=U) + np.arange(bands, dtype=U)).view(np.int64))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "tkey": batch["tkey"], "key": keys, "bands": hashes})
+                own = mixed(signature(*shingles(tokens, width), registers))
+                hashes.append(mixed((own[layout] * factor).sum(axis=1, dtype=U) + np.arange(bands, dtype=U)).view(np.int64))
+                kept.append((own & U(0xFFFF)).astype(np.uint16).tobytes())
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "tkey": batch["tkey"], "key": keys, "bands": hashes, "registers": kept})
 
     rows_in = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("tkey"), "text")
-    return rows_in.mapInPandas(run, "doc_id long, tkey long, key binary, bands array<long>")
+    return rows_in.mapInPandas(run, "doc_id long, tkey long, key binary, bands array<long>, registers binary")
+
+
+def _finer(members: DataFrame, nodes: DataFrame, depth: int, registers: int) -> DataFrame:
+    """bucket, node, degree: every bucket dealt anew in ``SPLITS`` ways, each by ``TAKEN`` more registers."""
+    rng = np.random.default_rng(100 + depth)
+    chosen = [rng.choice(registers, min(TAKEN, registers), replace=False) for _ in range(SPLITS)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            own = np.frombuffer(b"".join(batch["registers"]), np.uint16).reshape(len(batch), registers).astype(U)
+            old = batch["bucket"].to_numpy(np.int64).view(U)
+            for k, columns in enumerate(chosen):
+                h = mixed(old + U(k + 1))
+                for c in columns:
+                    h = mixed(h ^ own[:, c])
+                yield pd.DataFrame({"bucket": h.view(np.int64), "node": batch["node"], "degree": batch["degree"]})
+
+    return members.join(nodes.select("node", "registers"), "node").select("bucket", "node", "degree", "registers").mapInPandas(
+        run, "bucket long, node long, degree long")
 
 
 def _accepted(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
@@ -184,13 +218,46 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return members.withColumn("label", F.col("node"))
+    return members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _with_pivot(members: DataFrame) -> DataFrame:
+    """(a, b): members of a bucket and its pivot, where their classes differ."""
+    first = F.max(F.struct("degree", (-F.col("node")).alias("k"), "label"))
+    pivots = members.groupBy("bucket").agg(first.alias("p"))
+    return (members.join(pivots, "bucket").where(F.col("label") != F.col("p.label"))
+            .select(F.col("node").alias("a"), (-F.col("p.k")).alias("b")))
+
+
+def _all_pairs(members: DataFrame) -> DataFrame:
+    """(a, b): all pairs of different classes within small buckets."""
+    other = members.select("bucket", F.col("node").alias("b"), F.col("label").alias("to"))
+    return members.join(other, "bucket").where((F.col("node") > F.col("b")) & (F.col("label") != F.col("to"))).select(F.col("node").alias("a"), "b")
+
+
+def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels after classes were linked."""
+    if labels is None:
+        return components(links)
+    if links.isEmpty():
+        return labels
+    of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
+    between = (links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+               .select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")).where("a != b"))
+    moved = components(between).select(F.col("node").alias("label"), F.col("label").alias("root"))
+    every = labels.unionByName(moved.select(F.col("label").alias("node"), "label")).distinct()
+    return written(every.join(moved, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS,
                     into: str = "class_id") -> DataFrame:
     """Adds class_id (or ``into``): the least doc_id of the document's class of near-duplicates."""
-    spark = docs.sparkSession
     described = written(_described(docs, width, bands, rows), "signatures")
-    nodes = (described.where("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "tkey", "bands")).alias("x"))
-             .select("key", F.col("x.doc_id").alias("node"), F.col("x.tkey").alias("tkey"), F.col("x.bands").alias("bands")))
+    nodes = (described.where("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "tkey", "bands", "registers")).alias("x"))
+             .select("key", F.col("x.doc_id").alias("node"), "x.tkey", "x.bands", "x.registers"))
     nodes = written(nodes, "contents")
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
@@ -200,31 +267,27 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
     need = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "tkey")
     texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("node"), F.xxhash64("text").alias("tkey"), "text")
     texts = written(texts.join(need, ["node", "tkey"], "left_semi").dropDuplicates(["node"]).select("node", "text"), "texts")
-    labels = spark.createDataFrame([], "node long, label long")
-    best, tried, upto = Window.partitionBy("bucket").orderBy(F.desc("degree"), "node"), 0, 1
+    labels, depth, open_ = None, 0, members
     while True:
-        now = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")) if tried else members.withColumn("label", F.col("node"))
-        if tried:
-            mixed_up = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"))
-            now = now.join(mixed_up.where((F.col("lo") < F.col("hi")) & (F.col("n") > tried + 1)).select("bucket"), "bucket")
-        rank = now.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= upto)
-        pivots = rank.where(F.col("rank") > tried).select("bucket", F.col("node").alias("pivot"), F.col("label").alias("to"))
-        pairs = now.join(pivots, "bucket").where("label != to").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-        pairs = written(pairs, "pairs")
-        if pairs.isEmpty():
-            break
-        links = written(_accepted(pairs, texts, width, threshold), "links")
-        if not links.isEmpty():
-            if tried:  # between classes
-                of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
-                links = (links.join(of("a"), "a", "left").join(of("b"), "b", "left")
-                         .select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")).where("a != b"))
-                moved = components(links).select(F.col("node").alias("label"), F.col("label").alias("root"))
-                every = labels.unionByName(moved.select(F.col("label").alias("node"), "label")).distinct()
-                labels = written(every.join(moved, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
+        now = _labelled(open_, labels)
+        if depth:  # buckets of one class are done
+            state = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"))
+            now = written(now.join(state.where("lo < hi").select("bucket", "n"), "bucket"), "open")
+            if now.isEmpty():
+                break
+            last = depth > DEPTH
+            pairs = _all_pairs(now if last else now.where(F.col("n") <= SMALL))
+            large = now.where(F.col("n") > SMALL)
+            if last or large.isEmpty():
+                open_ = members.limit(0)
             else:
-                labels = components(links)
-        tried, upto = upto, upto * 4
+                open_ = written(_finer(large, nodes, depth, _layout(bands, rows)[0]), "members")
+                pairs = pairs.union(_with_pivot(_labelled(open_, labels)))
+        else:
+            pairs = _with_pivot(now)
+        links = written(_accepted(written(pairs.distinct(), "pairs"), texts, width, threshold), "links")
+        labels = _joined(labels, links)
+        depth += 1
     classes = nodes.select("key", "node").join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("class_id"))
     by_text = described.select("doc_id", "tkey", "key").distinct().join(classes, "key", "left")
     by_text = by_text.select("doc_id", F.col("tkey").alias("__text"), F.coalesce("class_id", "doc_id").alias(into))

@@ -82,3 +82,17 @@ def test_nulls_repeated_rows_and_empty_tables(spark):
     assert got == sorted([(1, 1), (1, 1), (None, None), (2, 1), (3, 3), (3, 3)], key=str)
     assert sorted((r["doc_id"] for r in B.one_of_each(df).collect()), key=str) == sorted([1, 3, None], key=str)
     assert B.near_duplicates(df.limit(0)).collect() == []
+
+
+def test_large_buckets_are_dealt_finer(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    passage = " ".join(word() for _ in range(60))
+    docs = [(k, " ".join(word() for _ in range(20)) + " " + passage) for k in range(60)]  # alike, yet no duplicates
+    docs += [(100 + k, docs[k][1] + " " + word()) for k in range(10)]  # each a copy of one of them
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute_classes(docs)
+    for small, depth in ((24, 6), (3, 6), (3, 1)):
+        monkeypatch.setattr(B, "SMALL", small)
+        monkeypatch.setattr(B, "DEPTH", depth)
+        assert {r["doc_id"]: r["class_id"] for r in B.near_duplicates(df).collect()} == want
