@@ -43,7 +43,7 @@ LOOSE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]{1,64}+\x20?(?:@|[(\[]at[)\]]|AT)\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[(\[]dot[)\]]|DOT)\x20?[A-Za-z0-9-]++)++",
     "phone": r"(?:\+|(?<![0-9]))\(?[0-9](?:[\x20().-]{0,2}[0-9])++",
 }
-SAMPLE, DEPTH, ROUNDS, PRECISION = 4000, 3, 12, 0.99
+SAMPLE, DEPTH, ROUNDS, STEP, PRECISION = 4000, 4, 20, 0.4, 0.998
 CONTEXT = 24
 SPAN = "struct<start:int,kind:int,end:int>"
 
@@ -237,7 +237,7 @@ def _tree(lines: list[str]):
 
 def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE, precision: float = PRECISION) -> Trees:
     """Three quarters of the examples grow the trees; on the rest the threshold is the least margin from which on the
-    share of positives is at least ``precision``."""
+    share of positives is at least ``precision``, and not below even odds."""
     rows = corpus_examples(docs, text, sample).unionByName(written_examples(docs.sparkSession))
     held = F.pmod(F.xxhash64("draw", F.lit(7)), F.lit(4)) == 0
     rows = written(rows.select("label", "f", held.alias("held")), "examples")
@@ -246,7 +246,7 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE, precision: fl
     if len({r["label"] for r in grow}) < 2 or not test:
         return Trees([], math.inf)
     train = rows.where("not held").select(F.col("label").cast("double").alias("label"), array_to_vector("f").alias("features")).coalesce(1)
-    model = GBTClassifier(maxDepth=DEPTH, maxIter=ROUNDS, seed=1, maxBins=32).fit(train)
+    model = GBTClassifier(maxDepth=DEPTH, maxIter=ROUNDS, stepSize=STEP, seed=1, maxBins=64).fit(train)
     trees = []
     for weight, tree in zip(model.treeWeights, model.trees):
         trees.append((float(weight), _tree([x for x in tree.toDebugString.splitlines()[1:] if x.strip()])))
@@ -265,7 +265,7 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE, precision: fl
     for n, (m, y) in enumerate(scored, 1):
         good += y
         if good >= precision * n and (n == len(scored) or scored[n][0] < m):
-            fitted.least = m
+            fitted.least = max(m, 0.0)  # and the likelier class
     return fitted
 
 
