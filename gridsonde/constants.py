@@ -104,7 +104,6 @@ MOORING_ALIASES = {
 CHANNELS = (
     "sst", "sss", "sla", "ugos", "vgos", "u10", "v10", "w_e", "f_tilde", "water_column", "doy_sin", "doy_cos",
 )
-INDEX_UNITS = {"tchp": "kJ cm-2", "mld": "m", "z20": "m", "blt": "m", "cip": "0-1"}
 ANOMALY_NAMES = {"thetao": "delta_theta", "so": "delta_sp", "sst": "delta_sst", "sss": "delta_sss"}
 
 # One-atmosphere sea-water density polynomial, coefficients of ascending powers of temperature.
@@ -113,12 +112,5 @@ DENSITY_S = (0.824493, -4.0899e-3, 7.6438e-5, -8.2467e-7, 5.3875e-9)
 DENSITY_S15 = (-5.72466e-3, 1.0227e-4, -1.6546e-6)
 DENSITY_S2 = 4.8314e-4
 
-# Heat classes: label and rule text by threshold (kJ/cm2).
+# Heat classes by threshold (kJ/cm2).
 HEAT_EXTREME, HEAT_MODERATE = 80.0, 50.0
-HEAT_TEXT = {
-    "UNKNOWN": "TCHP was not reported; intensification fuel cannot be classified.",
-    "EXTREME": "TCHP exceeds 80 kJ/cm² — extreme cyclone intensification fuel.",
-    "MODERATE": "TCHP is between 50 and 80 kJ/cm² — moderate intensification potential.",
-    "DEPLETED": "TCHP is below 50 kJ/cm² — depleted heat / cold-wake regime.",
-}
-HEAT_BADGE = {"UNKNOWN": "NO SOUNDING", "EXTREME": "CRITICAL FUEL", "MODERATE": "MODERATE FUEL", "DEPLETED": "COLD WAKE"}

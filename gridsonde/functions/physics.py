@@ -86,22 +86,6 @@ def classify_heat(tchp: Column) -> Column:
             .when(tchp >= K.HEAT_MODERATE, "MODERATE").otherwise("DEPLETED"))
 
 
-def _heat_lookup(tchp: Column, table: dict[str, str]) -> Column:
-    label = classify_heat(tchp)
-    out = None
-    for name, value in table.items():
-        out = F.when(label == name, F.lit(value)) if out is None else out.when(label == name, F.lit(value))
-    return out
-
-
-def heat_rule_text(tchp: Column) -> Column:
-    return _heat_lookup(tchp, K.HEAT_TEXT)
-
-
-def heat_badge(tchp: Column) -> Column:
-    return _heat_lookup(tchp, K.HEAT_BADGE)
-
-
 def classify_mld(mld: Column) -> Column:
     return (F.when(mld < 30, F.lit("SHALLOW MLD")).when(mld > 60, F.lit("DEEP MLD"))
             .when(mld.isNotNull(), F.concat(F.lit("MLD "), F.round(mld).cast("int").cast("string"), F.lit(" m"))))

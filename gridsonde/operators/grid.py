@@ -103,16 +103,17 @@ def keep_split(df: DataFrame, day: str, name: str, splits: dict[str, tuple[str,
                fall_back: bool = False) -> DataFrame:
     """Rows of one chronological split; ``val`` and ``validation`` mean the same.
 
-    ``fall_back`` keeps everything when the split holds no row; that needs a one-row probe.
+    ``fall_back`` keeps everything when the split holds no row; the test is part of the plan.
     """
     ranges = dict(splits or K.SPLITS)
     if name not in ranges:
         name = {"val": "validation", "validation": "val"}.get(name, name)
     start, end = ranges[name]
-    kept = df.filter(F.col(day).between(F.lit(start).cast("date"), F.lit(end).cast("date")))
-    if fall_back and kept.isEmpty():
-        return df
-    return kept
+    within = F.col(day).between(F.lit(start).cast("date"), F.lit(end).cast("date"))
+    kept = df.filter(within)
+    if not fall_back:
+        return kept
+    return df.filter(within | (kept.select(day).limit(1).agg(F.count(F.lit(1))).scalar() == 0))
 
 
 def bbox_filter(df: DataFrame, box: dict[str, float], lat: str = "lat", lon: str = "lon") -> DataFrame:

@@ -572,3 +572,14 @@ def uncertainty_band(df: DataFrame, value: str, sigma: str, widths: Sequence[int
 
 def column_mean_sigma(df: DataFrame, keys: Sequence[str], sigma: str, out: str = "mean_sigma") -> DataFrame:
     return df.groupBy(*keys).agg(F.avg(sigma).alias(out))
+
+
+def level_nearest_to(df: DataFrame, keys: Sequence[str], depth: str, value: str, target: float) -> DataFrame:
+    """Depth of the level whose value is nearest to ``target``, the shallower one on a tie."""
+    off = F.when(F.col(value).isNotNull(), F.struct(F.abs(F.col(value) - target), F.col(depth)))
+    return df.groupBy(*keys).agg(F.min_by(depth, off).alias(depth))
+
+
+def level_axis(df: DataFrame, keys: Sequence[str], depth: str, out: str = "axis") -> DataFrame:
+    """Ascending array of the distinct depths of every column."""
+    return df.groupBy(*keys).agg(F.sort_array(F.collect_set(depth)).alias(out))

@@ -58,17 +58,20 @@ def job_masks(raw_elevation: DataFrame, target: GridSpec, value: str = "elevatio
 
 def job_features(winds: DataFrame, masks: DataFrame, spec: GridSpec, sst: DataFrame | None = None,
                  west: Column | None = None, east: Column | None = None) -> DataFrame:
-    """Wind physics per day and cell with the calendar encoding and, given sst, the lagged box index."""
+    """Wind physics per day and cell with the calendar encoding and, given sst, the lagged box index.
+
+    The calendar is an expression of the day. The index has one row per day: it joins the cells from the left, so a
+    day's cells may be split or the index broadcast, and its days without cells follow as rows of their own.
+    """
     out = S.physics_features(winds, masks, ["day"], spec)
-    days = out.select("day").distinct()
-    doy = climatology_doy(F.col("day"))
-    calendar = days.select("day", doy.alias("doy"), season_sin(doy).alias("doy_sin"), season_cos(doy).alias("doy_cos"))
     if sst is not None:
         index = C.box_index(sst, "sst", west if west is not None else C.in_box(K.DIPOLE_WEST),
                             east if east is not None else C.in_box(K.DIPOLE_EAST))
-        calendar = C.merge_features(calendar, index.select("day", "dmi", *[
-            F.col(f"lag_{n}").alias(f"dmi_lag_{n}d") for n in K.INDEX_LAGS]))
-    return C.merge_features(out, calendar)
+        index = index.select("day", "dmi", *[F.col(f"lag_{n}").alias(f"dmi_lag_{n}d") for n in K.INDEX_LAGS])
+        alone = index.join(winds.select("day").distinct(), "day", "left_anti")
+        out = out.join(index, "day", "left").unionByName(alone, allowMissingColumns=True)
+    doy = climatology_doy(F.col("day"))
+    return out.withColumns({"doy": doy, "doy_sin": season_sin(doy), "doy_cos": season_cos(doy)})
 
 
 def job_climatology(df: DataFrame, keys: Sequence[str], values: Sequence[str], cell: Sequence[str],

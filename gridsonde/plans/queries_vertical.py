@@ -133,8 +133,7 @@ def thermocline_core(t: Tables):
 @query("arg_extreme", """SELECT cid, ARG_MIN(depth, ABS(theta - 28e0) * 1e6 + depth * 1e-3) AS depth FROM f_column GROUP BY cid""", ("f_column",))
 def arg_extreme(t: Tables):
     """Level whose temperature is nearest to 28 degrees, the shallower one on a tie."""
-    return t.f_column.groupBy("cid").agg(
-        F.min_by("depth", F.struct(F.abs(F.col("theta") - 28.0), F.col("depth"))).alias("depth"))
+    return V.level_nearest_to(t.f_column, _CID, "depth", "theta", 28.0)
 
 
 @query("simple_density", f"""SELECT cid, depth, ROUND(sp * (35.16504e0 / 35e0), 6) AS sa, ROUND({RHO_SQL}, 6) AS rho FROM f_column""", ("f_column",))
@@ -296,6 +295,5 @@ def uncertainty_band(t: Tables):
 @query("sort_axes", """SELECT cid, STRING_AGG(CAST(CAST(depth AS INT) AS VARCHAR), ',' ORDER BY depth) AS axis, COUNT(*) AS n FROM f_column GROUP BY cid""", ("f_column",))
 def sort_axes(t: Tables):
     """Ascending level list of every column."""
-    return t.f_column.groupBy("cid").agg(
-        F.concat_ws(",", F.transform(F.sort_array(F.collect_list("depth")), lambda z: z.cast("int").cast("string"))).alias("axis"),
-        F.count(F.lit(1)).alias("n"))
+    shown = F.transform("axis", lambda z: z.cast("int").cast("string"))
+    return V.level_axis(t.f_column, _CID, "depth").select("cid", F.concat_ws(",", shown).alias("axis"), F.size("axis").cast("long").alias("n"))

@@ -199,3 +199,48 @@ def test_density_formulas(spark):
 def test_nearest_level_tie_is_shallower(spark):
     df = spark.createDataFrame([(2.5,), (2.6,), (850.0,), (5000.0,), (None,)], "z double")
     assert [r[0] for r in df.select(nearest_level(F.col("z"))).collect()] == [0.0, 5.0, 700.0, 1000.0, None]
+
+
+def test_fused_indices_equal_the_separate_operators_on_random_columns(spark):
+    rng = random.Random(4)
+    cols = {}
+    for c in range(120):
+        t = [26.5 - 0.008 * z + rng.uniform(-4, 4) for z in LEVELS]
+        cols[c] = [(z, v, 1022 + 0.004 * z + rng.uniform(-0.4, 0.4)) for z, v in zip(LEVELS, t)]
+    cols[900] = [(0, 27.0, 1024.0), (10, 25.999, 1024.1), (20, 28.0, 1024.2), (50, 27.0, 1024.3), (100, 20.0, 1024.4)]
+    df = columns(spark, cols)
+    fused = {r["c"]: r for r in V.column_indices(df, ["c"], "z", "ct", "rho", unique=True).collect()}
+    m = V.pchip(df, ["c"], "z", ["ct", "rho"], unique=True).withColumnRenamed("z", "zz")
+    one = V.heat_potential(m, ["c"], "zz", "ct", "rho")
+    for more in (V.mixed_layer_depth(m, ["c"], "zz", "rho"), V.isothermal_layer_depth(m, ["c"], "zz", "ct"),
+                 V.isotherm_depth(m, ["c"], "zz", "ct", {"d26": 26.0, "z20": 20.0})):
+        one = one.join(more, "c")
+    for r in one.collect():
+        for name in ("tchp", "mld", "ild", "d26", "z20"):
+            want, got = r[name], fused[r["c"]][name]
+            assert (want is None) == (got is None) and (want is None or got == pytest.approx(want, abs=1e-6)), (r["c"], name)
+    part = V.column_indices(df, ["c"], "z", "ct", "rho", unique=True, wanted=("tchp",))
+    assert part.columns == ["c", "tchp"] and all(r["tchp"] == fused[r["c"]]["tchp"] for r in part.collect())
+
+
+def test_absent_levels_count_as_missing_when_a_number_is_expected(spark):
+    full = [(float(z), 30.0 - 0.02 * z, 1024.0 + 0.001 * z) for z in LEVELS]
+    df = columns(spark, {1: full[1:], 2: full})
+    top = {r["c"]: r["z"] for r in V.pchip_levels(df, ["c"], "z", "ct", [0.0, 1000.0], clamp_deep=True, expected=len(LEVELS)).groupBy("c").agg(
+        F.count("ct").alias("z")).collect()}
+    assert top[2] == 2
+    free = V.column_indices(df, ["c"], "z", "ct", "rho", unique=True).orderBy("c").collect()
+    held = V.column_indices(df, ["c"], "z", "ct", "rho", unique=True, expected=len(LEVELS)).orderBy("c").collect()
+    assert free[1] == held[1] and free[0]["tchp"] > held[0]["tchp"]  # metres above the first known level are not made up
+
+
+def test_repeated_levels_keep_one_whole_row(spark):
+    df = spark.createDataFrame([(1, 0.0, 5.0, None), (1, 0.0, 7.0, 30.0), (1, 0.0, 6.0, 31.0), (1, 5.0, None, None)], "c int, z double, t double, s double")
+    got = {r["z"]: (r["t"], r["s"]) for r in V.dedupe_levels(df, ["c"], "z", ["t", "s"]).collect()}
+    assert got == {0.0: (6.0, 31.0), 5.0: (None, None)}
+
+
+def test_serving_heat_is_unknown_where_a_level_is_missing(spark):
+    df = spark.createDataFrame([(1, 0.0, None), (1, 10.0, None), (2, 0.0, 29.0), (2, 10.0, None), (3, 0.0, 29.0), (3, 10.0, 28.0)], "c int, z double, t double")
+    got = {r["c"]: r for r in V.serving_indices(df, ["c"], "z", "t").collect()}
+    assert got[1]["tchp"] is None and got[2]["tchp"] is None and got[3]["tchp"] > 0 and got[1]["z20"] == 120.0
