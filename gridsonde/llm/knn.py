@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from gridsonde.llm.shared import bounded_rows
 
-SAMPLE, RANK, NEIGHBOURS, SHARPNESS = 6000, 64, 15, 8.0
+SAMPLE, RANK, NEIGHBOURS, SHARPNESS = 4000, 64, 15, 8.0
 CLASSES = 48
 PAIRS = CLASSES * CLASSES
 SHAPES = 64
@@ -106,8 +106,7 @@ class Neighbours:
     k: int
 
     def project(self, counts: np.ndarray) -> np.ndarray:
-        x = weighted(counts, self.idf) @ self.axes
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        return unit_rows(weighted(counts, self.idf) @ self.axes)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if not len(self.labels):
@@ -143,15 +142,29 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "la
     drawn = bounded_rows(counted.select("draw", "x.label", "x.counts").orderBy("draw"), sample, "labelled sample")
     if not drawn:
         return Neighbours(np.zeros(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), k)
-    counts = np.stack([np.frombuffer(r["counts"], np.float16) for r in drawn]).astype(np.float32)
-    idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
-    x = weighted(counts, idf)
-    # Eigenvectors of the term matrix give the right singular vectors; its size is fixed by TERMS.
-    values, axes = np.linalg.eigh((x.T @ x).astype(np.float64))
-    axes = axes[:, np.argsort(-values)[:min(rank, len(drawn))]].astype(np.float32)
-    out = Neighbours(idf, axes, np.zeros((0, 1), np.float32), np.array([r["label"] for r in drawn], np.float64), k)
-    out.vectors = out.project(counts)
-    return out
+    labels = np.array([r["label"] for r in drawn], np.float64)
+    x = np.stack([np.frombuffer(r["counts"], np.float16) for r in drawn]).astype(np.float32)
+    del drawn
+    idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
+    np.log1p(x, out=x)  # in place: the sample is the largest thing on the driver
+    x *= idf
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], 1e-12)
+    axes = principal_axes(x, rank)
+    return Neighbours(idf, axes, unit_rows(x @ axes), labels, k)
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def principal_axes(x: np.ndarray, rank: int, rounds: int = 12) -> np.ndarray:
+    """The first right singular vectors, by subspace iteration from a fixed start."""
+    rank = min(rank, *x.shape)
+    q = np.random.default_rng(0).standard_normal((x.shape[1], min(rank + 16, *x.shape))).astype(np.float32)
+    for _ in range(rounds):
+        q, _ = np.linalg.qr(x.T @ (x @ q))
+    _, _, turn = np.linalg.svd(x @ q, full_matrices=False)
+    return np.ascontiguousarray((q @ turn.T)[:, :rank])
 
 
 def score(docs: DataFrame, model: Neighbours, text: str = "text") -> DataFrame:
