@@ -222,9 +222,8 @@ class LineIndex:
         digest = F.sha2(F.coalesce("__text", F.lit("")), 256)
         pairs = some.select(digest.alias("__digest"), F.explode("__maybe").alias("key")).distinct()
         found = pairs.join(self.common().select("key"), "key").groupBy("__digest").agg(F.collect_set("key").alias("__common"))
-        hit = some.withColumn("__digest", digest).join(found, "__digest").select(*asked.columns, "__common")
-        missed = some.withColumn("__digest", digest).join(found, "__digest", "left_anti").select(asked.columns)
-        rest = asked.where(F.size("__maybe") == 0).unionByName(missed)
+        hit = some.withColumn("__digest", digest).drop("__maybe").join(found, "__digest", "left").drop("__digest")
+        rest = asked.where(F.size("__maybe") == 0)
         rest = rest.withColumn("n_dropped", F.lit(0).cast("long")).withColumn(into, F.coalesce("__text", F.lit("")))
         order = [*(c for c in base.columns if c != "__text"), *new]
         return self._without(hit, into).select(order).unionByName(rest.select(order))
@@ -257,7 +256,7 @@ class LineIndex:
             for batch in batches:
                 dropped, texts = [], []
                 for t, common in zip(batch.column("__text").to_pylist(), batch.column("__common").to_pylist()):
-                    gone, (lines, keys) = set(common), text_keys(t, least)
+                    gone, (lines, keys) = set(common or ()), text_keys(t, least)
                     kept = [x for x, k in zip(lines, keys) if k not in gone]
                     dropped.append(len(lines) - len(kept))
                     texts.append(b"\n".join(kept).decode())
