@@ -10,8 +10,8 @@ generated up to a time by which all registers are usually filled, then further i
 Registers are hashed in bands, each register in two of them. Within a bucket (documents that share a band) documents are
 not compared all with all. First each is compared with a pivot, the member that shares most buckets, and accepted if the
 overlap of the multisets, counted exactly, reaches ``threshold``. Classes are the connected components of accepted pairs.
-A bucket that then still holds documents of different classes is finished pair by pair if it has at most ``SMALL`` members.
-A larger one (documents that share a passage but are no duplicates) is dealt into finer buckets by further registers, in
+A bucket that then still holds documents of different classes is finished pair by pair if at most ``SMALL`` of them are
+outside its main class. Another one (documents that share a passage but are no duplicates) is dealt into finer buckets by further registers, in
 ``SPLITS`` ways, and these are treated in the same way, down to ``DEPTH`` levels, where all pairs of different classes are
 compared. So groups of copies cost their size and not its square, and no bucket is capped.
 
@@ -232,10 +232,11 @@ def _with_pivot(members: DataFrame) -> DataFrame:
             .select(F.col("node").alias("a"), (-F.col("p.k")).alias("b")))
 
 
-def _all_pairs(members: DataFrame) -> DataFrame:
-    """(a, b): all pairs of different classes within small buckets."""
-    other = members.select("bucket", F.col("node").alias("b"), F.col("label").alias("to"))
-    return members.join(other, "bucket").where((F.col("node") > F.col("b")) & (F.col("label") != F.col("to"))).select(F.col("node").alias("a"), "b")
+def _between_classes(members: DataFrame) -> DataFrame:
+    """(a, b): all pairs of different classes within buckets, found from the members outside a bucket's main class."""
+    aside = members.where("label != main").select("bucket", F.col("node").alias("b"), F.col("label").alias("to"))
+    other = (F.col("label") != F.col("to")) & ((F.col("label") == F.col("main")) | (F.col("node") > F.col("b")))
+    return members.join(aside, "bucket").where(other).select(F.col("node").alias("a"), "b")
 
 
 def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -271,13 +272,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
     while True:
         now = _labelled(open_, labels)
         if depth:  # buckets of one class are done
-            state = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"))
-            now = written(now.join(state.where("lo < hi").select("bucket", "n"), "bucket"), "open")
+            sizes = now.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+            state = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"))
+            state = state.select("bucket", F.col("most.label").alias("main"), (F.col("n") - F.col("most.n")).alias("others"))
+            now = written(now.join(state.where("others > 0"), "bucket"), "open")
             if now.isEmpty():
                 break
             last = depth > DEPTH
-            pairs = _all_pairs(now if last else now.where(F.col("n") <= SMALL))
-            large = now.where(F.col("n") > SMALL)
+            pairs = _between_classes(now if last else now.where(F.col("others") <= SMALL))
+            large = now.where(F.col("others") > SMALL)
             if last or large.isEmpty():
                 open_ = members.limit(0)
             else:
