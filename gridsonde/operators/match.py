@@ -35,6 +35,26 @@ def nearest_cell(df: DataFrame, spec: GridSpec, lat: str = "lat", lon: str = "lo
     return out.withColumns({"iy": F.when(ok, F.col("iy")), "ix": F.when(ok, F.col("ix"))})
 
 
+def nearest_on_axis(df: DataFrame, axis: DataFrame, value: str, index: str, centre: str, width: float = 1.0, out: str | None = None) -> DataFrame:
+    """Attach the index of the nearest centre of an irregular axis, the lower centre on a tie; NULL for a NULL value.
+
+    Every centre owns the stretch between its neighbours' midpoints and is listed under the buckets of ``width`` that
+    it touches; values meet it by equi-join on their bucket, each exactly one. Values beyond the ends belong to the
+    end centres. The axis is a dimension table.
+    """
+    own = axis.select(F.col(index).alias("__i"), F.col(centre).cast("double").alias("__c")).distinct()
+    w = Window.orderBy("__c")
+    first, last = own.agg(F.min("__c")).scalar(), own.agg(F.max("__c")).scalar()
+    cells = own.select("__i", F.coalesce((F.lag("__c").over(w) + F.col("__c")) / 2, F.col("__c") - width).alias("__after"),
+                       F.coalesce((F.lead("__c").over(w) + F.col("__c")) / 2, F.col("__c")).alias("__until"))
+    bucket = lambda x: F.floor(x / width).cast("bigint")
+    cells = cells.withColumn("__b", F.explode(F.sequence(bucket(F.col("__after")), bucket(F.col("__until")))))
+    held = df.withColumn("__v", F.when(F.col(value).isNotNull(), F.least(F.greatest(F.col(value).cast("double"), first), last)))
+    held = held.withColumn("__vb", bucket(F.col("__v")))
+    inside = (F.col("__vb") == F.col("__b")) & (F.col("__v") > F.col("__after")) & (F.col("__v") <= F.col("__until"))
+    return held.join(cells, inside, "left").select(*df.columns, F.col("__i").alias(out or index))
+
+
 def time_cells(times: DataFrame, t: str, tolerance_hours: float, keys: Sequence[str] = ()) -> DataFrame:
     """The stretch of time each axis instant is the nearest one for, cut at the tolerance.
 

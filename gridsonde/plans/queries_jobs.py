@@ -12,7 +12,7 @@ from gridsonde.plans.queries_grid import SPLITS
 from gridsonde.plans.queries_match import CELLS, argo_sql
 from gridsonde.plans.queries_skill import skill_sql
 from gridsonde.plans.queries_spatial import _EKMAN, _REGRID, COARSE, WIND
-from gridsonde.plans.queries_vertical import _STEP, _SURFACE_SQL, SERVING_SQL
+from gridsonde.plans.queries_vertical import _INDEX_CTES, _STEP, _SURFACE_SQL, SERVING_SQL
 from gridsonde.plans.registry import Tables, query, r, rounded, text
 from gridsonde.plans.sql_parts import PCHIP, level_values
 from gridsonde.session import scratch_path
@@ -95,6 +95,14 @@ def job_indices(t: Tables):
     return rounded(rounded(out, "z20", "mld", "cip"), "tchp", shift=1e-9)
 
 
+@query("job_indices_metre", """SELECT idx.cid, ROUND(d26, 6) AS d26, ROUND(z20, 6) AS z20, ROUND(mld, 4) AS mld, ROUND(ild - 1.234e-9, 6) AS ild,
+    ROUND(CASE WHEN has = 1 THEN COALESCE(e, 0) END, 6) AS tchp FROM idx JOIN heat USING (cid)""", ("f_inverted",), _INDEX_CTES.replace("f_column", "f_inverted"))
+def job_indices_metre(t: Tables):
+    """The 1 m validation family of the index job."""
+    out = J.job_indices(t.f_inverted, ["cid"]).select("cid", "d26", "z20", "mld", "ild", "tchp")
+    return rounded(rounded(rounded(out, "d26", "z20", "tchp"), "mld", digits=4), "ild", shift=1.234e-9)
+
+
 _QC_LEVELS = """flagged AS (SELECT obs_id, platform * 100 + DAY(ts) AS profile_id, ts, lat + CASE WHEN platform % 13 = 0 THEN 30 ELSE 0 END AS lat, lon, CASE WHEN qc <= 2 THEN depth END AS depth, CASE WHEN qc <= 2 THEN temp END AS temp, CASE WHEN obs_id % 7 <> 0 THEN psal END AS psal FROM f_insitu WHERE (platform % 17) <> 3),
 lev AS (SELECT * FROM flagged WHERE profile_id IN (SELECT profile_id FROM flagged GROUP BY 1 HAVING COUNT(temp) >= 3))"""
 

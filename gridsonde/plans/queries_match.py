@@ -243,3 +243,10 @@ def score_windows(t: Tables):
     scored = T.score_windows(windows, window_mean, "series string, day date, score double")
     return scored.select("series", text("day").alias("day"), r("score").alias("score"))
 
+
+@query("nearest_cell_irregular", """SELECT c_custkey AS id, CASE WHEN c_custkey % 11 <> 0 THEN (SELECT n_nationkey FROM nation ORDER BY ABS(POW(n_nationkey, 1.5e0) - c_acctbal / 6e1), n_nationkey LIMIT 1) END AS cell FROM customer""")
+def nearest_cell_irregular(t: Tables):
+    """Positions against an axis whose spacing grows; some positions are missing, some lie beyond the ends."""
+    axis = t.nation.select(F.col("n_nationkey").alias("cell"), F.pow(F.col("n_nationkey"), F.lit(1.5)).alias("centre"))
+    points = t.customer.select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 11 != 0, F.col("c_acctbal") / 60.0).alias("x"))
+    return M.nearest_on_axis(points, axis, "x", "cell", "centre", width=8.0).select("id", "cell")
