@@ -14,19 +14,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridsonde.llm import bagminhash, knn, linededup, pieces, queries, tiling
-from gridsonde.llm.shared import table, written
+from gridsonde.llm.shared import reachable, table, written
 
 ORACLE_SQL = None  # nearest neighbours, signatures and pieces are beyond SQL; tests compare with brute force
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the neighbour vote does not reject; learned from the documents at hand and their labels."""
+    reachable(spark)
     model = queries.quality_model(docs, table(spark, sf_dir, "labels"))
     return knn.score(docs, model).where("predicted = 1").select(docs.columns)
 
 
 def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that ten or more of them hold."""
+    reachable(spark)
     index = linededup.LineIndex.empty(spark).insert(docs)
     kept = index.drop_lines(docs, into="__kept")
     new = {"text": F.when(F.col("n_dropped") > 0, F.col("__kept")).otherwise(F.col("text"))}
@@ -36,15 +38,18 @@ def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    reachable(spark)
     return bagminhash.one_of_each(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no benchmark item contaminates."""
+    reachable(spark)
     return tiling.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    reachable(spark)
     return pieces.encoded_documents(docs, queries.MODEL_PATH)
 
 
