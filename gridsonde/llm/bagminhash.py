@@ -56,7 +56,7 @@ def shingles(tokens: list[str], width: int = WIDTH) -> tuple[np.ndarray, np.ndar
     """Distinct shingles as 64-bit hashes, and how often each occurs."""
     if not tokens:
         return np.zeros(0, U), np.zeros(0, np.int64)
-    if len(_words) > 150_000:
+    if len(_words) > 60_000:
         _words.clear()
     for w in set(tokens).difference(_words):
         _words[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))

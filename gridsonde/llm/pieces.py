@@ -65,7 +65,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
 class Transducer:
     """The compiled machines of one model. Its caches are bounded."""
 
-    CACHE_PAIRS, CACHE_CHARS = 250_000, 4_000_000
+    CACHE_PAIRS, CACHE_CHARS = 150_000, 3_000_000
 
     def __init__(self, model: bytes) -> None:
         self.pieces: list[str] = []

@@ -14,16 +14,20 @@ from gridsonde.session import scratch_path
 WORD = re.compile(r"\w+")
 
 
+BATCH_ROWS = 1000
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def reachable(spark: SparkSession) -> None:
-    """Python workers find this package where the driver does, whatever the working folder (a cluster whose executors
-    lack the path gets the package as usual, by ``--py-files``)."""
+    """Settings for Python workers. They find this package where the driver does, whatever the working folder (a cluster whose executors
+    lack the path gets the package as usual, by ``--py-files``), and get at most ``BATCH_ROWS`` rows at once."""
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
+    # Rows hold whole texts: batches of Spark's default ten thousand are too large for a small worker.
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
