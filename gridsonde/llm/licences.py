@@ -1,21 +1,24 @@
 """Licence scans: a trained classifier of paragraphs, an unknown class, and templates that confirm.
 
-A paragraph is a line of the text. Sparse features (hashed words and word pairs) and multinomial logistic regression give
-each paragraph a family or none. It is trained on the written templates, on deterministic variants of them (single words
-left out, words put around), and on paragraphs of the corpus that resemble no template. A family counts if its probability
-reaches a threshold calibrated on held-out examples and a template confirms it: the paragraph holds at least ``CONFIRM`` of
-the words and word pairs of one of the family's templates. What the classifier takes for a licence without such support
-is ``unknown``.
-
-Every template holds one of its family's key words, and confirmation asks for one too; so texts and paragraphs without any key
-word are none without being scored, which is why a scan costs one pattern search for most documents. Everything is built of
-SQL functions and the DataFrame learner; there is no shuffle but that of the bounded sample.
+A paragraph is a line of the text; a block of several lines (up to a blank line) is also judged as one paragraph, its lines
+joined by blanks, if none of its lines is of a family by itself, so that wrapped notices are found. Sparse features (hashed
+words and word pairs) and multinomial logistic regression give each paragraph a family, ``unknown`` or none. It is trained
+on the written templates, on written notices of licences without a template (unknown), on deterministic variants of both
+(single words left out, words put around), and on lines and blocks of the corpus that resemble no template: those that
+declare a licence are unknown, the others none. A family counts if its probability reaches a threshold calibrated on
+held-out examples and a template confirms it: the paragraph holds at least ``CONFIRM`` of the words and word pairs of one of
+the family's templates. Else a family or unknown is ``unknown`` if it is likelier a licence than any held-out none
+example was, or if it holds as much of any template.
+
+Every paragraph is scored. A sum over its features of the largest weight that any class has above none bounds how far a
+class can be above none; where the bound is negative the paragraph is none, else all classes are summed. Everything is built
+of SQL functions and the DataFrame learner; there is no shuffle but that of the bounded sample.
 
 Bounds: at most ``SAMPLE`` paragraphs of the corpus are learned from (least hashes, some with and some without key words).
 
-Odd cases: null and empty text has one empty paragraph, class none. Repeated paragraphs each count. Rows are judged one by
-one. Over an empty table the classifier learns from templates and written examples alone. Extra columns pass through, columns
-named like results are replaced.
+Odd cases: null and empty text has one empty paragraph, class none, as has any paragraph without words. Repeated paragraphs
+each count. Rows are judged one by one. Over an empty table the classifier learns from templates and written examples alone.
+Extra columns pass through, columns named like results are replaced.
 """
 
 from __future__ import annotations
@@ -36,10 +39,10 @@ TEMPLATES = {
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0", "SPDX-License-Identifier: Apache-2.0"),
     "MIT": ("Released under the MIT License", "Licensed under the MIT license", "SPDX-License-Identifier: MIT",
             "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3", "SPDX-License-Identifier: GPL-3.0",
+    "GPL-3.0": ("licensed under GPLv3", "This work is licensed under the GNU General Public License, version 3", "SPDX-License-Identifier: GPL-3.0",
                 "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3"),
-    "GPL-2.0": ("licensed under the GNU General Public License, version 2", "SPDX-License-Identifier: GPL-2.0"),
-    "LGPL": ("licensed under the GNU Lesser General Public License", "SPDX-License-Identifier: LGPL"),
+    "GPL-2.0": ("licensed under GPLv2", "licensed under the GNU General Public License, version 2", "SPDX-License-Identifier: GPL-2.0"),
+    "LGPL": ("licensed under LGPLv3", "licensed under LGPLv2.1", "licensed under the GNU Lesser General Public License", "SPDX-License-Identifier: LGPL"),
     "BSD": ("Licensed under the BSD 3-Clause License", "SPDX-License-Identifier: BSD-3-Clause", "released under the BSD license"),
     "MPL-2.0": ("subject to the terms of the Mozilla Public License, v. 2.0", "SPDX-License-Identifier: MPL-2.0"),
     "CC-BY-NC": ("Licensed under CC BY-NC 4.0", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
@@ -47,14 +50,26 @@ TEMPLATES = {
     "CC-BY": ("Licensed under CC BY 4.0", "licensed under a Creative Commons Attribution 4.0 International License"),
     "CC0": ("Released under CC0 1.0", "CC0 1.0 Universal Public Domain Dedication"),
 }
+# Notices of licences that have no template.
+STRANGERS = ("Licensed under the ISC License", "Licensed under the EUPL, Version 1.2", "Distributed under the Boost Software License, Version 1.0", "SPDX-License-Identifier: ISC",
+             "This is free and unencumbered software released into the public domain", "Licensed under the Eclipse Public License 2.0", "SPDX-License-Identifier: Zlib",
+             "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Released under the Unlicense",
+             "Licensed under AGPLv3", "This program is released under the Artistic License 2.0", "Distributed under the zlib license", "SPDX-License-Identifier: EUPL-1.2",
+             "This font is licensed under the SIL Open Font License, Version 1.1", "Use is subject to the terms of the Common Development and Distribution License",
+             "Licensed under the Academic Free License version 3.0", "SPDX-License-Identifier: BSL-1.0", "Released under the WTFPL", "AGPLv3",
+             "Licensed under the Open Database License", "This software is provided under the terms of the PostgreSQL License")
+# Words by which the training sample is drawn and weakly labelled; nothing that is scored depends on them.
+DECLARES = (r"(?:\blicen[sc]ed (?:\w+ )?under\b|\b(?:released|distributed|available|provided|published) under (?:\w+ ){0,6}licen[sc]e|license-identifier"
+            r"|subject to the terms of .*licen[sc]e|\bpermission (?:is hereby granted|to use, copy)|\ba?l?gplv?[0-9])")
 KEYS = r"(?:apache|\bmit licen[sc]e|license-identifier|permission is hereby granted|\bgnu\b|\bgpl\b|\blgpl\b|\bbsd\b|mozilla public|\bmpl\b|\bcc by\b|\bcc0\b|creative commons)"
 # Written paragraphs with key words that declare nothing.
 OTHERS = ("The apache helicopter landed near the village", "gnu and zebra grazed on the plain", "The committee of the creative commons met on Tuesday",
           "We compared the bsd kernel with others in a benchmark", "apache server logs were rotated every night", "The gpl debate went on for years in the press",
           "creative commons summit speakers announced", "mozilla public relations office opened", "she wrote about gnu tools and their history",
+          "All rights reserved.", "Copyright 2020 the authors.", "See the file for details.", "Notice:", "Copyright 2020 the authors. All rights reserved.",
           "their license fee rose to 20 dollars", "a driver must carry a licence at all times", "the license plate was found by police")
-NONE = "none"
-CLASSES = (*TEMPLATES, NONE)
+NONE, UNKNOWN = "none", "unknown"
+CLASSES = (*TEMPLATES, UNKNOWN, NONE)
 BUCKETS, SAMPLE, CONFIRM, PRECISION = 2048, 2000, 0.7, 0.99
 
 
@@ -70,13 +85,22 @@ def grams(text: Column) -> Column:
 
 
 def buckets(text: Column) -> Column:
-    return let(grams(text), lambda g: F.array_distinct(F.transform(g, lambda x: F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int"))))
+    """Distinct hashes of words and word pairs."""
+    of = lambda x: F.pmod(x, F.lit(BUCKETS)).cast("int")
+    both = lambda h: F.when(F.size(h) == 0, F.array().cast("array<int>")).otherwise(F.array_distinct(F.concat(
+        F.transform(h, of), F.zip_with(F.slice(h, F.lit(1), F.size(h) - 1), F.slice(h, F.lit(2), F.size(h) - 1), lambda x, y: of(F.xxhash64(x, y))))))
+    return let(F.transform(words_of(text), lambda w: F.xxhash64(w)), both)
 
 
-def paragraphs(text: Column) -> Column:
-    """Lines with a key word, if the text has any."""
-    has = lambda x: F.regexp_like(F.lower(x), F.lit(KEYS))
-    return F.when(has(text), F.filter(F.split(text, "\n", -1), has)).otherwise(F.array().cast("array<string>"))
+def blocks(lines: Column) -> Column:
+    """array<array<int>>: the positions of the lines of each block; lines without a letter or digit part blocks."""
+    kind = "struct<done:array<array<int>>,open:array<int>>"
+    start = F.struct(F.array().cast("array<array<int>>").alias("done"), F.array().cast("array<int>").alias("open"))
+    closed = lambda a: F.when(F.size(a["open"]) > 0, F.array_append(a["done"], a["open"])).otherwise(a["done"])
+    step = lambda a, x: F.when(x["blank"], F.struct(closed(a).alias("done"), F.array().cast("array<int>").alias("open"))).otherwise(
+        F.struct(a["done"].alias("done"), F.array_append(a["open"], x["k"]).alias("open"))).cast(kind)
+    marked = F.transform(lines, lambda x, k: F.struct(k.alias("k"), (~F.regexp_like(x, F.lit(r"[\p{L}\p{N}]"))).alias("blank")))
+    return F.aggregate(marked, start.cast(kind), step, closed)
 
 
 def _template_table() -> Column:
@@ -95,43 +119,62 @@ def support(line: Column, templates: Column) -> Column:
 
 
 def examples(docs: DataFrame, text: str, sample: int) -> DataFrame:
-    """label, line, draw: templates with variants, written others, and paragraphs of the corpus that resemble no template."""
+    """label, line, draw: templates and strangers with variants, written others, and paragraphs of the corpus that resemble no template."""
     spark = docs.sparkSession
-    seeds = spark.range(1).select(F.explode_outer(_template_table()).alias("t")).select("t.family", "t.text")
+    strangers = F.array(*(F.struct(F.lit(UNKNOWN).alias("family"), F.lit(t).alias("text")) for t in STRANGERS))
+    seeds = spark.range(1).select(F.explode_outer(F.concat(_template_table(), strangers)).alias("t")).select("t.family", "t.text")
     w = seeds.select("family", F.split("text", " ").alias("w"))
     around = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in (("", ""), ("Copyright 2020 the authors.", ""), ("", "See the file for details."), ("Notice:", "All rights reserved."))))
     varied = w.select("family", "w", F.explode_outer(F.sequence(F.lit(-1), F.size("w") - 1)).alias("k")).select("family", "w", "k", F.explode_outer(around).alias("x"))
     line = F.concat_ws(" ", F.col("x.a"), F.array_join(F.filter("w", lambda _, i: i != F.col("k")), " "), F.col("x.b"))
     good = varied.select(F.col("family").alias("label"), line.alias("line"))
     other = spark.range(1).select(F.lit(NONE).alias("label"), F.explode_outer(F.array(*map(F.lit, OTHERS))).alias("line"))
-    lines = docs.select(F.explode_outer(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("line")).where("line != ''").distinct()
-    keyed = F.regexp_like(F.lower("line"), F.lit(KEYS))
-    least = Window.partitionBy("keyed").orderBy("draw", "line")
-    drawn = lines.withColumns({"keyed": keyed, "draw": F.xxhash64("line")}).withColumn("n", F.row_number().over(least)).where(F.col("n") <= sample // 2)
+    split = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
+    joined = let(split, lambda p: F.concat(p, F.transform(F.filter(blocks(p), lambda b: F.size(b) > 1), lambda b: F.array_join(F.transform(b, lambda k: F.get(p, k)), " "))))
+    keyed = F.regexp_like(F.lower("line"), F.lit(KEYS)) | F.regexp_like(F.lower("line"), F.lit(DECLARES))
+    lines = docs.select(F.explode_outer(joined).alias("line")).where("line != ''").withColumns({"keyed": keyed, "draw": F.xxhash64("line")})
+    # hashes alone are shuffled to draw the sample; its few texts are then looked up
+    least = Window.partitionBy("keyed").orderBy("draw")
+    chosen = written(lines.select("keyed", "draw").distinct().withColumn("n", F.row_number().over(least)).where(F.col("n") <= sample // 2).select("draw"), "licence-draws")
+    drawn = lines.join(F.broadcast(chosen), "draw", "left_semi").select("line").distinct()
     near = F.array_max(F.transform(support(F.col("line"), template_grams()), lambda s: s["share"]))
-    own = drawn.where(near < 0.5).select(F.lit(NONE).alias("label"), "line")
+    own = drawn.where(near < 0.5).select(F.when(F.regexp_like(F.lower("line"), F.lit(DECLARES)), UNKNOWN).otherwise(NONE).alias("label"), "line")
     return good.unionByName(other).unionByName(own).distinct().withColumn("draw", F.xxhash64("line", F.lit(3)))
 
 
 @dataclass
 class Classifier:
-    """Weights by class and bucket, intercepts, and the least probability of a family."""
+    """Weights by class and bucket, intercepts, the least probability of a family, and the least one of not being none."""
 
     weights: list[list[float]]
     intercepts: list[float]
     least: float
+    strange: float = 0.5
+
+    def far(self, known: Column) -> Column:
+        """Whether no class can be above none: an upper bound of all margins over that of none is negative."""
+        none = CLASSES.index(NONE)
+        gain = [max(w[x] for w in self.weights) - self.weights[none][x] for x in range(BUCKETS)]
+        lead = max(self.intercepts[c] - self.intercepts[none] for c in range(len(CLASSES)) if c != none)
+        table = F.from_json(F.lit(json.dumps(gain)), "array<double>")
+        return F.aggregate(known, F.lit(lead + 1e-6), lambda a, x: a + F.get(table, x)) < 0
 
     def best(self, line: Column) -> Column:
-        """struct<p, family>: the most probable class; of equals the last in alphabetical order."""
+        """struct<p, family, any>: the most probable class; of equals the last in alphabetical order; ``any``: the probability
+        that it is not none. Null if it is none by ``far``."""
+        return let(buckets(line), lambda g: F.when(~self.far(g), self.most_probable(g)))
+
+    def most_probable(self, known: Column) -> Column:
         w, b = F.from_json(F.lit(json.dumps(self.weights)), "array<array<double>>"), F.from_json(F.lit(json.dumps(self.intercepts)), "array<double>")
         names = F.array(*map(F.lit, CLASSES))
         margins = lambda g: F.transform(w, lambda own, c: F.get(b, c) + F.aggregate(g, F.lit(0.0), lambda a, x: a + F.get(own, x)))
 
-        def chosen(m: Column) -> Column:
-            total = F.aggregate(m, F.lit(0.0), lambda a, x: a + F.exp(x - F.array_max(m)))
-            return F.array_max(F.transform(m, lambda x, c: F.struct((F.exp(x - F.array_max(m)) / total).alias("p"), F.get(names, c).alias("family"))))
+        def chosen(e: Column) -> Column:
+            return let(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda total: F.array_max(F.transform(e, lambda x, c: F.struct(
+                (x / total).alias("p"), F.get(names, c).alias("family"), (1 - F.get(e, F.lit(CLASSES.index(NONE))) / total).alias("any")))))
 
-        return let(let(buckets(line), margins), chosen)
+        powers = lambda m: let(F.array_max(m), lambda top: F.transform(m, lambda x: F.exp(x - top)))
+        return let(let(margins(known), powers), chosen)
 
 
 def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Classifier:
@@ -144,8 +187,10 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Classifier
     matrix, shift = model.coefficientMatrix.toArray().tolist(), model.interceptVector.toArray().tolist()
     gone = len(CLASSES) - len(matrix)
     fitted = Classifier([[round(x, 9) for x in r] for r in matrix] + [[0.0] * BUCKETS] * gone, [*shift, *[-1e9] * gone], 1.0)
-    tested = rows.where("held").select("label", fitted.best(F.col("line")).alias("x")).select("label", "x.p", "x.family")
-    scored = sorted(((r["p"], r["label"] == r["family"]) for r in bounded_rows(tested, 100_000, "held-out paragraphs") if r["family"] != NONE), reverse=True)
+    tested = rows.where("held").select("label", fitted.best(F.col("line")).alias("x")).select("label", "x.*")
+    judged = bounded_rows(tested, 100_000, "calibration paragraphs")
+    fitted.strange = max([0.5, *(r["any"] + 1e-6 for r in judged if r["label"] == NONE and r["any"] is not None)])
+    scored = sorted(((r["p"], r["label"] == r["family"]) for r in judged if r["family"] not in (None, NONE, UNKNOWN)), reverse=True)
     right = 0
     for n, (p, ok) in enumerate(scored, 1):
         right += ok
@@ -163,11 +208,21 @@ def scanned(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame
     def judged(line: Column) -> Column:
         def of(best: Column) -> Column:
             confirmed = F.exists(support(line, templates), lambda s: (s["family"] == best["family"]) & (s["share"] >= CONFIRM))
-            return F.when(best["family"] == NONE, NONE).when((best["p"] >= model.least) & confirmed, best["family"]).otherwise("unknown")
+            return (F.when(best.isNull() | (best["family"] == NONE), NONE)
+                    .when((best["family"] != UNKNOWN) & (best["p"] >= model.least) & confirmed, best["family"])
+                    .when((best["any"] >= model.strange) | F.exists(support(line, templates), lambda s: s["share"] >= CONFIRM), UNKNOWN).otherwise(NONE))
+
+        return F.when(F.regexp_like(line, F.lit(r"[\p{L}\p{N}]")), let(model.best(line), of)).otherwise(NONE)
 
-        return let(model.best(line), of)
+    def wrapped(lines: Column, own: Column, block: Column) -> Column:
+        """What a block says: the classes of its lines, or the family of the whole where no line is of a family."""
+        alone = F.transform(block, lambda k: F.get(own, k))
+        whole = lambda: let(judged(F.array_join(F.transform(block, lambda k: F.get(lines, k)), " ")), lambda x: F.when(
+            x == NONE, alone).when((x == UNKNOWN) & F.exists(alone, lambda y: y == UNKNOWN), alone).otherwise(F.array(x)))
+        return F.when((F.size(block) < 2) | F.exists(alone, lambda x: ~x.isin(NONE, UNKNOWN)), alone).otherwise(whole())
 
-    found = F.transform(paragraphs(F.coalesce(F.col(text), F.lit(""))), judged)
+    every = lambda p: let(F.transform(p, judged), lambda own: F.flatten(F.transform(blocks(p), lambda b: wrapped(p, own, b))))
+    found = let(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), every)
     real = lambda f: F.filter(f, lambda x: ~x.isin(NONE, "unknown"))
     most = lambda f: F.array_max(F.transform(F.array_distinct(f), lambda x: F.struct(F.size(F.filter(f, lambda y: y == x)).alias("n"), x.alias("family"))))["family"]
     result = let(found, lambda f: let(F.struct(real(f).alias("real"), F.size(F.filter(f, lambda x: x == "unknown")).alias("unknown")), lambda s: F.struct(

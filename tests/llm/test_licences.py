@@ -43,3 +43,16 @@ def test_variants_unknown_and_odd_rows(spark):
     assert got[1]["licence"] == "MIT" and got[2]["licence"] == "none" and got[5]["licence"] == "CC-BY-SA" and got[5]["families"] == ["BSD", "CC-BY-SA"]
     assert all(got[k]["licence"] == "none" and got[k]["families"] == [] for k in (3, 4, None))
     assert licences.scanned(docs.limit(0), licences.fit(docs.limit(0))).collect() == []
+
+
+def test_paragraphs_without_key_words_wrapped_lines_and_strangers(spark):
+    texts = {1: ("Licensed under CC-BY-SA 4.0", "CC-BY-SA"), 2: ("Licensed under CC  BY 4.0", "CC-BY"), 3: ("Released under the MIT-License", "MIT"),
+             4: ("intro words\n\nPermission is hereby granted, free of charge,\nto any person obtaining\na copy of this software\n\nmore words", "MIT"),
+             5: ("Licensed under the GPLv3", "unknown"), 6: ("Licensed under LGPLv2.1", "LGPL"), 7: ("Licensed under the ISC License.", "unknown"),
+             8: ("Licensed under the EUPL, Version 1.2 or later", "unknown"), 9: ("Distributed under the Boost Software License, Version 1.0.", "unknown"),
+             10: ("The river rose in the night.\nThe bridge was closed for a week.\n\nNothing else happened.", "none"), 11: ("?!\n\n...", "none")}
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    own = spark.createDataFrame([(k, t) for k, (t, _) in texts.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licences.scanned(own, licences.fit(docs)).collect()}
+    assert {k: got[k]["licence"] for k in texts} == {k: want for k, (_, want) in texts.items()}
+    assert got[4]["n_licence"] == 1 and got[4]["n_unknown"] == 0
