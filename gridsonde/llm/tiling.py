@@ -162,7 +162,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MAT
                  max_words: int = MAX_WORDS) -> DataFrame:
     """doc_id, item_id, coverage, n_tiles, longest of every document and item where coverage reaches ``threshold``."""
     docs, items = docs.select("doc_id", "text"), benchmark.select("item_id", "text")
-    size = items.agg(F.coalesce(F.sum(F.size(F.split("text", r"[^\w]+")).cast("long")), F.lit(0))).first()[0]
+    # each word begins at a code point of its own, so code points bound the words of any script
+    size = items.agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()[0]
     if size > max_words:
         return _joined(docs, items, min_match, threshold)
     shared = docs.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in items.collect()])

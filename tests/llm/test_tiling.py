@@ -84,3 +84,12 @@ def test_both_ways_equal_brute_force(spark):
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 3, 4, 5, 9]
     for few in (tiling.contaminated(d.limit(0), b), tiling.contaminated(d, b.limit(0)), tiling.contaminated(d, b.limit(0), max_words=-1)):
         assert few.collect() == []
+
+
+def test_size_bound_counts_words_of_any_script(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(tiling, "_joined", lambda docs, *_: seen.append(1) or docs.limit(0))
+    items = spark.createDataFrame([(1, "слово " * 300), (2, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    tiling.contaminated(docs, items, max_words=200)
+    assert seen == [1]
