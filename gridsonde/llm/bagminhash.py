@@ -11,9 +11,10 @@ Registers are hashed in bands, each register in two of them. Within a bucket (do
 not compared all with all. First each is compared with a pivot, the member that shares most buckets, and accepted if the
 overlap of the multisets, counted exactly, reaches ``threshold``. Classes are the connected components of accepted pairs.
 A bucket that then still holds documents of different classes is finished pair by pair if at most ``SMALL`` of them are
-outside its main class. Another one (documents that share a passage but are no duplicates) is dealt into finer buckets by further registers, in
-``SPLITS`` ways, and these are treated in the same way, down to ``DEPTH`` levels, where all pairs of different classes are
-compared. So groups of copies cost their size and not its square, and no bucket is capped.
+outside its main class. The members of larger ones (documents that share a passage but are no duplicates) are dealt into
+buckets by the rarest units of their multisets, so many that any pair at the threshold meets in one of them; after another
+comparison with pivots all pairs of different classes are compared there. So no bucket is capped and no pair of a bucket is
+lost, and groups of copies cost their size and not its square.
 
 Odd cases: copies with the same words are one node, whatever their number. Texts with fewer than five words are one
 shingle of all their words. Texts without words (null, empty, signs only) match nothing and are their own class. Rows
@@ -36,7 +37,7 @@ from gridsonde.llm.shared import words, written
 from gridsonde.llm.tiling import window_hashes
 
 WIDTH, BANDS, ROWS, THRESHOLD = 5, 40, 6, 0.8
-SMALL, SPLITS, TAKEN, DEPTH = 24, 8, 3, 6
+SMALL, DEPTH, SLOTS = 24, 6, 1 << 18
 U = np.uint64
 
 
@@ -160,25 +161,41 @@ def _described(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     return rows_in.mapInPandas(run, "doc_id long, tkey long, key binary, bands array<long>, registers binary")
 
 
-def _finer(members: DataFrame, nodes: DataFrame, depth: int, registers: int) -> DataFrame:
-    """bucket, node, degree: every bucket dealt anew in ``SPLITS`` ways, each by ``TAKEN`` more registers."""
-    rng = np.random.default_rng(100 + depth)
-    chosen = [rng.choice(registers, min(TAKEN, registers), replace=False) for _ in range(SPLITS)]
+def prefix(elements: np.ndarray, weights: np.ndarray, common: np.ndarray, threshold: float) -> np.ndarray:
+    """The rarest units of a multiset: two multisets whose similarity reaches ``threshold`` have one of them in common."""
+    first = np.cumsum(weights) - weights
+    times = np.arange(int(weights.sum())) - np.repeat(first, weights)  # which occurrence of its shingle
+    units = mixed(np.repeat(elements, weights) + times.astype(U) * U(0x9E3779B97F4A7C15))
+    n = len(units)
+    order = np.lexsort((units, common[(np.repeat(elements, weights) % U(len(common))).astype(np.int64)]))
+    return units[order[:n - int(np.ceil(threshold * n - 1e-9)) + 1]]
+
+
+def _finer(members: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
+    """bucket, node, degree: the members dealt anew, one bucket for each unit of their prefixes. Any global order of the
+    units keeps all pairs; counts in ``SLOTS`` slots (all that reaches the driver) put rare ones first."""
+    whole = members.select("node", "degree").distinct().join(texts, "node")
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for t in batch["text"]:
+                np.add.at(total, (shingles(words(t), width)[0] % U(SLOTS)).astype(np.int64), 1)
+        at = np.nonzero(total)[0]
+        yield pd.DataFrame({"slot": at, "n": total[at]})
+
+    common = np.zeros(SLOTS, np.int64)
+    for r in whole.select("text").mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+        common[r["slot"]] = r["n"]
+    shared = members.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if not len(batch):
-                continue
-            own = np.frombuffer(b"".join(batch["registers"]), np.uint16).reshape(len(batch), registers).astype(U)
-            old = batch["bucket"].to_numpy(np.int64).view(U)
-            for k, columns in enumerate(chosen):
-                h = mixed(old + U(k + 1))
-                for c in columns:
-                    h = mixed(h ^ own[:, c])
-                yield pd.DataFrame({"bucket": h.view(np.int64), "node": batch["node"], "degree": batch["degree"]})
+            for node, degree, t in zip(batch["node"], batch["degree"], batch["text"]):
+                own = prefix(*shingles(words(t), width), shared.value, threshold)
+                yield pd.DataFrame({"bucket": own.view(np.int64), "node": node, "degree": degree})
 
-    return members.join(nodes.select("node", "registers"), "node").select("bucket", "node", "degree", "registers").mapInPandas(
-        run, "bucket long, node long, degree long")
+    return whole.select("node", "degree", "text").mapInPandas(run, "bucket long, node long, degree long")
 
 
 def _accepted(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
@@ -278,13 +295,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
             now = written(now.join(state.where("others > 0"), "bucket"), "open")
             if now.isEmpty():
                 break
-            last = depth > DEPTH
+            last = depth > min(DEPTH, 1)  # prefixes are dealt once, their buckets are finished
             pairs = _between_classes(now if last else now.where(F.col("others") <= SMALL))
             large = now.where(F.col("others") > SMALL)
             if last or large.isEmpty():
                 open_ = members.limit(0)
             else:
-                open_ = written(_finer(large, nodes, depth, _layout(bands, rows)[0]), "members")
+                open_ = written(_finer(large, texts, width, threshold), "members")
                 pairs = pairs.union(_with_pivot(_labelled(open_, labels)))
         else:
             pairs = _with_pivot(now)

@@ -96,3 +96,13 @@ def test_large_buckets_are_dealt_finer(spark, monkeypatch):
         monkeypatch.setattr(B, "SMALL", small)
         monkeypatch.setattr(B, "DEPTH", depth)
         assert {r["doc_id"]: r["class_id"] for r in B.near_duplicates(df).collect()} == want
+
+
+def test_prefixes_of_similar_documents_meet():
+    rng = random.Random(3)
+    base = " ".join(f"w{rng.randint(0, 60)}" for _ in range(300))
+    for common in (np.zeros(64, np.int64), np.arange(64)):
+        for k in range(300):
+            a, b = (B.shingles(words(changed(rng, base, 0.01))) for _ in range(2))
+            if B.overlap(a, b) >= 0.8:
+                assert np.intersect1d(B.prefix(*a, common, 0.8), B.prefix(*b, common, 0.8)).size, k
