@@ -10,8 +10,13 @@ such costs: its segmentation is the only one in which every neighbouring pair of
 pair rules, comes out as that same pair. So the piece machine also remembers the last piece, and an arc costs 0
 if the pair stands and infinity if it does not; each position of the lattice then has one finite state.
 
+Whether a pair stands is compiled as well: every piece keeps its two spines, the symbols that stood at its edges while the
+rules made it, and a pair is settled by walking the right spine of the one and the left spine of the other.
+
 Results in odd cases: null text gives no ids, as empty text does; a text of blanks gives
-their pieces. Texts of any length are encoded whole.
+their pieces. Texts of any length are encoded whole. Of equally cheap unigram paths the one whose last piece starts first is
+taken; byte-pair paths have no ties. Repeated rows are encoded alike, an empty table gives no rows, other columns pass through
+and columns named like results are replaced.
 """
 
 from __future__ import annotations
@@ -65,7 +70,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
 class Transducer:
     """The compiled machines of one model. Its caches are bounded."""
 
-    CACHE_PAIRS, CACHE_CHARS = 150_000, 3_000_000
+    CACHE_PAIRS, CACHE_CHARS = 300_000, 3_000_000
 
     def __init__(self, model: bytes) -> None:
         self.pieces: list[str] = []
@@ -108,6 +113,12 @@ class Transducer:
             for k in range(1, len(piece)):
                 self.arcs.setdefault(piece[:k], -1)
         self.arcs.update(ids)
+        self.ids = ids
+        sizes: dict[str, set[int]] = {}
+        for piece in ids:
+            sizes.setdefault(piece[-3:], set()).add(len(piece))
+        # Lengths of the pieces that end in three given characters, the likeliest first; only one of them can stand.
+        self.sizes = {end: (2, 3, 1, *sorted(found - {1, 2, 3})) for end, found in sizes.items() if len(end) == 3}
         alphabet = {c for p in ids for c in p}
         self.single = {c for c in alphabet if c in ids}
         cut = "\n" not in alphabet
@@ -116,7 +127,8 @@ class Transducer:
         self.stretches = re.compile(".+" if inner else r"▁*[^▁\n]+|▁+|\n" if cut else r"▁*[^▁]+|▁+", re.S).findall
         self.done: dict[str, bytes] = {}
         self.held = 0
-        self.stands: dict[tuple[str, str], bool] = {}
+        self.stands: dict[int, bool] = {}
+        self.spines: dict[str, tuple[list, list] | None] = {}
         self.decoded: list[bytes] = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else
                                      p.replace(SPACE, " ").encode() if self.escape else p.encode() for p, k in zip(self.pieces, self.kinds)]
 
@@ -127,27 +139,76 @@ class Transducer:
             text = " " + text
         return text.replace(" ", SPACE) if self.escape else text
 
-    def _merged(self, text: str) -> list[str]:
-        """The pair rules run on a short string: always the best-scored pair, the leftmost of equals."""
-        parts, score = list(text), self.score
+    def _derived(self, text: str) -> tuple[list[str], list[tuple[str, str, float]]]:
+        """The pair rules run on a string alone, always the best-scored pair, the leftmost of equals: what is left, and the merges (left, right, score)."""
+        parts, score, merges = list(text), self.score, []
         while len(parts) > 1:
             found = [(score[p], -k) for k, p in enumerate(map("".join, zip(parts, parts[1:]))) if p in score]
             if not found:
                 break
-            k = -max(found)[1]
-            parts[k:k + 2] = [parts[k] + parts[k + 1]]
-        return parts
-
-    def _pair_cost(self, left: str, right: str) -> float:
-        """0 if the two pieces stand side by side (``left`` may be empty: the start), else infinity."""
-        key = (left, right)
-        stands = self.stands.get(key)
-        if stands is None:
-            stands = self._merged(left + right) == ([left, right] if left else [right])
-            if len(self.stands) >= self.CACHE_PAIRS:
-                self.stands.clear()
-            self.stands[key] = stands
-        return 0.0 if stands else INF
+            best, k = max(found)
+            merges.append((parts[-k], parts[1 - k], best))
+            parts[-k:2 - k] = [parts[-k] + parts[1 - k]]
+        return parts, merges
+
+    def _compiled(self, piece: str) -> tuple[list, list] | None:
+        """The left and the right spine of a piece: the symbols that stood at that edge while the rules made it, each with the score of the
+        merge that took it up. None if the rules do not make the piece, empty spines if its merges do not come in falling scores."""
+        parts, merges = self._derived(piece)
+        if parts != [piece]:
+            return None
+        scores = [s for _, _, s in merges]
+        if any(b > a for a, b in zip(scores, scores[1:])):
+            return [], []
+        left, right = [], []
+        tree = {a + b: (a, b, s) for a, b, s in merges}
+        spine = piece
+        while spine in tree:
+            a, _, s = tree[spine]
+            left.append((a, s))
+            spine = a
+        spine = piece
+        while spine in tree:
+            _, b, s = tree[spine]
+            right.append((b, s))
+            spine = b
+        return [*left[::-1], (piece, -INF)], [*right[::-1], (piece, -INF)]
+
+    def _spines(self, piece: str) -> tuple[list, list] | None:
+        if piece not in self.spines:  # at most one entry a piece
+            self.spines[piece] = self._compiled(piece)
+        return self.spines[piece]
+
+    def _remembered(self, key: int, left: str, right: str) -> bool:
+        if len(self.stands) >= self.CACHE_PAIRS:
+            self.stands.clear()
+        self.stands[key] = self._stand(left, right)
+        return self.stands[key]
+
+    def _stand(self, left: str, right: str) -> bool:
+        """Whether an arc ``right`` costs 0 after ``left`` (empty: the start) and not infinity: no merge ever crosses the edge. Two symbols meet there until the better of the merges that take them up; the right edge of the one
+        piece and the left edge of the other pass in that order, so a few look-ups replace the merges of both."""
+        own = self._spines(right)
+        if own is None or not left:
+            return own is not None
+        other = self._spines(left)
+        if other is None:
+            return False
+        xs, ys = other[1], own[0]
+        if not xs or not ys:
+            return self._derived(left + right)[0] == [left, right]
+        score, i, j = self.score, 0, 0
+        while True:
+            (x, taken), (y, taken_too) = xs[i], ys[j]
+            across = score.get(x + y)
+            if across is not None and across > taken and across >= taken_too:
+                return False
+            if taken >= taken_too:
+                if taken == -INF:
+                    return True
+                i += 1
+            else:
+                j += 1
 
     def _written(self, text: str) -> list[int]:
         """Ids of one arc: a piece, or the bytes of a character without one."""
@@ -155,43 +216,37 @@ class Transducer:
         return [found] if found >= 0 else [self.bytes_ids[b] for b in text.encode("utf-8", "surrogatepass")]
 
     def _finite_path(self, text: str) -> list[int]:
-        """Shortest path where arcs cost 0 or infinity: the first finite path, searched depth first from the longest
-        arcs. A position has one finite state, so one that led nowhere is never entered again."""
-        arcs, single, n, stands = self.arcs, self.single, len(text), self.stands
-        path, open_ends, dead = [], [], set()
-        i, before = 0, ""
-        while i < n:
-            if len(open_ends) == len(path):  # a new position: the ends of its arcs, the longest last
-                ends = []
-                if text[i] in single:
-                    for j in range(i + 1, n + 1):
-                        found = arcs.get(text[i:j])
-                        if found is None:
+        """Shortest path where arcs cost 0 or infinity. The beginning of a text has one encoding, so a position has one finite state, the piece
+        that ends there: the one that stands beside the state it starts from. One pass forward finds the states, one back reads the path."""
+        ids, stands, sizes, pieces, start = self.ids, self.stands, self.sizes, self.pieces, len(self.pieces)
+        n = len(text)
+        states = [start] * (n + 1)
+        for end in range(1, n + 1):
+            if text[end - 1] not in self.single:
+                continue
+            for size in sizes.get(text[end - 3:end], (2, 1)) if end > 2 else (2, 1):
+                i = end - size
+                if i >= 0:
+                    piece = text[i:end]
+                    found = ids.get(piece)
+                    if found is not None:
+                        key = states[i] * start + found
+                        stand = stands.get(key)
+                        if stand is None:
+                            stand = self._remembered(key, "" if states[i] == start else pieces[states[i]], piece)
+                        if stand:
+                            states[end] = found
                             break
-                        if found >= 0:
-                            ends.append(j)
-                else:
-                    ends.append(i + 1)
-                open_ends.append(ends)
-            ends = open_ends[-1]
-            while ends:
-                j = ends.pop()
-                if j in dead:
-                    continue
-                piece = text[i:j] if text[i] in single else ""
-                if piece:
-                    stand = stands.get((before, piece))
-                    if not (self._pair_cost(before, piece) == 0.0 if stand is None else stand):
-                        continue
-                path.append((i, before))
-                i, before = j, piece
-                break
+        out, end = [], n
+        while end:
+            found = states[end]
+            if found == start:
+                out += reversed(self._written(text[end - 1]))
+                end -= 1
             else:
-                dead.add(i)
-                open_ends.pop()
-                i, before = path.pop()
-        starts = [at for at, _ in path] + [n]
-        return [k for a, b in zip(starts, starts[1:]) for k in self._written(text[a:b])]
+                out.append(found)
+                end -= len(pieces[found])
+        return out[::-1]
 
     def _cheapest_path(self, text: str) -> list[int]:
         """Shortest path over the lattice of a unigram model."""

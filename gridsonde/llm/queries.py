@@ -28,7 +28,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, status of every page, from archives written and read."""
     path = scratch_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path, "page_id", "url", "html")
-    found = warc.reassembled(warc.read_records(spark, path))
+    found = warc.read_whole(spark, path)
     return found.select(warc.page_of("record_id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"),
                         F.col("type").alias("record_type"), warc.page_of("refers_to").alias("refers_to"), "status")
 

@@ -44,6 +44,23 @@ def test_whole_documents_are_spelt_again(spark):
     assert len(rows) == docs.count() and all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) for r in rows)
 
 
+def test_spines_settle_pairs_as_the_rules_do():
+    m = pieces.Transducer(pieces.read_model(MODEL))
+    rng, names = random.Random(3), list(pieces.Transducer(pieces.read_model(MODEL)).score)
+    for _ in range(6000):
+        left, right = rng.choice(names), rng.choice(names)
+        assert m._stand(left, right) == (m._derived(left + right)[0] == [left, right])
+    rules = {"a": -1, "b": -1, "c": -1, "ab": -2, "bc": -2, "abc": -3, "ca": -3, "aa": -2, "aab": -2, "bca": -4, "cab": -2, "abca": -1}  # equal and rising scores
+    m = pieces.Transducer(_model([("<unk>", 0.0, 2), *[(f"<0x{b:02X}>", 0.0, pieces.BYTE) for b in range(256)], *[(p, s, 1) for p, s in rules.items()]], pieces.PAIRS))
+    for left in rules:
+        for right in rules:
+            assert m._stand(left, right) == (m._derived(left + right)[0] == [left, right]), (left, right)
+    for _ in range(300):
+        text = "".join(rng.choices("abcd", k=rng.randint(1, 12)))
+        want = [m.ids[p] if p in m.ids else m.bytes_ids[100] for part in text.replace("d", " d ").split() for p in m._derived(part)[0]]
+        assert m._finite_path(text) == want, text
+
+
 def _model(entries, kind):
     """A small model file: (piece, score, type) entries."""
     import struct
