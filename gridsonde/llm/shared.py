@@ -39,7 +39,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` stored in the folder all executors share and read again; later steps start from the files."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables that ``written`` returned, once every later step reads their successors, which are complete by then: a task that is
+    lost afterwards is made again from those. Tables from elsewhere are left alone."""
+    for path, t in ((vars(t).get("stored_at"), t) for t in tables if t is not None):
+        if path:
+            at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def words(text: str | None) -> list[str]:

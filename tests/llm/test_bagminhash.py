@@ -84,18 +84,28 @@ def test_nulls_repeated_rows_and_empty_tables(spark):
     assert B.near_duplicates(df.limit(0)).collect() == []
 
 
-def test_large_buckets_are_dealt_finer(spark, monkeypatch):
+def test_buckets_of_passages_are_finished_exactly(spark, monkeypatch):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
     passage = " ".join(word() for _ in range(60))
-    docs = [(k, " ".join(word() for _ in range(20)) + " " + passage) for k in range(60)]  # alike, yet no duplicates
+    docs = [(k, " ".join(word() for _ in range(rng.choice((3, 8, 12, 20)))) + " " + passage) for k in range(60)]  # alike, some of them duplicates
     docs += [(100 + k, docs[k][1] + " " + word()) for k in range(10)]  # each a copy of one of them
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    want = brute_classes(docs)
-    for small, depth in ((24, 6), (3, 6), (3, 1)):
-        monkeypatch.setattr(B, "SMALL", small)
-        monkeypatch.setattr(B, "DEPTH", depth)
-        assert {r["doc_id"]: r["class_id"] for r in B.near_duplicates(df).collect()} == want
+    seen, plain = [], B._accepted
+    monkeypatch.setattr(B, "_accepted", lambda pairs, *a: seen.append(pairs.count()) or plain(pairs, *a))
+    assert {r["doc_id"]: r["class_id"] for r in B.near_duplicates(df).collect()} == brute_classes(docs)
+    assert sum(seen) < 700  # of 2,415 pairs
+
+
+def test_texts_of_one_document_join_their_classes(spark):
+    rng = random.Random(6)
+    a, b, c = (" ".join(rng.choice("abcdefgh") + str(rng.randint(0, 99)) for _ in range(80)) for _ in range(3))
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, c), (5, None), (5, c + " z"), (6, "..."), (6, "")]
+    df = spark.createDataFrame([(*r, "t", 1) for r in rows], "doc_id long, text string, __text string, node int")
+    got = sorted((r["doc_id"], r["class_id"]) for r in B.near_duplicates(df).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (5, 4), (6, 6), (6, 6)]
+    kept = B.one_of_each(df)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 4, 6]
 
 
 def test_prefixes_of_similar_documents_meet():
@@ -106,3 +116,19 @@ def test_prefixes_of_similar_documents_meet():
             a, b = (B.shingles(words(changed(rng, base, 0.01))) for _ in range(2))
             if B.overlap(a, b) >= 0.8:
                 assert np.intersect1d(B.prefix(*a, common, 0.8), B.prefix(*b, common, 0.8)).size, k
+
+
+def test_pairs_over_the_threshold_pass_the_test_of_places(spark):
+    """Some shared unit stands early enough in both orders for every pair at the threshold."""
+    rng = random.Random(8)
+    base = " ".join(f"w{rng.randint(0, 60)}" for _ in range(200))
+    common, kept = np.arange(64), 0
+    for _ in range(300):
+        a, b = (B.shingles(words(changed(rng, base, rng.choice((0.005, 0.01, 0.02))))) for _ in range(2))
+        if B.overlap(a, b) >= 0.8:
+            kept += 1
+            n, m = int(a[1].sum()), int(b[1].sum())
+            need = int(np.ceil((n + m) * (0.8 / 1.8) - 1e-9))
+            shared, at, to = np.intersect1d(B.prefix(*a, common, 0.8), B.prefix(*b, common, 0.8), return_indices=True)
+            assert ((n - at >= need) & (m - to >= need)).any()
+    assert kept > 50
