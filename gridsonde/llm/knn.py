@@ -13,7 +13,7 @@ either label), so the broadcast has at most ``sample`` x ``rank`` + ``TERMS`` x
 Odd cases: null text counts as empty, and an empty text is a vector without terms beside one constant term, so it
 resembles short texts; with no labelled row, every score is 0.5; with one label only, its value. Of equally near
 neighbours the first in the order of the sample counts. Rows without label or id teach nothing. Of repeated ids one row
-teaches. Extra columns
+teaches. Very long texts count whole. Letters of all scripts are letters: those without a class of their own share eight. Extra columns
 pass through, columns named like results are replaced.
 """
 
@@ -41,8 +41,8 @@ RUN = re.compile(r"\S+")
 
 
 def _alphabet() -> np.ndarray:
-    """Class of each code point below 0x3000: a-z 1-26, accented letters 27-34, then blanks, digits and signs."""
-    table = np.zeros(0x3000, np.int64)
+    """Class of each code point below 0x20000: a-z 1-26, other letters 27-34 by their number, then blanks, digits and signs."""
+    table = np.zeros(0x20000, np.int64)
     signs = {c: 37 + k for k, c in enumerate(".,!?|#$%&*<>")}  # 37 to 48 is cut to CLASSES - 1 below
     for point in range(len(table)):
         c = chr(point)
@@ -65,6 +65,11 @@ def _alphabet() -> np.ndarray:
 FOLD = _alphabet()
 
 
+def folded(points: np.ndarray) -> np.ndarray:
+    """Classes of code points; those beyond the table are letters of large scripts."""
+    return np.where(points < len(FOLD), FOLD[np.minimum(points, len(FOLD) - 1)], 27 + points % 8)
+
+
 def term_counts(text: str | None) -> np.ndarray:
     """Counts of all terms of a text."""
     out = np.zeros(TERMS, np.float32)
@@ -72,9 +77,9 @@ def term_counts(text: str | None) -> np.ndarray:
     if not text:
         return out
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    folded = FOLD[np.minimum(points, len(FOLD) - 1)]
-    if len(folded) > 1:
-        out[:PAIRS] = np.bincount(folded[:-1] * CLASSES + folded[1:], minlength=PAIRS)
+    classes = folded(points)
+    if len(classes) > 1:
+        out[:PAIRS] = np.bincount(classes[:-1] * CLASSES + classes[1:], minlength=PAIRS)
     words = RUN.findall(text)
     n = len(words)
     if n:
@@ -89,6 +94,17 @@ def term_counts(text: str | None) -> np.ndarray:
     return out
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """The terms that occur and their counts, exactly."""
+    at = np.flatnonzero(counts).astype(np.uint32)
+    return np.concatenate([at, counts[at].view(np.uint32)]).tobytes()
+
+
+def unpack(data: bytes, row: np.ndarray) -> None:
+    at, counts = np.frombuffer(data, np.uint32).reshape(2, -1)
+    row[at] = counts.view(np.float32)
+
+
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Rows of damped and weighted counts, each of length one."""
     x = np.log1p(counts) * idf
@@ -136,14 +152,16 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "la
             for at in range(0, len(batch), BLOCK):
                 part = batch.iloc[at:at + BLOCK]
                 yield pd.DataFrame({"draw": part["draw"], "label": part["label"],
-                                    "counts": [np.minimum(term_counts(t), 6e4).astype(np.float16).tobytes() for t in part["text"]]})
+                                    "counts": [packed(term_counts(t)) for t in part["text"]]})
 
     counted = taught.mapInPandas(count, "draw long, label int, counts binary").groupBy("draw").agg(F.min(F.struct("label", "counts")).alias("x"))
     drawn = bounded_rows(counted.select("draw", "x.label", "x.counts").orderBy("draw"), sample, "labelled sample")
     if not drawn:
         return Neighbours(np.zeros(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), k)
     labels = np.array([r["label"] for r in drawn], np.float64)
-    x = np.stack([np.frombuffer(r["counts"], np.float16) for r in drawn]).astype(np.float32)
+    x = np.zeros((len(drawn), TERMS), np.float32)
+    for row, r in zip(x, drawn):
+        unpack(r["counts"], row)
     del drawn
     idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
     np.log1p(x, out=x)  # in place: the sample is the largest thing on the driver

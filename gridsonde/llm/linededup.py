@@ -222,6 +222,8 @@ class LineIndex:
         digest = F.sha2(F.coalesce("__text", F.lit("")), 256)
         pairs = some.select(digest.alias("__digest"), F.explode("__maybe").alias("key")).distinct()
         found = pairs.join(self.common().select("key"), "key").groupBy("__digest").agg(F.collect_set("key").alias("__common"))
+        # Stored, so that the join below reads two plain tables and copies of one text can be split among tasks.
+        found = written(found, "line-common")
         hit = some.withColumn("__digest", digest).drop("__maybe").join(found, "__digest", "left").drop("__digest")
         rest = asked.where(F.size("__maybe") == 0)
         rest = rest.withColumn("n_dropped", F.lit(0).cast("long")).withColumn(into, F.coalesce("__text", F.lit("")))

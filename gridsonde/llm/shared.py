@@ -63,6 +63,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def id_remainder(column: str, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus`` (null for a null id)."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
