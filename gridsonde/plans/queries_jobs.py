@@ -120,16 +120,17 @@ def job_validation(t: Tables):
     return rounded(skill, "rmse", "bias", "pearson_r")
 
 
-_TRAINING = f"""s0 AS (SELECT day, CAST(0 AS INT) AS iy, ix % 2 AS ix, depth, AVG(theta) AS theta, AVG(sp) AS sp FROM f_obs GROUP BY day, ix % 2, depth),
+_TRAINING = f"""s0 AS (SELECT CAST(DATE '2024-01-01' + CAST(DAY(day) % 16 AS INT) AS DATE) AS day, iy, ix, depth, AVG(theta) AS theta, AVG(sp) AS sp FROM f_obs GROUP BY 1, 2, 3, 4),
 chan AS (SELECT s.day, s.iy, s.ix, CASE WHEN e.elevation_m >= 0 THEN 0 ELSE (s.theta - 25) / 5e0 END AS sst FROM s0 s LEFT JOIN f_elev e ON e.iy = s.iy AND e.ix = s.ix WHERE s.depth = 0),
 win AS (SELECT * FROM (SELECT *, COUNT(*) OVER w AS n, SUM(sst) OVER w AS window_sst, MIN(day) OVER w AS first_day FROM chan WINDOW w AS (PARTITION BY iy, ix ORDER BY day RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW)) WHERE n = 7),
 tg AS (SELECT s.day, s.iy, s.ix, COUNT(*) AS n_targets, COUNT(CASE WHEN e.elevation_m < 0 AND -e.elevation_m > depth THEN 1 END) AS n_valid, SUM(CASE WHEN e.elevation_m >= 0 THEN 0 ELSE theta - 25 END) AS delta FROM s0 s LEFT JOIN f_elev e ON e.iy = s.iy AND e.ix = s.ix GROUP BY 1, 2, 3)"""
 
 
-@query("job_training_table", "SELECT CAST(day AS VARCHAR) AS day, iy, CAST(ix AS INT) AS ix, CAST(first_day AS VARCHAR) AS first_day, ROUND(window_sst, 5) AS window_sst, n_targets, n_valid, ROUND(delta, 5) AS delta FROM win JOIN tg USING (day, iy, ix)", ("f_obs", "f_elev"), _TRAINING)
+@query("job_training_table", "SELECT CAST(day AS VARCHAR) AS day, iy, ix, CAST(first_day AS VARCHAR) AS first_day, ROUND(window_sst, 5) AS window_sst, n_targets, n_valid, ROUND(delta, 5) AS delta FROM win JOIN tg USING (day, iy, ix)", ("f_obs", "f_elev"), _TRAINING)
 def job_training_table(t: Tables):
-    """Two cells of daily surface fields: standardised windows with their targets."""
-    s0 = t.f_obs.groupBy("day", F.lit(0).alias("iy"), (F.col("ix") % 2).alias("ix"), "depth").agg(F.avg("theta").alias("theta"), F.avg("sp").alias("sp"))
+    """Daily surface fields of every cell: standardised windows with their targets."""
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.dayofmonth("day") % 16)  # years and months folded, so that cells have runs of days
+    s0 = t.f_obs.groupBy(day.alias("day"), "iy", "ix", "depth").agg(F.avg("theta").alias("theta"), F.avg("sp").alias("sp"))
     top = s0.filter("depth = 0").select("day", "iy", "ix", F.col("theta").alias("sst"), F.col("sp").alias("sss"))
     targets = s0.select("day", "iy", "ix", "depth", (F.col("theta") - 25.0).alias("delta_theta"), (F.col("sp") - 34.0).alias("delta_sp"),
                         F.lit(25.0).alias("theta_clim"), F.lit(34.0).alias("sp_clim"))
