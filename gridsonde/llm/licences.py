@@ -96,7 +96,7 @@ OTHERS = ("The apache helicopter landed near the village", "gnu and zebra grazed
           "their license fee rose to 20 dollars", "a driver must carry a licence at all times", "the license plate was found by police")
 NONE, UNKNOWN = "none", "unknown"
 CLASSES = (*TEMPLATES, UNKNOWN, NONE)
-BUCKETS, SAMPLE, CONFIRM, PRECISION, SEEN = 1 << 16, 2000, 0.7, 0.99, 3
+BUCKETS, SAMPLE, CONFIRM, PRECISION, SEEN = 1 << 15, 2000, 0.7, 0.99, 10
 
 
 def words_of(text: Column) -> Column:
