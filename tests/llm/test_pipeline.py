@@ -46,5 +46,5 @@ def test_stages_keep_the_columns_of_documents(spark):
 
 def test_every_operator_is_registered():
     names = entry.queries()
-    assert "pipeline" in names and [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
+    assert "pipeline" in names and [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13
     assert set(queries.ORACLES) <= set(entry.oracle_sql())
