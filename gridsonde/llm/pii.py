@@ -1,8 +1,9 @@
 """Personal data: patterns that always count, and further candidates chosen by boosted trees.
 
 Base spans are the leftmost matches of a pattern per kind that pass its check (address parts up to 255, Luhn digits, ten
-to fifteen digits). High-recall generators propose looser candidates, which may overlap base spans and one another:
-addresses with spelt-out signs, and runs of digit groups. Features describe their format and the words around them;
+to fifteen digits). Two generators propose looser candidates, which may overlap base spans: mail addresses with spelt-out
+signs, and runs of digit groups as phones. They take one leftmost run each, so candidates of a generator do not overlap one
+another, and none is proposed as card or network address. Features describe their format and the words around them;
 gradient-boosted trees, fitted on candidates of the corpus (those that coincide with a base span are positive, the rest
 negative) and on written examples, score them; a threshold calibrated on held-out examples chooses the spans to add. Base
 spans are never dropped, and an added span overlaps no base span and no added span that starts before it.
