@@ -82,3 +82,75 @@ def test_learned_spans_add_to_the_base(spark):
         assert all(a >= s[2] or b <= s[0] for a, b in added for s in base)
     empty = pii.fit(docs.limit(0))
     assert pii.spans(docs, empty).count() == docs.count()
+
+
+SEP = r"(?:[ ().-]{0,2}|[ ]?[(\[](?:\.|dot)[)\]][ ]?|[ ]dot[ ])"
+
+
+def brute_numbers(t):
+    """All runs of neighbouring digit groups as (start, kind, end)."""
+    groups = [(m.start(), m.end()) for m in re.finditer("[0-9]+", t)]
+    out = set()
+    for i, (a, _) in enumerate(groups):
+        for j in range(i, min(i + pii.GROUPS, len(groups))):
+            gaps = [t[groups[k][1]:groups[k + 1][0]] for k in range(i, j)]
+            if not all(re.fullmatch(SEP, g) for g in gaps):
+                break
+            d = re.sub("[^0-9]", "", t[a:groups[j][1]])
+            lead = re.search(r"\+?\(?$", t[max(0, a - 2):a])[0]
+            span = lambda k: (a - len(lead), k, groups[j][1])
+            dots = all(re.fullmatch(r" ?[(\[]?(?:\.|dot)[)\]]? ?", g) for g in gaps)
+            if j == i + 3 and dots and not lead and len(d) <= 12 and all(y - x <= 3 for x, y in groups[i:j + 1]):
+                out.add(span(1))
+            if 13 <= len(d) <= 19 and luhn(d):
+                out.add(span(2))
+            if 7 <= len(d) <= 15:
+                out.add(span(3))
+    return out
+
+
+def test_candidates_equal_all_runs(spark):
+    rng = random.Random(4)
+    parts = ["4539", "1488 0343", "6467", " ", "-", ".", "(212)", "555", "0188", "[.]", " dot ", "(dot)", "7", "1", "x", "\n", ", ", "192.168", "0" * 12, "00000000", "é"]
+    own = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 16))) for _ in range(300)]
+    own += ["", "card no 12 4539 1488 0343 6467", "212-555-0188 212-555-0199", "1 " * 400, "12.34." * 100, "9" * 5000]
+    df = spark.createDataFrame([(k, "a " + t) for k, t in enumerate(own)], "id long, text string")
+    for r in df.select("id", "text", pii.candidates(df["text"]).alias("c")).collect():
+        got = [(c["start"], c["kind"], c["end"]) for c in r["c"] if c["kind"] != 0]
+        assert len(set(got)) == len(got) and set(got) == brute_numbers(r["text"]), r["text"][:80]
+        assert all(c["text"] == r["text"][c["start"]:c["end"]] and len(c["f"]) == len(pii.FEATURES) for c in r["c"])
+
+
+def test_mail_is_cut_after_every_label(spark):
+    df = spark.createDataFrame([("to kim at a dot b dot c now",), ("x@y.z",), ("x@y",), ("j [at] k . l . M",)], "text string")
+    got = [[r[0][c["start"]:c["end"]] for c in r[1]] for r in df.select("text", pii.candidates(df["text"])).collect()]
+    assert got == [["kim at a dot b", "kim at a dot b dot c"], ["x@y.z"], [], ["j [at] k . l", "j [at] k . l . M"]]
+
+
+def test_overlapping_candidates_are_chosen_by_margin(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    model = pii.fit(docs)
+    own = {"card no 12 4539 1488 0343 6467": ["card:11:30"], "visa 4539 1488 0343 6467 12/27": ["card:5:24"], "call 212-555-0188 212-555-0199": ["phone:5:17", "phone:18:30"],
+           "card 4539.1488.0343.6467": ["card:5:24"], "server at 192[.]168[.]1[.]7": ["ip:10:27"], "kim at example dot com": ["email:0:22"], "ssn 123-45-6789": [],
+           "he sat at home . Then": [], "2024-01-15 10:30 to 2024-01-16": [], "1 2 3 4 5 6 7 8 9 10 11 12": []}
+    df = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string")
+    for r in pii.spans(df, model).collect():
+        assert [s for s in r["spans"].split(",") if s] == own[r["text"]], r["text"]
+
+    def margin(f):
+        def value(node):
+            while isinstance(node, tuple):
+                node = node[2] if f[node[0]] <= node[1] else node[3]
+            return node
+        return sum(w * value(t) for w, t in model.trees)
+
+    some = docs.unionByName(df).where("length(text) < 3000")
+    for r in pii.spans(some, model).withColumn("c", pii.candidates(some["text"])).collect():
+        taken = [(a, b) for a, _, b in brute(r["text"])]
+        scored = sorted((-margin(c["f"]), c["start"], c["kind"], c["end"]) for c in r["c"])
+        want = []
+        for m, a, k, b in scored:
+            if -m >= model.least and all(b <= x or a >= y for x, y in taken):
+                taken.append((a, b))
+                want.append((a, k, b))
+        assert r["spans"] == digest(sorted(brute(r["text"]) + want))[0]
