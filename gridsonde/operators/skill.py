@@ -153,6 +153,41 @@ def masked_depth_rmse(df: DataFrame, pred: str, obs: str, depth: str = "depth",
     return sums.select(*keys, depth, F.sqrt(F.coalesce("__n", F.lit(0.0)) / F.greatest(F.col("__d"), F.lit(1e-6))).alias(out))
 
 
+def score_state(df: DataFrame, lat_axis: DataFrame, pred: str, obs: str, depth: str = "depth", lat: str = "lat", valid: str | None = None,
+                keys: Sequence[str] = ()) -> DataFrame:
+    """Sums and counts per key and level, from which scores of any union of batches follow: n, se, w, w_se.
+
+    One partial aggregate; the state has a row per key and level however large the batch is. The axis mean of the
+    weights belongs to the grid, so it is the same for every batch.
+    """
+    mean = lat_axis.agg(F.greatest(F.avg(latitude_weight(F.col(lat))), F.lit(1e-6)).alias("m")).scalar()
+    ok = F.coalesce(F.col(valid), F.lit(False)) if valid else F.lit(True)
+    d = F.col(pred) - F.col(obs)
+    weight = F.when(ok, F.greatest(latitude_weight(F.col(lat)) / mean, F.lit(0.0))).otherwise(F.lit(0.0))
+    rows = df.select(*keys, depth, ok.cast("double").alias("n"), F.when(ok, d * d).alias("se"), weight.alias("w"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return rows.groupBy(*keys, depth).agg(F.sum("n").alias("n"), zero(F.sum("se")).alias("se"), F.sum("w").alias("w"),
+                                          zero(F.sum(F.col("w") * F.col("se"))).alias("w_se"))
+
+
+def store_state(state: DataFrame, path: str, batch: str) -> str:
+    """Keep the state of one batch; a batch stored again replaces itself, so that a retried job counts once."""
+    rows = state.withColumn("batch", F.lit(batch)).hint("rebalance")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+    return path
+
+
+def merged_states(states: DataFrame, keys: Sequence[str] = (), depth: str = "depth") -> DataFrame:
+    """The state of all batches together; merged states can be merged again."""
+    return states.groupBy(*keys, depth).agg(*[F.sum(c).alias(c) for c in ("n", "se", "w", "w_se")])
+
+
+def scores_of_state(state: DataFrame, keys: Sequence[str] = (), depth: str = "depth") -> DataFrame:
+    """Masked RMSE and area-weighted squared error per key and level, as of all rows at once."""
+    at_least = lambda c: F.greatest(F.col(c), F.lit(1e-6))
+    return state.select(*keys, depth, F.sqrt(F.col("se") / at_least("n")).alias("rmse"), (F.col("w_se") / at_least("w")).alias("mse"))
+
+
 def coverage_share(pred: Column, obs: Column, sigma: Column, k: float, valid: Column | None = None) -> Column:
     """Aggregate: share of valid cells whose error is within ``k`` spreads."""
     inside = F.coalesce((F.abs(obs - pred) <= sigma * k).cast("double"), F.lit(0.0))

@@ -168,6 +168,18 @@ def masked_depth_rmse(t: Tables):
     return rounded(S.masked_depth_rmse(df, "pred", "obs", valid="valid"), "rmse")
 
 
+@query("scores_over_batches", f"""SELECT depth, ROUND(SQRT(SUM(CASE WHEN ok THEN se END) / COUNT(CASE WHEN ok THEN 1 END)), 6) AS rmse, ROUND(SUM(CASE WHEN ok THEN w * se END) / SUM(CASE WHEN ok THEN w END), 6) AS mse FROM
+    (SELECT depth, (iy + ix) % 5 <> 0 AS ok, {_WEIGHT} AS w, (pred - obs) * (pred - obs) AS se FROM f_pred) GROUP BY depth""", ("f_pred",))
+def scores_over_batches(t: Tables):
+    """States of three batches of days, stored one by one and the second one twice, then merged."""
+    df = t.f_pred.withColumn("valid", (F.col("iy") + F.col("ix")) % 5 != 0)
+    path = scratch_path(t.spark, "score_states")
+    for k in (0, 1, 2, 1):
+        part = df.filter(F.dayofmonth("day") % 3 == k)
+        S.store_state(S.score_state(part, _axis(t), "pred", "obs", valid="valid"), path, f"part{k}")
+    return rounded(S.scores_of_state(S.merged_states(t.spark.read.parquet(path))), "rmse", "mse")
+
+
 @query("coverage", "SELECT depth, ROUND(AVG(CASE WHEN ABS(obs - pred) <= sigma THEN 1e0 ELSE 0e0 END), 6) AS c1, ROUND(AVG(CASE WHEN ABS(obs - pred) <= 2 * sigma THEN 1e0 ELSE 0e0 END), 6) AS c2 FROM f_pred WHERE (iy + ix) % 5 <> 0 GROUP BY depth", ("f_pred",))
 def coverage(t: Tables):
     p, o, s = F.col("pred"), F.col("obs"), F.col("sigma")

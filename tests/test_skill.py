@@ -68,6 +68,29 @@ def test_area_weighting(spark):
     assert S.area_weighted_mse(df, axis, "p", "o", valid="ok", blend=0.0).first()[0] == pytest.approx(5.0)
 
 
+def test_states_of_batches_equal_the_whole(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(k % 7, float(k % 3), float(k % 5) * 10, float(rng.normal()), None if k % 11 == 0 else float(rng.normal()), None if k % 13 == 0 else k % 4 > 0) for k in range(500)]
+    df = spark.createDataFrame(rows, "day int, depth double, lat double, p double, o double, ok boolean")
+    axis = df.select("lat").distinct()
+
+    def state(part):
+        return S.score_state(part, axis, "p", "o", valid="ok")
+
+    path = str(tmp_path / "states")
+    for name, where in (("a", "day < 2"), ("b", "day between 2 and 4"), ("c", "day > 4"), ("b", "day between 2 and 4"), ("none", "day > 99")):
+        S.store_state(state(df.where(where)), path, name)
+    once = S.merged_states(spark.read.parquet(path).where("batch in ('a', 'b')")).unionByName(S.merged_states(spark.read.parquet(path).where("batch = 'c'")))
+    for stored in (spark.read.parquet(path), once):
+        got = {r["depth"]: (r["rmse"], r["mse"]) for r in S.scores_of_state(S.merged_states(stored)).collect()}
+        known = df.withColumn("ok", F.coalesce("ok", F.lit(False)))
+        rmse = {r["depth"]: r["rmse"] for r in S.masked_depth_rmse(known, "p", "o", valid="ok").collect()}
+        mse = {r["depth"]: r["mse"] for r in S.area_weighted_mse(known, axis, "p", "o", valid="ok", keys=["depth"]).collect()}
+        assert set(got) == {0.0, 1.0, 2.0}
+        for z, (a, b) in got.items():
+            assert a == pytest.approx(rmse[z]) and b == pytest.approx(mse[z])
+
+
 def test_ensemble_coverage_and_nll(spark):
     e = spark.createDataFrame([(1, 1.0, 0.3), (1, 3.0, 0.5)], "c int, p double, s double")
     r = S.ensemble_stats(e, ["c"], "p", "s").first()
