@@ -113,6 +113,33 @@ def dilate_mask(mask: DataFrame, value: str, n: int, frame: Sequence[str] = (),
     return own_cells(_dilate(tiled, (*frame, *_TILE_KEYS), value, n, out), max(tile, 2 * n + 1))
 
 
+def known_days(df: DataFrame, value: str, day: str = "day", cell: Sequence[str] = ("iy", "ix")) -> DataFrame:
+    """Days with a known value per cell as bitmaps: cell, bucket, days.
+
+    Repeated rows of a day set the same bit. Bitmaps of several tables are united by ``merged_days``.
+    """
+    n = F.datediff(F.col(day), F.lit("1970-01-01").cast("date")).cast("bigint")
+    return df.filter(F.col(value).isNotNull() & F.col(day).isNotNull()).groupBy(*cell, F.bitmap_bucket_number(n).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(n)).alias("days"))
+
+
+def merged_days(days: DataFrame, cell: Sequence[str] = ("iy", "ix")) -> DataFrame:
+    return days.groupBy(*cell, "bucket").agg(F.bitmap_or_agg("days").alias("days"))
+
+
+def land_on_grid(days: DataFrame, spec: GridSpec, n_days: Column, buffer: int = K.COASTAL_BUFFER_CELLS) -> DataFrame:
+    """Land and its coastal buffer for every cell of the grid, from the days on which cells are known.
+
+    ``n_days``: how many days there are. Cells known on fewer than half of them are land, absent cells too; without
+    any day the whole grid is.
+    """
+    counts = days.groupBy("iy", "ix").agg(F.sum(F.bitmap_count("days")).alias("__n"))
+    frac = F.coalesce(F.col("__n") / F.when(n_days > 0, n_days), F.lit(0.0))
+    cells = build_grid(days.sparkSession, spec).join(counts, ["iy", "ix"], "left")
+    land = cells.select("iy", "ix", frac.alias("frac")).withColumn("land", F.col("frac") < K.COVERAGE_LAND_FRACTION)
+    return dilate_mask(land, "land", buffer, out="coastal")
+
+
 def _dilate(tiled: DataFrame, keys: Sequence[str], value: str, n: int, out: str) -> DataFrame:
     """Rows, then columns; RANGE frames measure index distance, not position."""
     wx, _ = _along("x", keys)

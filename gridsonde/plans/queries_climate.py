@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from gridsonde.functions.calendar import climatology_doy
 from gridsonde.operators import climate as C
 from gridsonde.operators import grid as G
-from gridsonde.plans.queries_grid import SPLITS
+from gridsonde.operators import spatial as S
+from gridsonde.plans.queries_grid import CELLS, SPLITS
 from gridsonde.plans.registry import Tables, query, r, rounded, text
 
 DOY_SQL = "CAST(CASE WHEN DAYOFYEAR(MAKE_DATE(YEAR(day), 12, 31)) = 366 AND DAYOFYEAR(day) >= 60 THEN DAYOFYEAR(day) - 1 ELSE DAYOFYEAR(day) END AS INT)"
@@ -110,6 +111,18 @@ def land_from_coverage(t: Tables):
     return rounded(C.land_from_coverage(seen, "sst"), "frac")
 
 
+@query("land_on_grid", """SELECT a.iy, a.ix, ROUND(a.frac, 6) AS frac, a.frac < 0.5e0 AS land, (SELECT BOOL_OR(b.frac < 0.5e0) FROM share b WHERE ABS(a.iy - b.iy) <= 1 AND ABS(a.ix - b.ix) <= 1) AS coastal FROM share a""", ("f_obs",),
+       """seen AS (SELECT DATE_TRUNC('month', day) AS day, iy, ix, CASE WHEN raw > 2e1 + iy * 4e0 THEN theta END AS v FROM f_obs WHERE (iy * 3 + ix) % 11 <> 5),
+       share AS (SELECT CAST(y AS INT) AS iy, CAST(x AS INT) AS ix, COALESCE(n, 0) / CAST((SELECT COUNT(DISTINCT day) FROM seen) AS DOUBLE) AS frac FROM (SELECT UNNEST(GENERATE_SERIES(0, 9)) AS y), (SELECT UNNEST(GENERATE_SERIES(0, 9)) AS x)
+       LEFT JOIN (SELECT iy, ix, COUNT(DISTINCT CASE WHEN v IS NOT NULL THEN day END) AS n FROM seen GROUP BY 1, 2) k ON k.iy = y AND k.ix = x)""")
+def land_on_grid(t: Tables):
+    """Months known per cell; a tenth of the cells is absent, and all depths of a month repeat its bit."""
+    seen = t.f_obs.filter((F.col("iy") * 3 + F.col("ix")) % 11 != 5).select(
+        F.trunc("day", "month").alias("day"), "iy", "ix", F.when(F.col("raw") > F.lit(20.0) + F.col("iy") * 4.0, F.col("theta")).alias("v"))
+    n = seen.agg(F.countDistinct("day").alias("n")).scalar()
+    return rounded(S.land_on_grid(S.known_days(seen, "v"), CELLS, n, 1).select("iy", "ix", "frac", "land", "coastal"), "frac")
+
+
 @query("merge_features", """SELECT CAST(COALESCE(a.day, b.day) AS VARCHAR) AS day, COALESCE(a.n, b.n) AS n, ROUND(a.theta, 6) AS theta, ROUND(b.sp, 6) AS sp FROM
     (SELECT day, COUNT(*) AS n, AVG(theta) AS theta FROM f_obs WHERE depth < 75 GROUP BY day) a FULL JOIN (SELECT day, COUNT(*) AS n, AVG(sp) AS sp FROM f_obs WHERE NOT depth < 75 GROUP BY day) b ON a.day = b.day""", ("f_obs",))
 def merge_features(t: Tables):

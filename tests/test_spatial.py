@@ -237,3 +237,22 @@ def test_axis_checks_and_export(spark):
     assert (rows[0]["west"], rows[0]["south"], rows[0]["east"], rows[0]["north"]) == (45.0, 5.0, 45.5, 5.5)
     with pytest.raises(ValueError):
         G.export_grid_rows(df, spec, "v", {"lat_min": 50, "lat_max": 60, "lon_min": 45, "lon_max": 46})
+
+
+def test_land_from_known_days(spark):
+    import datetime as dt
+
+    from gridsonde.grid_spec import GridSpec
+    from gridsonde.operators import spatial as SP
+    spec, first = GridSpec(5.0, 45.0, 1.0, 5, 6), dt.date(1969, 12, 30)
+    rows = [(first + dt.timedelta(days=d), y, x, None if x == 4 and d > 1 else 1.0) for d in range(4) for y in range(5) for x in range(6) if (y, x) != (2, 1)]
+    df = spark.createDataFrame(rows + rows[:40] + [(None, 2, 1, 1.0)], "day date, iy int, ix int, v double")
+    halves = SP.known_days(df.where("day < '1970-01-01'"), "v").unionByName(SP.known_days(df, "v"))
+    for days in (SP.known_days(df, "v"), SP.merged_days(halves)):
+        got = {(r["iy"], r["ix"]): (r["frac"], r["land"], r["coastal"]) for r in SP.land_on_grid(days, spec, F.lit(4), 1).collect()}
+        assert len(got) == 30
+        for (y, x), (frac, land, coastal) in got.items():
+            assert frac == (0.0 if (y, x) == (2, 1) else 0.5 if x == 4 else 1.0) and land == (frac < 0.5)
+            assert coastal == (abs(y - 2) <= 1 and abs(x - 1) <= 1)
+    none = SP.land_on_grid(SP.known_days(df.limit(0), "v"), spec, F.lit(0), 1).collect()
+    assert len(none) == 30 and all(r["land"] and r["coastal"] for r in none)
