@@ -17,7 +17,8 @@ start, kind, end). Base spans are never dropped, and added spans overlap neither
 Everything is built of SQL functions on one row, so that there is no shuffle but that of the bounded training sample.
 Offsets count code points of the whole text, ends are exclusive. Patterns are written so that matching takes time in
 proportion to the text: runs are possessive, and matches start at the beginning of a run. A text has at most ``GROUPS`` runs
-from each digit group, so candidates too grow in proportion to the text.
+from each digit group, so candidates too grow in proportion to the text. Candidates are scored as they are made and only those above
+the threshold are held; what they overlap is looked up by place, so that texts of numbers alone take time in proportion, too.
 
 Bounds: at most ``SAMPLE`` candidates of the corpus are learned from, those with the least hashes; the written examples are
 a fixed number. Only held-out examples reach the driver.
@@ -38,7 +39,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridsonde.llm.shared import bounded_rows, let, written
+from gridsonde.llm.shared import bounded_rows, let, spare, written
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -57,21 +58,31 @@ QUAD = r"^[0-9]{1,3}(?:\x20?[(\[]?(?:\.|dot)[)\]]?\x20?[0-9]{1,3}){3}$"
 SAMPLE, DEPTH, ROUNDS, STEP, PRECISION = 4000, 5, 20, 0.4, 0.998
 COPIES, WRITTEN = 4, 100_000
 CONTEXT, MAIL_CHARS, GROUPS = 24, 320, 8
+#: Code points of a block (more than the longest candidate) and blocks of a page, in which chosen spans are looked up.
+BLOCK, PAGE = 512, 64
 SPAN = "struct<start:int,kind:int,end:int>"
 CHOSEN = "struct<m:double,start:int,kind:int,end:int>"
 
 
-def prefix_sums(lengths: Column, block: int = 64) -> Column:
+def cut(values: Column, first: Column, count: Column) -> Column:
+    """Up to ``count`` elements from position ``first`` on. ``slice`` copies the whole array first, so taking many short cuts of a long
+    array that way would cost its square."""
+    last = F.least(first + count, F.size(values)) - 1
+    return F.when(last >= first, F.transform(F.sequence(first, last), lambda k: F.get(values, k))).otherwise(F.filter(F.array(F.get(values, F.lit(0))), lambda _: F.lit(False)))
+
+
+def prefix_sums(lengths: Column, block: int = 128) -> Column:
     """Running totals of an array of integers, by blocks, so that long arrays stay cheap."""
     add = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
 
     def sums(x: Column) -> Column:
-        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / block).cast("int")), lambda b: add(F.slice(x, b * block + 1, block)))
-        whole = lambda t: F.transform(F.sequence(F.lit(0), F.size(t) - 1), lambda b: add(F.slice(t, F.lit(1), b)))
-        within = lambda w: F.transform(x, lambda _, k: F.get(w, F.floor(k / block).cast("int")) + add(F.slice(x, F.floor(k / block).cast("int") * block + 1, k % block + 1)))
+        place = lambda k: F.floor(k / block).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), place(F.size(x) - 1)), lambda b: add(cut(x, b * block, F.lit(block))))
+        whole = lambda t: F.transform(t, lambda _, b: add(cut(t, F.lit(0), b)))
+        within = lambda w: F.transform(x, lambda _, k: F.get(w, place(k)) + add(cut(x, place(k) * block, k % block + 1)))
         return let(blocks, lambda t: let(whole(t), within))
 
-    return F.when(F.size(lengths) == 0, F.array().cast("array<int>")).otherwise(sums(lengths))
+    return let(lengths, lambda x: F.when(F.size(x) == 0, F.array().cast("array<int>")).otherwise(sums(x)))
 
 
 def matches(text: Column, pattern: str, hint: Column) -> Column:
@@ -195,7 +206,7 @@ def _mail_cuts(m: Column) -> Column:
 
     def cuts(head: Column) -> Column:
         def at(labels: Column) -> Column:
-            one = lambda n: F.concat(head, F.array_join(F.slice(labels, F.lit(1), n), ""))
+            one = lambda n: F.concat(head, F.array_join(cut(labels, F.lit(0), n), ""))
             part = lambda t: _part(m["start"], m["start"] + F.char_length(t), t, m["before"], F.concat(F.substr(x, F.char_length(t) + 1, F.lit(CONTEXT)), m["after"]))
             return F.filter(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: let(one(n), part)), lambda c: c["end"] - c["start"] <= MAIL_CHARS)
 
@@ -209,8 +220,9 @@ def _mail_cuts(m: Column) -> Column:
 PART = "array<struct<start:int,end:int,text:string,before:string,after:string>>"
 
 
-def _digit_runs(m: Column) -> Column:
-    """All runs of neighbouring digit groups within a match, of 4 to 19 digits."""
+def _digit_runs(m: Column, finish: Callable[[Column], Column]) -> Column:
+    """What ``finish`` makes of the runs of neighbouring digit groups within a match, of 4 to 19 digits, group by group: no more than
+    the runs of one group is held besides the results."""
     x = m["text"]
 
     def of(groups: Column) -> Column:
@@ -229,12 +241,12 @@ def _digit_runs(m: Column) -> Column:
 
                 def with_lead(lead: Column) -> Column:
                     gap = F.get(gaps, i)
-                    before = F.concat(F.when(i <= CONTEXT, m["before"]).otherwise(""), F.array_join(F.slice(s["t"], F.greatest(i - CONTEXT, F.lit(0)) + 1, F.least(i, F.lit(CONTEXT))), ""),
+                    before = F.concat(F.when(i <= CONTEXT, m["before"]).otherwise(""), F.array_join(cut(s["t"], F.greatest(i - CONTEXT, F.lit(0)), F.least(i, F.lit(CONTEXT))), ""),
                                       F.left(gap, F.char_length(gap) - F.char_length(lead)))
-                    text = lambda j: F.concat(lead, F.get(groups, i), F.array_join(F.slice(s["t"], i + 2, j - i), ""))
-                    after = lambda j: F.concat(F.array_join(F.slice(s["t"], j + 2, F.lit(CONTEXT)), ""), F.when(n - 1 - j <= CONTEXT, m["after"]).otherwise(""))
+                    text = lambda j: F.concat(lead, F.get(groups, i), F.array_join(cut(s["t"], i + 1, j - i), ""))
+                    after = lambda j: F.concat(F.array_join(cut(s["t"], j + 1, F.lit(CONTEXT)), ""), F.when(n - 1 - j <= CONTEXT, m["after"]).otherwise(""))
                     start = m["start"] + F.get(s["ends"], i) - own - F.char_length(lead)
-                    return F.transform(lasts, lambda j: _part(start, m["start"] + F.get(s["ends"], j), text(j), before, after(j)))
+                    return finish(F.transform(lasts, lambda j: _part(start, m["start"] + F.get(s["ends"], j), text(j), before, after(j))))
 
                 return let(F.regexp_extract(F.get(gaps, i), r"\+?\(?$", 0), with_lead)
 
@@ -245,22 +257,54 @@ def _digit_runs(m: Column) -> Column:
     return let(F.regexp_extract_all(x, F.lit("[0-9]++"), F.lit(0)), of)
 
 
-def candidates(text: Column) -> Column:
-    """array<struct<start, kind, end, text, f>> of what the generators propose; spans of all kinds may overlap."""
-    mails = F.flatten(F.transform(matches(text, MAIL, F.regexp_like(text, F.lit(MAIL_HINT))), _mail_cuts))
-    long = F.filter(matches(text, RUN, _hint("card", text)), lambda m: F.char_length(m["text"]) >= 7)
-    numbers = F.flatten(F.transform(long, _digit_runs))
+def candidates(text: Column, make: Callable[[Column, Column], Column] = _candidate, keep: Callable[[Column], Column] | None = None) -> Column:
+    """array<struct<start, kind, end, text, f>> of what the generators propose; spans of all kinds may overlap. ``make`` may turn a kind and
+    a span into something smaller, and only what passes ``keep`` is held."""
+    kept = (lambda a: F.filter(a, keep)) if keep else (lambda a: a)
 
     def kinds(m: Column) -> Column:
         def of(d: Column) -> Column:
             n, groups = F.length(d), F.regexp_count(m["text"], F.lit("[0-9]++"))
             fits = F.array(F.when((groups == 4) & (n <= 12) & F.regexp_like(m["text"], F.lit(QUAD)), F.lit(1)),
                            F.when(n.between(13, 19) & luhn(d), F.lit(2)), F.when(n.between(7, 15), F.lit(3)))
-            return F.transform(F.array_compact(fits), lambda k: _candidate(k, m))
+            return F.transform(F.array_compact(fits), lambda k: make(k, m))
 
         return let(digits(m["text"]), of)
 
-    return F.sort_array(F.concat(F.transform(mails, lambda m: _candidate(F.lit(0), m)), F.flatten(F.transform(numbers, kinds))))
+    mails = F.transform(matches(text, MAIL, F.regexp_like(text, F.lit(MAIL_HINT))), lambda m: kept(F.transform(_mail_cuts(m), lambda c: make(F.lit(0), c))))
+    long = F.filter(matches(text, RUN, _hint("card", text)), lambda m: F.char_length(m["text"]) >= 7)
+    numbers = F.transform(long, lambda m: _digit_runs(m, lambda parts: kept(F.flatten(F.transform(parts, kinds)))))
+    return F.sort_array(F.concat(F.flatten(mails), F.flatten(numbers)))
+
+
+def covered(base: Column) -> Column:
+    """One byte string a kind, with a 1 for every code point that a span of the kind covers."""
+    def of(kind: int) -> Column:
+        return let(F.filter(base, _of_kind(kind)), lambda x: F.array_join(F.transform(x, lambda s, k: F.concat(
+            F.repeat(F.lit("0"), s["start"] - F.coalesce(F.get(x, k - 1)["end"], F.lit(0))), F.repeat(F.lit("1"), s["end"] - s["start"]))), "").cast("binary"))
+
+    return F.array(*map(of, range(len(KINDS))))
+
+
+def is_covered(masks: Column, c: Column) -> Column:
+    return F.exists(masks, lambda w: F.contains(F.substr(w, c["start"] + 1, c["end"] - c["start"]), F.lit("1").cast("binary")))
+
+
+def without_overlaps(ranked: Column, length: Column) -> Column:
+    """Spans in their order that overlap none taken before. What is taken lies in blocks of the text, so that a span of at most ``BLOCK``
+    code points is compared with three blocks, however long the text."""
+    def near(a: Column, b: Column, c: Column) -> Column:
+        return F.coalesce(F.exists(F.get(F.get(a, F.floor(b / PAGE).cast("int")), b % PAGE), lambda o: _overlaps(o, c)), F.lit(False))
+
+    def step(a: Column, c: Column) -> Column:
+        own = F.floor(c["start"] / BLOCK).cast("int")
+        page = lambda p: F.transform(p, lambda b, k: F.when(k == own % PAGE, F.concat(b, F.array(c))).otherwise(b))
+        put = F.transform(a, lambda p, k: F.when(k == F.floor(own / PAGE).cast("int"), page(p)).otherwise(p))
+        return F.when(near(a, own - 1, c) | near(a, own, c) | near(a, own + 1, c), a).otherwise(put)
+
+    none = F.array().cast(f"array<{CHOSEN}>")
+    blank = F.array_repeat(F.array_repeat(none, PAGE), (F.floor(length / (BLOCK * PAGE)) + 1).cast("int"))
+    return F.when(F.size(ranked) == 0, none).otherwise(F.flatten(F.flatten(F.aggregate(ranked, blank, step))))
 
 
 def _overlaps(a: Column, b: Column) -> Column:
@@ -326,8 +370,9 @@ def corpus_examples(docs: DataFrame, text: str, sample: int = SAMPLE) -> DataFra
     """Candidates of the corpus with weak labels: label, f, draw. At most ``sample`` rows, half of either label."""
     whole = F.coalesce(F.col(text), F.lit(""))
     same = lambda o, c: (o["start"] == c["start"]) & (o["end"] == c["end"]) & (o["kind"] == c["kind"])
-    # explode_outer, as explode would make the optimiser search every text twice
-    each = docs.select(let(base_spans(whole), lambda b: F.transform(candidates(whole), lambda c: F.struct(
+    # columns of their own, see ``spans``; explode_outer, as explode would make the optimiser search every text twice
+    searched = docs.select(base_spans(whole).alias("base"), candidates(whole).alias("proposed"))
+    each = searched.select(let(F.col("base"), lambda b: F.transform("proposed", lambda c: F.struct(
         F.exists(b, lambda o: same(o, c)).cast("int").alias("label"), c["f"].alias("f")))).alias("found")).select(F.explode_outer("found").alias("c"))
     rows = each.where("c is not null").select("c.label", F.xxhash64("c.f").alias("draw"), "c.f").distinct()
     least = Window.partitionBy("label").orderBy("draw", "f")
@@ -408,19 +453,23 @@ def spans(docs: DataFrame, model: Trees, text: str = "text") -> DataFrame:
     """Adds n_email, n_ip, n_card, n_phone, base_sha256 (of the base spans) and spans (all)."""
     new = (*(f"n_{k}" for k in KINDS), "base_sha256", "spans")
     whole = F.coalesce(F.col(text), F.lit(""))
+    own, masks, good, taken = (spare(docs, f"__{c}") for c in ("base", "masks", "good", "taken"))
+
+    def scored(k: Column, m: Column) -> Column:
+        return let(features(k, m), lambda f: F.struct((-model.margin(f)).alias("m"), m["start"].alias("start"), k.alias("kind"), m["end"].alias("end")))
 
-    def added(base: Column) -> Column:
-        if not model.trees:
-            return F.array().cast(f"array<{SPAN}>")
-        scored = F.transform(candidates(whole), lambda c: F.struct((-model.margin(c["f"])).alias("m"), c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
-        good = F.filter(scored, lambda c: (c["m"] <= -model.least) & ~F.exists(base, lambda b: _overlaps(b, c)))
-        taken = F.aggregate(F.sort_array(good), F.array().cast(f"array<{CHOSEN}>"), lambda a, c: F.when(F.exists(a, lambda o: _overlaps(o, c)), a).otherwise(F.concat(a, F.array(c))))
-        return F.transform(taken, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
+    # Columns of their own, as the analyser goes through nested functions a few levels at a time; each is read by ``let``, outside of any other function.
+    df = docs.drop(*(c for c in new if c != text)).withColumn(own, base_spans(whole))
+    if model.trees:
+        df = df.withColumn(masks, covered(F.col(own)))
+        df = df.withColumn(good, let(F.col(masks), lambda w: candidates(whole, scored, lambda c: (c["m"] <= -model.least) & ~is_covered(w, c))))
+        df = df.withColumn(taken, let(F.col(good), lambda ranked: F.transform(without_overlaps(ranked, F.char_length(whole)), lambda c: F.struct(
+            c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))))
+    else:
+        df = df.withColumn(taken, F.array().cast(f"array<{SPAN}>"))
 
     names = F.array(*map(F.lit, KINDS))
     shown = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
-    both = let(base_spans(whole), lambda b: F.struct(
-        *(F.size(F.filter(b, _of_kind(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)),
-        F.sha2(shown(b), 256).alias("base_sha256"), shown(F.sort_array(F.concat(b, added(b)))).alias("spans")))
-    return docs.drop(*(c for c in new if c != text)).withColumn("_found", both).select(
-        *(c for c in docs.columns if c not in new or c == text), *(F.col(f"_found.{c}").alias(c) for c in new))
+    counts = (F.size(F.filter(own, _of_kind(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS))
+    return df.select(*(c for c in docs.columns if c not in new or c == text), *counts, F.sha2(shown(F.col(own)), 256).alias("base_sha256"),
+                     shown(F.sort_array(F.concat(own, taken))).alias("spans"))

@@ -154,3 +154,39 @@ def test_overlapping_candidates_are_chosen_by_margin(spark):
                 taken.append((a, b))
                 want.append((a, k, b))
         assert r["spans"] == digest(sorted(brute(r["text"]) + want))[0]
+
+
+def test_greedy_choice_over_blocks_and_pages(spark):
+    rng = random.Random(8)
+    rows = []
+    for length in (1, 600, pii.BLOCK * pii.PAGE - 1, 3 * pii.BLOCK * pii.PAGE + 5):
+        own = [(-rng.randint(0, 9) / 4, a, rng.randint(0, 3), min(length, a + rng.randint(1, pii.BLOCK))) for a in (rng.randrange(length) for _ in range(400))]
+        rows.append((sorted(own), length))
+    rows.append(([], 0))
+    df = spark.createDataFrame(rows, f"ranked array<{pii.CHOSEN}>, length int")
+    for r in df.select("ranked", pii.without_overlaps(df["ranked"], df["length"]).alias("taken")).collect():
+        want = []
+        for c in r["ranked"]:
+            if all(c["end"] <= o["start"] or c["start"] >= o["end"] for o in want):
+                want.append(c)
+        assert sorted(r["taken"]) == sorted(want)
+
+
+def test_long_texts_of_numbers_alone(spark):
+    tree = (3, 8.5, (0, 0.5, -1.0, 0.3), (5, 3.5, 1.0, 0.2))
+    model = pii.Trees([(1.0, tree)], 0.0)
+    unit = "+1 (017) 555-7713 a@b.c 12 12 12 4539148803436467 1.2.3.4 "
+    own = ["12 " * 12000, "1. " * 12000, unit * 700]
+    df = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string")
+    for r in pii.spans(df, model).collect():
+        t = r["text"]
+        every = [(int(a), pii.KINDS.index(k), int(b)) for k, a, b in (x.split(":") for x in r["spans"].split(",") if x)]
+        base = brute(t)
+        assert r["base_sha256"] == digest(base)[1] and set(base) <= set(every) and every == sorted(every)
+        taken = bytearray(len(t))
+        for a, _, b in base:
+            taken[a:b] = b"1" * (b - a)
+        for a, _, b in sorted(set(every) - set(base)):
+            assert not any(taken[a:b])
+            taken[a:b] = b"1" * (b - a)
+    assert every
