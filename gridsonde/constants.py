@@ -114,3 +114,11 @@ DENSITY_S2 = 4.8314e-4
 
 # Heat classes by threshold (kJ/cm2).
 HEAT_EXTREME, HEAT_MODERATE = 80.0, 50.0
+# Label on display and rule text of each heat class.
+HEAT_LABELS = {"UNKNOWN": "NO SOUNDING", "EXTREME": "CRITICAL FUEL", "MODERATE": "MODERATE FUEL", "DEPLETED": "COLD WAKE"}
+HEAT_RULES = {
+    "UNKNOWN": "TCHP was not reported; intensification fuel cannot be classified.",
+    "EXTREME": "TCHP exceeds 80 kJ/cm² — extreme cyclone intensification fuel.",
+    "MODERATE": "TCHP is between 50 and 80 kJ/cm² — moderate intensification potential.",
+    "DEPLETED": "TCHP is below 50 kJ/cm² — depleted heat / cold-wake regime.",
+}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -86,6 +86,11 @@ def classify_heat(tchp: Column) -> Column:
             .when(tchp >= K.HEAT_MODERATE, "MODERATE").otherwise("DEPLETED"))
 
 
+def heat_text(heat_class: Column, texts: Mapping[str, str]) -> Column:
+    """Text of a heat class (``constants.HEAT_LABELS`` or ``HEAT_RULES``); NULL for names that are no class."""
+    return F.get(F.array(*map(F.lit, texts.values())), F.array_position(F.array(*map(F.lit, texts)), heat_class).cast("int") - 1)
+
+
 def classify_mld(mld: Column) -> Column:
     return (F.when(mld < 30, F.lit("SHALLOW MLD")).when(mld > 60, F.lit("DEEP MLD"))
             .when(mld.isNotNull(), F.concat(F.lit("MLD "), F.round(mld).cast("int").cast("string"), F.lit(" m"))))

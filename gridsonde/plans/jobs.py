@@ -56,6 +56,19 @@ def job_masks(raw_elevation: DataFrame, target: GridSpec, value: str = "elevatio
     return masks, G.depth_validity(masks, levels, value)
 
 
+def mask_counts(masks: DataFrame, validity: DataFrame) -> DataFrame:
+    """Counts of what ``job_masks`` returns, as (name, depth, n): land, ocean and buffered ocean cells, and valid cells per level.
+
+    One row per count; both sums combine map-side, so only counts are shuffled.
+    """
+    ocean = ~F.col("land")
+    counts = {"land": F.col("land"), "ocean": ocean, "coastal": F.col("coastal") & ocean, "gradient_invalid": F.col("gradient_invalid") & ocean}
+    one = masks.agg(F.array(*[F.struct(F.lit(n).alias("name"), F.count_if(c).alias("n")) for n, c in counts.items()]).alias("c"))
+    cells = one.select(F.explode("c").alias("c")).select("c.name", F.lit(None).cast("double").alias("depth"), "c.n")
+    levels = G.valid_per_depth(validity).select(F.lit("valid").alias("name"), F.col("depth").cast("double").alias("depth"), F.col("n_valid").alias("n"))
+    return cells.unionByName(levels)
+
+
 def job_features(winds: DataFrame, masks: DataFrame, spec: GridSpec, sst: DataFrame | None = None,
                  west: Column | None = None, east: Column | None = None) -> DataFrame:
     """Wind physics per day and cell with the calendar encoding and, given sst, the lagged box index.

@@ -45,6 +45,16 @@ def job_masks(t: Tables):
     return masks.join(n, ["iy", "ix"]).select("iy", "ix", "land", r("water_m", 5).alias("water_m"), "coastal", "gradient_invalid", "n_valid")
 
 
+@query("job_masks_counts", """SELECT c.name, CAST(NULL AS DOUBLE) AS depth, c.n FROM (SELECT UNNEST([{'name': 'land', 'n': COUNT(*) FILTER (land)}, {'name': 'ocean', 'n': COUNT(*) FILTER (NOT land)},
+    {'name': 'coastal', 'n': COUNT(*) FILTER (coastal AND NOT land)}, {'name': 'gradient_invalid', 'n': COUNT(*) FILTER (gradient_invalid AND NOT land)}]) AS c FROM (SELECT a.e >= 0 AS land,
+    (SELECT BOOL_OR(b.e >= 0) FROM el b WHERE ABS(a.iy - b.iy) <= 2 AND ABS(a.ix - b.ix) <= 2) AS coastal,
+    (SELECT BOOL_OR(b.e >= 0) FROM el b WHERE ABS(a.iy - b.iy) <= 1 AND ABS(a.ix - b.ix) <= 1) AS gradient_invalid FROM el a))
+    UNION ALL SELECT 'valid', z, COUNT(*) FILTER (e < 0 AND -e > z) FROM el, (SELECT UNNEST(""" + _LAND15 + """) AS z) GROUP BY z""", ("f_elev",), _MASKS)
+def job_masks_counts(t: Tables):
+    """Land, ocean and buffer cells and the valid cells per level of the masks job."""
+    return J.mask_counts(*J.job_masks(t.f_elev.select(CELLS.lat().alias("lat"), CELLS.lon().alias("lon"), "elevation_m"), COARSE))
+
+
 _DMI = """dm AS (SELECT *, LAG(dmi, 7) OVER (ORDER BY day) AS lag_7 FROM (SELECT day, AVG(CASE WHEN ix <= 3 THEN theta END) - AVG(CASE WHEN ix >= 6 THEN theta END) AS dmi FROM (
     SELECT DATE_TRUNC('month', day) AS day, ix, theta FROM f_obs WHERE depth = 0 AND (ix <= 3 OR ix >= 6)) GROUP BY day))"""
 

@@ -214,6 +214,19 @@ def classify_heat(t: Tables):
     return s.groupBy(P.classify_heat(scaled).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("heat_texts", """SELECT cid, label, CASE label WHEN 'UNKNOWN' THEN 'NO SOUNDING' WHEN 'EXTREME' THEN 'CRITICAL FUEL' WHEN 'MODERATE' THEN 'MODERATE FUEL' ELSE 'COLD WAKE' END AS shown,
+    CASE label WHEN 'UNKNOWN' THEN 'TCHP was not reported; intensification fuel cannot be classified.' WHEN 'EXTREME' THEN 'TCHP exceeds 80 kJ/cm² — extreme cyclone intensification fuel.'
+    WHEN 'MODERATE' THEN 'TCHP is between 50 and 80 kJ/cm² — moderate intensification potential.' ELSE 'TCHP is below 50 kJ/cm² — depleted heat / cold-wake regime.' END AS rule
+    FROM (SELECT cid, CASE WHEN tchp IS NULL THEN 'UNKNOWN' WHEN tchp > 80 THEN 'EXTREME' WHEN tchp >= 50 THEN 'MODERATE' ELSE 'DEPLETED' END AS label
+    FROM (SELECT cid, CASE WHEN cid % 5 = 0 THEN NULL ELSE tchp * (0.3e0 + (cid % 7) / 1e1) END AS tchp FROM serving))""", ("f_column",), f"{_STEP}, {SERVING_SQL}")
+def heat_texts(t: Tables):
+    """Every column's heat class with its label on display and its rule text."""
+    s = V.serving_indices(t.f_column, _CID, "depth", "theta")
+    scaled = F.when(F.col("cid") % 5 != 0, F.col("tchp") * (F.lit(0.3) + (F.col("cid") % 7) / 10.0))
+    out = s.select("cid", P.classify_heat(scaled).alias("label"))
+    return out.select("cid", "label", P.heat_text(F.col("label"), K.HEAT_LABELS).alias("shown"), P.heat_text(F.col("label"), K.HEAT_RULES).alias("rule"))
+
+
 @query("classify_mld", """SELECT CASE WHEN mld < 30 THEN 'SHALLOW MLD' WHEN mld > 60 THEN 'DEEP MLD' ELSE 'MLD ' || CAST(CAST(ROUND(mld) AS INT) AS VARCHAR) || ' m' END AS label,
     COUNT(*) AS n FROM serving GROUP BY 1""", ("f_column",), f"{_STEP}, {SERVING_SQL}")
 def classify_mld(t: Tables):

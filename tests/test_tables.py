@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from conftest import plan
 from gridsonde import constants as K
 from gridsonde.functions.numeric import fill_constant, finite
-from gridsonde.functions.physics import classify_heat, classify_mld, depth_valid, intensification_score, sigma_from_log, thermocline_base, water_column
+from gridsonde.functions.physics import classify_heat, classify_mld, depth_valid, heat_text, intensification_score, sigma_from_log, thermocline_base, water_column
 from gridsonde.grid_spec import GridSpec
 from gridsonde.operators import quality as Q
 from gridsonde.operators import training as T
@@ -162,3 +162,10 @@ def test_stream_equals_batch_with_late_rows(spark, tmp_path):
     got = {(r["k"], r["day"]): r["v"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     want = {(r["k"], r["day"]): r["v"] for r in daily_mean(files, "ts", ["k"], ["v"]).collect()}
     assert len(got) == 3 and all(want[k] == pytest.approx(v) for k, v in got.items())
+
+
+def test_heat_texts_follow_the_class(spark):
+    v = spark.createDataFrame([(None,), (80.1,), (50.0,), (49.9,)], "v double").select(classify_heat(F.col("v")).alias("c"))
+    got = [tuple(r) for r in v.select("c", heat_text(F.col("c"), K.HEAT_LABELS), heat_text(F.col("c"), K.HEAT_RULES)).collect()]
+    assert got == [(c, K.HEAT_LABELS[c], K.HEAT_RULES[c]) for c in ("UNKNOWN", "EXTREME", "MODERATE", "DEPLETED")]
+    assert spark.range(1).select(heat_text(F.lit("other"), K.HEAT_RULES), heat_text(F.lit(None).cast("string"), K.HEAT_RULES)).first()[:] == (None, None)
