@@ -68,3 +68,28 @@ def test_no_trusted_documents(spark):
     for trusted in (spark.createDataFrame([(None,), (9,)], "doc_id long"), spark.createDataFrame([], "doc_id long")):
         assert {r["doc_id"]: r["kept"] for r in llr.filtered(df, trusted).collect()} == {1: False, 2: True, None: False}
         assert llr.filtered(df.limit(0), trusted).collect() == []
+
+
+def test_all_trusted_documents_count(spark):
+    n = 20_500  # more than the 20,000 that were once used
+    ids = spark.range(n).withColumnRenamed("id", "doc_id")
+    halves = llr.halves_of(ids.unionByName(ids.limit(50)).unionByName(spark.createDataFrame([(None,)], "doc_id long")))
+    assert [r["doc_id"] for r in halves.orderBy("doc_id").collect()] == list(range(n))
+    docs = ids.selectExpr("doc_id", "concat('all w', doc_id % 50) AS text")
+    ratios = llr.log_ratios(docs, ids)
+    assert all(abs(x) < 1e-9 for x in ratios), "the target is the corpus"
+
+
+def test_threshold_is_the_exact_order_statistic(spark):
+    docs = spark.createDataFrame([(k % 300, " ".join(f"w{k % 7}x{i % (20 + k % 60)}" for i in range(40 + k % 60))) for k in range(330)], "doc_id long, text string")
+    held = docs.select("doc_id").where("doc_id % 2 = 0").distinct()
+    ratios = [((b * 37) % 101 - 50) / 50 for b in range(llr.BUCKETS)]
+    rows = llr.judged(docs, ratios, 0.0).where("not base_failed and doc_id % 2 = 0").select("doc_id", "score").collect()
+    scores = sorted({r["doc_id"]: r["score"] for r in rows}.values())
+    assert len(scores) > 20
+    for loss in (0.005, 0.3):
+        assert llr.held_out_threshold(docs, held, ratios, loss=loss) == scores[int(loss * len(scores))]
+    for values in ([1.0], [2.0] * 5 + [3.0], [1e-300, 1.0, 1e300, 1e300], [-0.5, 0.0, 0.25, 0.25, 7.0]):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        assert [llr.share_below(df, "v", k / len(values) + 1e-9) for k in range(len(values))] == values
+    assert llr.share_below(df.limit(0), "v", 0.5) is None
