@@ -157,21 +157,34 @@ def bilinear_regrid(field: DataFrame, source: GridSpec, targets: DataFrame, valu
                     keys: Sequence[str] = (), lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Linear interpolation in latitude and longitude from a regular grid to target points.
 
-    ``targets`` needs an id per point in its remaining columns. Each point names its four corner
-    cells with weights, so the field is reached by an equi-join; a missing corner gives NULL and a
-    point outside the source centres gives no row.
+    ``targets`` needs an id per point in its remaining columns. The field is brought into one row
+    per lower corner and key with the values of all four corners, so that a point meets whole
+    stencils by a merge join and points times keys are neither held nor shuffled. A missing corner
+    and a repeated point give NULL, a point outside the source centres gives no row.
     """
     ids = [c for c in targets.columns if c not in (lat, lon)]
     py = (F.col(lat) - source.lat_start) / source.resolution
     px = (F.col(lon) - source.lon_start) / source.resolution
     y0, x0 = corner(py, source.n_lat), corner(px, source.n_lon)
     inside = py.between(0.0, source.n_lat - 1.0) & px.between(0.0, source.n_lon - 1.0)
-    corners = F.array(*[
-        F.struct((y0 + dy).alias("iy"), (x0 + dx).alias("ix"),
-                 ((py - y0 if dy else 1.0 - (py - y0)) * (px - x0 if dx else 1.0 - (px - x0))).alias("w"))
-        for dy in (0, 1) for dx in (0, 1)
-    ])
-    stencil = targets.filter(inside).select(*ids, F.explode(corners).alias("k")).select(*ids, "k.*")
-    joined = stencil.join(field.select(*keys, "iy", "ix", *values), ["iy", "ix"])
-    aggs = [F.when(F.count(v) == 4, F.sum(F.col("w") * F.col(v))).alias(v) for v in values]
-    return joined.groupBy(*ids, *keys).agg(*aggs)
+    # dealt out before they are counted, as one file of points may be read by one task
+    points = targets.filter(inside).repartition(*ids, lat, lon).groupBy(*ids, lat, lon).agg(F.count("*").alias("__m"))
+    points = points.select(*ids, "__m", y0.alias("__y"), x0.alias("__x"), (py - y0).alias("__fy"), (px - x0).alias("__fx"))
+
+    offsets = [(dy, dx) for dy in (0, 1) for dx in (0, 1)]
+    places = F.array(*[F.struct((F.col("iy") - dy).alias("__y"), (F.col("ix") - dx).alias("__x"), F.lit(k).alias("__k"))
+                       for k, (dy, dx) in enumerate(offsets)])
+    placed = field.select(*keys, *values, F.explode(places).alias("__p")).select(*keys, *values, "__p.*")
+    placed = placed.filter(F.col("__y").between(0, max(0, source.n_lat - 2)) & F.col("__x").between(0, max(0, source.n_lon - 2)))
+    sums = [F.sum(F.when(F.col("__k") == k, F.col(v))).alias(f"__{v}_{k}") for v in values for k in range(4)]
+    stencils = placed.groupBy("__y", "__x", *keys).agg(*sums, *[F.count(v).alias(f"__{v}_n") for v in values])
+
+    def value(v: str) -> Column:
+        total = F.lit(0.0)
+        for k, (dy, dx) in enumerate(offsets):
+            w = (F.col("__fy") if dy else 1.0 - F.col("__fy")) * (F.col("__fx") if dx else 1.0 - F.col("__fx"))
+            total = total + w * F.coalesce(F.col(f"__{v}_{k}"), F.lit(0))
+        # a point given m times counts its known corners m times
+        return F.when(F.col("__m") * F.col(f"__{v}_n") == 4, F.col("__m") * total).alias(v)
+
+    return points.join(stencils.hint("merge"), ["__y", "__x"]).select(*ids, *keys, *[value(v) for v in values])

@@ -213,6 +213,29 @@ def test_bilinear_nodes_and_missing_corners(spark):
     assert out == [(0.0, 1), (5.0, 1), (6.0, 2)]
 
 
+def test_bilinear_points_meet_whole_stencils(spark):
+    src = GridSpec(0.0, 0.0, 1.0, 4, 5)
+    known = {(i, j, d): None if (i, j, d) == (1, 1, 10) else float(i * i + 3 * j + d) for i in range(4) for j in range(5) for d in (0, 10) if (i, j, d) != (3, 4, 0)}
+    f = spark.createDataFrame([(*k, v) for k, v in known.items()] + [(None, 1, 0, 1.0), (-1, 0, 0, 1.0), (4, 5, 0, 1.0)], "iy int, ix int, d int, v double")
+    pts = [(k, (k * 7 % 40) / 10.0 - 0.2, (k * 3 % 50) / 10.0 - 0.3) for k in range(60)] + [(60, 3.0, 4.0), (61, 0.0, 0.0), (62, 2.5, None)]
+    out = R.bilinear_regrid(f, src, spark.createDataFrame(pts + [pts[1]], "p int, lat double, lon double"), ["v"], ["d"])
+    want = {}
+    for p, y, x in pts:
+        if x is None or not (0 <= y <= 3 and 0 <= x <= 4):
+            continue
+        y0, x0 = (max(0, min(n - 2, int(np.ceil(c)) - 1)) for c, n in ((y, 4), (x, 5)))
+        for d in (0, 10):
+            v = [known.get((y0 + a, x0 + b, d)) for a in (0, 1) for b in (0, 1)]
+            w = [(y - y0 if a else 1 - y + y0) * (x - x0 if b else 1 - x + x0) for a in (0, 1) for b in (0, 1)]
+            want[p, d] = None if None in v or p == pts[1][0] else pytest.approx(sum(i * j for i, j in zip(v, w)))
+    rows = out.collect()
+    assert out.columns == ["p", "d", "v"] and len(rows) == len(want) and (pts[1][0], 0) in want
+    assert {(r["p"], r["d"]): r["v"] for r in rows} == want
+    text = plan(out)
+    assert "Broadcast" not in text, "points are not held whole"
+    assert "Aggregate" not in text[:text.index("SortMergeJoin")], "points times keys are not grouped"
+
+
 def test_basin_grid(spark):
     g = G.build_grid(spark, BASIN_GRID)
     r = g.agg(F.count("*"), F.max("lat"), F.max("lon")).first()
